@@ -12,7 +12,7 @@ from docloom.catalog.text import WS_LIST
 from docloom.functions.files import short_id
 from docloom.operators import answers, registry, reports, sessions
 from docloom.plans import ingest
-from docloom.session import read_table, work_path
+from docloom.session import materialise, read_table, work_path
 from docloom.sources import corpus, events, snapshots
 
 
@@ -199,13 +199,11 @@ def ingest_report(spark: SparkSession, directory: str) -> DataFrame:
     return reports.ingest_report(read_table(spark, directory, "events"), F.col("event_type") == "error")
 
 
-@query(
-    """SELECT 'document-system-logs-' || strftime(ts, '%Y.%m.%d') AS index, count(*) AS n,
-    count(DISTINCT event_id) AS n_ids FROM events GROUP BY 1"""
-)
+@query("SELECT event_id, event_type, 'document-system-logs-' || strftime(ts, '%Y.%m.%d') AS index FROM events")
 def log_daily_index(spark: SparkSession, directory: str) -> DataFrame:
-    logs = read_table(spark, directory, "events").select("event_id", reports.log_index(F.col("ts")).alias("index"))
-    return logs.groupBy("index").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))
+    path = work_path(spark, "daily")
+    reports.write_daily_log(read_table(spark, directory, "events"), "ts", path)
+    return spark.read.parquet(path).select("event_id", "event_type", "index")
 
 
 @query(
@@ -313,4 +311,4 @@ def dedup_questions(spark: SparkSession, directory: str) -> DataFrame:
         "n_asked",
         F.concat(F.lit("answer "), F.col("qid").cast("string")).alias("answer"),
     )
-    return answers.share_answers(questions, answered).select("qid", "first_qid", "n_asked", "answer")
+    return answers.share_answers(questions, materialise(answered, "answered")).select("qid", "first_qid", "n_asked", "answer")

@@ -104,17 +104,25 @@ def distinct_questions(questions: DataFrame) -> DataFrame:
     )
 
 
-def share_answers(questions: DataFrame, answered: DataFrame, salts: int = 32) -> DataFrame:
-    """Give every question the answer of its representative (``question_key, answer``).
+def share_answers(questions: DataFrame, answered: DataFrame, salts: int = 64) -> DataFrame:
+    """Give every question the answer of its representative.
 
-    A question asked by a large part of all users would put those rows in one task,
-    so askers are spread over ``salts`` copies of each answer.
+    ``answered`` is ``question_key, n_asked, answer, …`` as a written table. A question
+    that makes up more than a thousandth of all rows would crowd into one task, so its
+    askers are spread over ``salts`` copies of the answer. There can be at most a
+    thousand such questions, which is why their keys may be broadcast.
     """
-    asked = questions.withColumn("question_key", question_key(F.col("question"))).withColumn(
-        "_salt", F.pmod(F.xxhash64("qid"), F.lit(salts)).cast("int")
+    total = answered.agg(F.sum("n_asked").alias("total")).scalar()
+    is_hot = F.col("n_asked") * 1000 > total
+    hot = answered.where(is_hot).select("question_key", F.lit(True).alias("_hot"))
+    asked = (
+        questions.withColumn("question_key", question_key(F.col("question")))
+        .join(F.broadcast(hot), "question_key", "left")
+        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("qid"), F.lit(salts))).otherwise(0).cast("int"))
     )
-    copies = answered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return asked.join(copies, ["question_key", "_salt"]).drop("_salt")
+    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
+    copies = answered.withColumn("_salt", F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0)))))
+    return asked.join(copies, ["question_key", "_salt"]).drop("_salt", "_hot")
 
 
 def route_and_answer(

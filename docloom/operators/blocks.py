@@ -31,6 +31,14 @@ def ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
 
+def list_array(rows: list[np.ndarray] | np.ndarray, dtype: type) -> pa.ListArray:
+    """Rows of numbers -> Arrow list column, without a Python object per number."""
+    sizes = np.full(len(rows), rows.shape[1]) if isinstance(rows, np.ndarray) else np.array([len(r) for r in rows], int)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    flat = rows.ravel() if isinstance(rows, np.ndarray) else np.concatenate([np.empty(0, dtype), *rows])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(flat, dtype=dtype)))
+
+
 def ranks(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1]
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans
@@ -51,15 +50,15 @@ def train_centroids(rows: DataFrame, dim: int, nlist: int = fv.NLIST, seed: int
 
 def assign_lists(rows: DataFrame, centroids: np.ndarray, dim: int) -> DataFrame:
     """Add ``list_id`` (nearest centroid, ties to the smaller list) and ``to_centroid``."""
-    schema = T.StructType([T.StructField("list_id", T.IntegerType()), T.StructField("to_centroid", T.DoubleType())])
 
-    @F.pandas_udf(schema)
-    def nearest_list(vectors: pd.Series) -> pd.DataFrame:
-        points = blocks.matrix(pa.array(vectors), dim)
+    @F.arrow_udf("list_id int, to_centroid double")
+    def nearest_list(vectors: pa.Array) -> pa.Array:
+        points = blocks.matrix(vectors, dim)
         squared = np.round(blocks.squared_distances(points, centroids), blocks.DECIMALS)
         chosen = squared.argmin(axis=1)
         distance = np.sqrt(((points - centroids[chosen]) ** 2).sum(axis=1))
-        return pd.DataFrame({"list_id": chosen.astype(np.int32), "to_centroid": distance})
+        columns = [pa.array(chosen.astype(np.int32)), pa.array(distance)]
+        return pa.StructArray.from_arrays(columns, names=["list_id", "to_centroid"])
 
     return rows.withColumn("_list", nearest_list("vector")).select(
         *rows.columns, F.col("_list.list_id").alias("list_id"), F.col("_list.to_centroid").alias("to_centroid")

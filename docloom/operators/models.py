@@ -11,12 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom import fixed_values as fv
 from docloom.functions.files import extractor_route
+from docloom.operators import blocks
 
 Extractor = Callable[[bytes], list]
 Fetch = Callable[[str, str], bytes]
@@ -100,18 +102,18 @@ def embed(
 ) -> DataFrame:
     """Add a ``vector`` column; the model is made once per task and fed in batches."""
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = model_factory()
         for batch in batches:
-            texts = batch.fillna("").tolist()
+            texts = batch.fill_null("").to_pylist()
             parts = [np.empty((0, dim), np.float32)]
             for start in range(0, len(texts), batch_size):
                 part = np.asarray(model(texts[start : start + batch_size]), dtype=np.float32)
                 if part.ndim != 2 or part.shape[1] != dim:
                     raise ValueError(f"the model must return vectors of dimension {dim}")
                 parts.append(part)
-            yield pd.Series(list(np.concatenate(parts)), dtype=object)
+            yield blocks.list_array(np.concatenate(parts), np.float32)
 
     return table.withColumn(vector, encode(text))
 

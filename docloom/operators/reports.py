@@ -55,6 +55,16 @@ def log_index(timestamp: Column) -> Column:
     return F.concat(F.lit(fv.LOG_INDEX_PREFIX), F.date_format(timestamp, "yyyy.MM.dd"))
 
 
+def write_daily_log(records: DataFrame, timestamp: str, path: str) -> None:
+    """Append log records, one folder per day index.
+
+    The rebalance hint makes a few good-sized files per day and splits a day that
+    holds far more records than others.
+    """
+    indexed = records.withColumn("index", log_index(F.col(timestamp)))
+    indexed.hint("rebalance", "index").write.mode("append").partitionBy("index").parquet(path)
+
+
 def error_report(events: DataFrame, timestamp: str, failed: Column) -> DataFrame:
     """``day, n, n_errors``."""
     return events.groupBy(F.to_date(timestamp).alias("day")).agg(

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,44 +72,79 @@ def nearest(
     are scanned once, with no shuffle of vectors. More questions than that are
     answered through index lists and distance bounds (``nearest_pruned``).
     """
-    limit = min(max_broadcast_questions, MAX_BROADCAST_FLOATS // dim)
-    sample = questions.select("qid", "vector").limit(limit + 1).toArrow()
-    if sample.num_rows > limit:
+    few = _few(questions.select("qid", "vector"), max_broadcast_questions, dim)
+    if few is None:
         return nearest_pruned(questions, rows, k, dim=dim, exclude_same_id=exclude_same_id)
-    return _nearest_of_few(sample, questions, rows, k, dim, exclude_same_id)
+    return _scan(few, rows, k, dim, exclude_same_id, _hit_schema(questions, rows))
 
 
-def _nearest_of_few(
-    table: pa.Table, questions: DataFrame, rows: DataFrame, k: int, dim: int, exclude_same_id: bool
+def _few(questions: DataFrame, limit: int, dim: int) -> pa.Table | None:
+    """The questions themselves if there are at most ``limit``, else None."""
+    limit = min(limit, MAX_BROADCAST_FLOATS // dim)
+    table = questions.limit(limit + 1).toArrow()
+    return table if table.num_rows <= limit else None
+
+
+def _scan(
+    questions: pa.Table,
+    rows: DataFrame,
+    k: int,
+    dim: int,
+    exclude_same_id: bool,
+    schema: T.StructType,
+    list_column: str | None = None,
 ) -> DataFrame:
-    schema = _hit_schema(questions, rows)
+    """One pass over ``rows`` with all questions at hand.
+
+    With ``list_column``, the questions' ``lists`` say which values of it each of them
+    may search; other rows are filtered out at the scan.
+    """
     types = _id_types(schema)
-    sent = rows.sparkSession.sparkContext.broadcast((blocks.ids(table["qid"]), blocks.matrix(table["vector"], dim)))
+    columns = ["id", "vector"]
+    askers: dict | None = None
+    if list_column is not None:
+        askers = {}
+        for position, lists in enumerate(questions["lists"].to_pylist()):
+            for value in lists:
+                askers.setdefault(value, []).append(position)
+        rows = rows.where(F.col(list_column).isin(list(askers)))
+        columns.append(list_column)
+    sent = rows.sparkSession.sparkContext.broadcast(
+        (blocks.ids(questions["qid"]), blocks.matrix(questions["vector"], dim), askers)
+    )
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, vectors = sent.value
-        found: tuple[np.ndarray, ...] | None = None
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(question positions, row positions) to be compared."""
+        qids, _, by_list = sent.value
+        if by_list is None:
+            yield np.arange(len(qids)), np.arange(batch.num_rows)
+            return
+        values, group = np.unique(blocks.ids(batch.column(list_column)), return_inverse=True)
+        for number, value in enumerate(values.tolist()):
+            yield np.array(by_list[value]), np.flatnonzero(group == number)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, vectors, _ = sent.value
+        found = (np.empty(0, np.int64), None, np.empty(0))
         for batch in batches:
-            new = blocks.nearest_in_block(
-                qids,
-                vectors,
-                blocks.ids(batch.column("id")),
-                blocks.matrix(batch.column("vector"), dim),
-                k,
-                exclude_same_id,
-            )
-            if found is not None:
-                new = tuple(np.concatenate(pair) for pair in zip(found, new, strict=True))
-            top = blocks.best(*new, k)
-            found = tuple(part[top] for part in new)
-        if found is not None:
-            columns = _arrow_hits(qids[found[0]], found[1], found[2], types)
-            yield pa.RecordBatch.from_arrays(columns, names=["qid", "id", "l2_sq"])
-
-    return keep_nearest(rows.select("id", "vector").mapInArrow(scan, schema), k)
-
-
-def _search_lists(
+            row_ids, matrix = blocks.ids(batch.column("id")), blocks.matrix(batch.column("vector"), dim)
+            for askers_here, rows_here in parts(batch):
+                q, r, d = blocks.nearest_in_block(
+                    qids[askers_here], vectors[askers_here], row_ids[rows_here], matrix[rows_here], k, exclude_same_id
+                )
+                q = askers_here[q]
+                if found[1] is not None:
+                    q, r, d = (np.concatenate(pair) for pair in zip(found, (q, r, d), strict=True))
+                top = blocks.best(q, r, d, k)
+                found = (q[top], r[top], d[top])
+        if found[1] is not None:
+            arrays = _arrow_hits(qids[found[0]], found[1], found[2], types)
+            yield pa.RecordBatch.from_arrays(arrays, names=["qid", "id", "l2_sq"])
+
+    return keep_nearest(rows.select(*columns).mapInArrow(search, schema), k)
+
+
+def _search_blocks(
     probes: DataFrame,
     rows: DataFrame,
     k: int,
@@ -177,12 +211,10 @@ def choose_lists(questions: DataFrame, index: IvfIndex, nprobe: int = fv.NPROBE)
         raise ValueError("nprobe must be at least 1")
     centroids, dim = index.centroids, index.dim
 
-    @F.pandas_udf("array<int>")
-    def nearest_lists(vectors: pd.Series) -> pd.Series:
-        points = blocks.matrix(pa.array(vectors), dim)
-        squared = np.round(blocks.squared_distances(points, centroids), blocks.DECIMALS)
-        order = np.argsort(squared, axis=1, kind="stable")[:, :nprobe]
-        return pd.Series(list(order.astype(np.int32)), dtype=object)
+    @F.arrow_udf("array<int>")
+    def nearest_lists(vectors: pa.Array) -> pa.Array:
+        squared = np.round(blocks.squared_distances(blocks.matrix(vectors, dim), centroids), blocks.DECIMALS)
+        return blocks.list_array(np.argsort(squared, axis=1, kind="stable")[:, :nprobe], np.int32)
 
     return questions.select("qid", "vector", nearest_lists("vector").alias("lists"))
 
@@ -198,10 +230,19 @@ def nearest_by_lists(
     nprobe: int = fv.NPROBE,
     *,
     exclude_same_id: bool = False,
+    max_broadcast_questions: int = MAX_BROADCAST_QUESTIONS,
 ) -> DataFrame:
-    """k nearest rows among the ``nprobe`` nearest lists; exact when all are probed."""
-    probes = _one_row_per_list(choose_lists(questions, index, nprobe))
-    return keep_nearest(_search_lists(probes, index.rows, k, index.dim, exclude_same_id, few_lists=True), k)
+    """k nearest rows among the ``nprobe`` nearest lists; exact when all are probed.
+
+    A moderate number of questions reads just the folders of their lists. More
+    questions meet the lists in a shuffle.
+    """
+    chosen = choose_lists(questions, index, nprobe)
+    few = _few(chosen, max_broadcast_questions, index.dim)
+    if few is not None:
+        return _scan(few, index.rows, k, index.dim, exclude_same_id, _hit_schema(questions, index.rows), "list_id")
+    hits = _search_blocks(_one_row_per_list(chosen), index.rows, k, index.dim, exclude_same_id, few_lists=True)
+    return keep_nearest(hits, k)
 
 
 def nearest_pruned(
@@ -226,8 +267,7 @@ def nearest_pruned(
         index = build_index(rows, dim=dim, nlist=nlist)
     asked = materialise(choose_lists(questions, index, nprobe), "asked")
     first = materialise(
-        _search_lists(_one_row_per_list(asked), index.rows, k, dim, exclude_same_id, few_lists=True),
-        "first-hits",
+        _search_blocks(_one_row_per_list(asked), index.rows, k, dim, exclude_same_id, few_lists=True), "first-hits"
     )
     bounds = (
         keep_nearest(first, k)
@@ -237,22 +277,21 @@ def nearest_pruned(
     )
     centroids, radii = index.centroids, index.radii
 
-    @F.pandas_udf("array<int>")
-    def open_lists(vectors: pd.Series, searched: pd.Series, bound: pd.Series) -> pd.Series:
-        squared = blocks.squared_distances(blocks.matrix(pa.array(vectors), dim), centroids)
+    @F.arrow_udf("array<int>")
+    def open_lists(vectors: pa.Array, searched: pa.Array, bound: pa.Array) -> pa.Array:
+        squared = blocks.squared_distances(blocks.matrix(vectors, dim), centroids)
         lowest = np.maximum(0.0, np.sqrt(np.maximum(squared, 0.0)) - radii[None, :])
-        reach = np.sqrt(bound.fillna(np.inf).to_numpy(dtype=float))
+        reach = np.sqrt(bound.fill_null(np.inf).to_numpy(zero_copy_only=False))
         # The slack covers rounding in centroid distances and in the bound itself.
         within = lowest <= (reach * (1 + 1e-6) + 1e-4)[:, None]
-        return pd.Series(
-            [np.setdiff1d(np.flatnonzero(row), done).astype(np.int32) for row, done in zip(within, searched, strict=True)],
-            dtype=object,
-        )
+        done = blocks.matrix(searched, len(searched[0]) if len(searched) else 0).astype(int)
+        np.put_along_axis(within, done, False, axis=1)
+        return blocks.list_array([np.flatnonzero(row) for row in within], np.int32)
 
     left_over = asked.join(bounds, "qid", "left").select(
         "qid", "vector", open_lists("vector", "lists", "bound").alias("lists")
     )
-    second = _search_lists(_one_row_per_list(left_over), index.rows, k, dim, exclude_same_id, few_lists=True)
+    second = _search_blocks(_one_row_per_list(left_over), index.rows, k, dim, exclude_same_id, few_lists=True)
     return keep_nearest(first.unionByName(second), k)
 
 
@@ -264,26 +303,39 @@ def nearest_within(
     *,
     dim: int,
     exclude_same_id: bool = False,
+    max_broadcast_questions: int = MAX_BROADCAST_QUESTIONS,
 ) -> DataFrame:
     """Exact search restricted, per question, to rows with the same ``key``.
 
-    Questions whose ``key`` is NULL search everything. The restriction is an
-    equi-join on the key before the top-k, so other documents are never compared.
+    Questions whose ``key`` is NULL search everything. The restriction comes before
+    the top-k, as a filter at the scan or an equi-join on the key, so other documents
+    are never compared.
     """
-    limited = questions.where(F.col(key).isNotNull()).select("qid", "vector", F.col(key).alias("list_id"))
+    limited = questions.where(F.col(key).isNotNull()).select("qid", "vector", F.array(key).alias("lists"))
     keyed = rows.where(F.col(key).isNotNull()).select("id", "vector", F.col(key).alias("list_id"))
-    within = _search_lists(limited, keyed, k, dim, exclude_same_id, few_lists=False)
+    few = _few(limited, max_broadcast_questions, dim)
+    if few is not None:
+        within = _scan(few, keyed, k, dim, exclude_same_id, _hit_schema(questions, rows), "list_id")
+    else:
+        hits = _search_blocks(_one_row_per_list(limited), keyed, k, dim, exclude_same_id, few_lists=False)
+        within = keep_nearest(hits, k)
     everywhere = nearest(
-        questions.where(F.col(key).isNull()), rows, k, dim=dim, exclude_same_id=exclude_same_id
+        questions.where(F.col(key).isNull()),
+        rows,
+        k,
+        dim=dim,
+        exclude_same_id=exclude_same_id,
+        max_broadcast_questions=max_broadcast_questions,
     )
-    return keep_nearest(within, k).unionByName(everywhere)
+    return within.unionByName(everywhere)
 
 
 def hydrate(hits: DataFrame, texts: DataFrame, id_column: str = "id") -> DataFrame:
     """Bring ``filename`` and ``text`` to the hits; hits without text are dropped.
 
     The drop comes after the top-k, so a question may end with fewer than k hits.
-    At most k rows per question take part, and text never enters the search.
+    The hits are written first: the search then runs once, and Spark knows their real
+    size when it decides whether they may be broadcast to the texts.
     """
     named = texts.select(F.col(id_column).alias("id"), "filename", "text")
-    return hits.join(named, "id").where(F.length("text") > 0)
+    return materialise(hits, "hits").join(named, "id").where(F.length("text") > 0)

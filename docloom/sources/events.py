@@ -18,6 +18,8 @@ UPLOAD_EVENT = T.StructType(
     ]
 )
 
+_CORRUPT = "_corrupt"
+
 
 def publish(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Envelopes of ``rows``, ready for any sink that takes key and value."""
@@ -31,12 +33,15 @@ def parse(envelopes: DataFrame, schema: T.StructType = UPLOAD_EVENT, keep: list[
     event does not carry, or of the wrong type, is NULL.
     """
     text = F.col("value").cast("string")
-    corrupt = "_corrupt"
-    parsed = F.from_json(text, T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]),
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
-    is_object = F.coalesce(F.get_json_object(text, "$").startswith("{"), F.lit(False))
-    return envelopes.select(*(keep or []), parsed.alias("_event"), (~is_object).alias("is_malformed")).select(
-        *(keep or []), *[F.col("_event")[f.name].alias(f.name) for f in schema], "is_malformed"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    event = F.from_json(text, T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())]), options)
+    # Only a record that did not fit the schema is looked at a second time.
+    fits = F.col("_event").isNotNull() & F.col("_event")[_CORRUPT].isNull()
+    shown = F.when(fits, F.ltrim(text)).otherwise(F.get_json_object(text, "$"))
+    is_object = F.coalesce(F.startswith(shown, F.lit("{")), F.lit(False))
+    kept = keep or []
+    return envelopes.select(*kept, "value", event.alias("_event")).select(
+        *kept, *[F.col("_event")[f.name].alias(f.name) for f in schema], (~is_object).alias("is_malformed")
     )
 
 

@@ -7,7 +7,7 @@ from functools import partial
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -17,7 +17,7 @@ from docloom import fixed_values as fv
 from docloom.functions.chat import is_chat_role
 from docloom.functions.files import extractor_route
 from docloom.operators.models import Extractor, Fetch, extract_text
-from docloom.operators.registry import insert_if_absent, registry_rows, with_defaults
+from docloom.operators.registry import first_per_key, registry_rows, with_defaults
 from docloom.operators.reports import log_index
 from docloom.sources.events import parse
 
@@ -92,34 +92,41 @@ def start_routing(
 
 
 # -------------------------------------------------------------------- registry
-def read_registry(spark, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch_id=*")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
-        raise
-
-
 def start_registry(
     uploads: DataFrame, order: list[str], path: str, checkpoint: str, *, available_now: bool = True
 ) -> StreamingQuery:
-    """Insert unknown files into the registry, one folder per micro-batch.
+    """Insert unknown files into the registry at ``path``, one folder per micro-batch.
 
     A replayed batch compares itself with earlier batches only and overwrites its own
-    folder, so replays change nothing.
+    folders, so replays change nothing. The offered rows are written first: their
+    keys, whose real size Spark then knows, pick the known files out of the registry,
+    so that the registry is scanned by key column but need not be shuffled.
     """
-    schema = T.StructType([T.StructField("filename", T.StringType()), T.StructField("batch_id", T.LongType())])
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        known = read_registry(batch.sparkSession, path, schema).where(F.col("batch_id") < batch_id)
-        new_rows = registry_rows(insert_if_absent(batch, known.select("filename"), order))
+        spark = batch.sparkSession
+        offers = f"{path.rstrip('/')}-offers/batch_id={batch_id}"
+        first_per_key(batch, "filename", order).write.mode("overwrite").parquet(offers)
+        offered = spark.read.schema(batch.schema).parquet(offers)
+        known = _known_files(spark, path, batch_id).join(offered.select("filename"), "filename", "left_semi")
+        new_rows = registry_rows(offered.join(known, "filename", "left_anti"))
         new_rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = uploads.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _known_files(spark: SparkSession, path: str, before_batch: int) -> DataFrame:
+    schema = T.StructType([T.StructField("filename", T.StringType()), T.StructField("batch_id", T.LongType())])
+    try:
+        stored = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch_id=*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], schema)
+    return stored.where(F.col("batch_id") < before_batch).select("filename")
+
+
 # --------------------------------------------------------------------- history
 HISTORY_STATE = T.StructType(
     [
