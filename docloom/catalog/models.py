@@ -11,7 +11,7 @@ from docloom.catalog.retrieval import DIM, knn_sql
 from docloom.catalog.text import PAGE_NAME, STRIPPED, WS_LIST, chunk_sql, chunk_documents, named_pages
 from docloom.operators import models, search
 from docloom.plans.corpus_index import index_corpus
-from docloom.session import read_table, work_path
+from docloom.session import read_table, spread, work_path
 from docloom.sources.corpus import read_corpus
 
 
@@ -97,7 +97,7 @@ def corpus_index(spark: SparkSession, directory: str) -> DataFrame:
     """The whole job, read back from the index it wrote."""
     pages = read_corpus(spark, [f"{directory}/pages.parquet"], {"id": "page_id", "content_html": "html"})
     built = index_corpus(
-        pages, models.hashed_tokens(DIM), work_path(spark, "corpus"), dim=DIM, source="pages", nlist=16
+        spread(pages, "id"), models.hashed_tokens(DIM), work_path(spark, "corpus"), dim=DIM, source="pages", nlist=16
     )
     return built.rows.select("doc_id", "filename", "text")
 

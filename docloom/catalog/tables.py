@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from docloom import fixed_values as fv
 from docloom.catalog import query
-from docloom.catalog.text import WS_LIST
+from docloom.catalog.text import WS_LIST, documents
 from docloom.functions.files import short_id
 from docloom.operators import answers, registry, reports, sessions
 from docloom.plans import ingest
@@ -302,7 +302,7 @@ def valid_questions(spark: SparkSession, directory: str) -> DataFrame:
 )
 def dedup_questions(spark: SparkSession, directory: str) -> DataFrame:
     """Documents, many of them copies, stand in for questions."""
-    questions = read_table(spark, directory, "documents").select(
+    questions = documents(spark, directory).select(
         F.col("doc_id").alias("qid"), F.col("text").alias("question")
     )
     answered = answers.distinct_questions(questions).select(

@@ -10,8 +10,8 @@ from docloom.catalog import query
 from docloom.functions import chat, files
 from docloom.functions import text as tx
 from docloom.operators.reports import index_stats
-from docloom.plans.corpus_index import clean_chunk_table, explode_chunks, with_chunks
-from docloom.session import read_table
+from docloom.plans.corpus_index import clean_chunk_table, explode_chunks, html_chunks
+from docloom.session import read_table, spread
 
 WS = fv.WHITESPACE
 WS_LIST = (
@@ -32,6 +32,14 @@ def chunk_sql(table: str, key: str, text: str, size: int = 800, step: int = 680,
                FROM cut WHERE length(chunk) >= {minimum})"""
 
 
+def pages(spark: SparkSession, directory: str) -> DataFrame:
+    return spread(read_table(spark, directory, "pages"), "page_id")
+
+
+def documents(spark: SparkSession, directory: str) -> DataFrame:
+    return spread(read_table(spark, directory, "documents"), "doc_id")
+
+
 def named_pages(spark: SparkSession, directory: str) -> DataFrame:
     """Pages with file names of four kinds."""
     kinds = F.array(*[F.lit(kind) for kind in (".PDF", ".html", ".docx", ".tar.png")])
@@ -51,7 +59,7 @@ PAGE_NAME = (
 
 @query(f"SELECT page_id, {STRIPPED} AS text FROM pages")
 def strip_html(spark: SparkSession, directory: str) -> DataFrame:
-    return read_table(spark, directory, "pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
+    return pages(spark, directory).select("page_id", tx.strip_html(F.col("html")).alias("text"))
 
 
 # The table holds no control characters, so each text gets some at both ends and in
@@ -68,7 +76,7 @@ def clean_text(spark: SparkSession, directory: str) -> DataFrame:
     dirty = F.concat(
         F.lit("\x07"), F.replace("text", F.lit("\n"), F.lit("\x85\x1c\t\xa0")), F.lit("\x7f ")
     )
-    return read_table(spark, directory, "documents").select("doc_id", tx.clean_text(dirty).alias("text"))
+    return documents(spark, directory).select("doc_id", tx.clean_text(dirty).alias("text"))
 
 
 @query(
@@ -76,13 +84,13 @@ def clean_text(spark: SparkSession, directory: str) -> DataFrame:
     "'pages:' || page_id || '#chunk-' || idx AS filename, chunk AS text FROM chunks"
 )
 def chunk_pages(spark: SparkSession, directory: str) -> DataFrame:
-    return explode_chunks(with_chunks(read_table(spark, directory, "pages"), "html"), "page_id", "pages")
+    return explode_chunks(pages(spark, directory), "page_id", "pages", html_chunks(F.col("html")))
 
 
 @query(f"WITH {chunk_sql('documents', 'doc_id', 'text')} SELECT doc_id, idx AS chunk_idx, chunk AS text FROM chunks")
 def chunk_documents(spark: SparkSession, directory: str) -> DataFrame:
     chunks = F.posexplode(tx.chunk_text(F.col("text"))).alias("chunk_idx", "chunk")
-    return read_table(spark, directory, "documents").select("doc_id", chunks).select(
+    return documents(spark, directory).select("doc_id", chunks).select(
         "doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.col("chunk").alias("text")
     )
 
@@ -93,7 +101,7 @@ def chunk_documents(spark: SparkSession, directory: str) -> DataFrame:
 )
 def chunk_plain(spark: SparkSession, directory: str) -> DataFrame:
     chunks = F.posexplode(tx.chunk_plain(F.col("text"))).alias("chunk_idx", "chunk")
-    return read_table(spark, directory, "documents").select("doc_id", chunks).select(
+    return documents(spark, directory).select("doc_id", chunks).select(
         "doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.col("chunk").alias("text")
     )
 
@@ -111,7 +119,7 @@ def chunk_table(spark: SparkSession, directory: str) -> DataFrame:
     "count(*) AS n_chunks, round(avg(length(chunk)), 6) AS mean_chars FROM chunks"
 )
 def index_statistics(spark: SparkSession, directory: str) -> DataFrame:
-    stats = index_stats(with_chunks(read_table(spark, directory, "pages"), "html"))
+    stats = index_stats(pages(spark, directory), html_chunks(F.col("html")))
     return stats.withColumn("mean_chars", F.round("mean_chars", 6))
 
 

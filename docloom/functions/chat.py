@@ -13,8 +13,11 @@ from docloom.functions.text import strip_whitespace
 
 
 def question_key(question: Column) -> Column:
-    """Lower-cased, trimmed question: equal keys are the same question."""
-    return strip_whitespace(F.lower(question))
+    """Digest of the lower-cased, trimmed question: equal keys are the same question.
+
+    A digest keeps long questions out of shuffles and sorts.
+    """
+    return F.sha2(strip_whitespace(F.lower(question)), 256)
 
 
 def is_question(question: Column) -> Column:

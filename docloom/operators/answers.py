@@ -105,7 +105,7 @@ def distinct_questions(questions: DataFrame) -> DataFrame:
 
 
 def share_answers(questions: DataFrame, answered: DataFrame, salts: int = 64) -> DataFrame:
-    """Give every question the answer of its representative.
+    """Give every question the answer of its representative, NULL if it has none.
 
     ``answered`` is ``question_key, n_asked, answer, …`` as a written table. A question
     that makes up more than a thousandth of all rows would crowd into one task, so its
@@ -122,7 +122,7 @@ def share_answers(questions: DataFrame, answered: DataFrame, salts: int = 64) ->
     )
     all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
     copies = answered.withColumn("_salt", F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0)))))
-    return asked.join(copies, ["question_key", "_salt"]).drop("_salt", "_hot")
+    return asked.join(copies, ["question_key", "_salt"], "left").drop("_salt", "_hot")
 
 
 def route_and_answer(

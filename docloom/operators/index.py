@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from docloom import fixed_values as fv
 from docloom.operators import blocks
-from docloom.session import work_path
+from docloom.session import once, work_path
 
 TRAINING_ROWS_PER_LIST = 256
 MAX_CENTROID_FLOATS = 32_000_000
@@ -60,7 +60,7 @@ def assign_lists(rows: DataFrame, centroids: np.ndarray, dim: int) -> DataFrame:
         columns = [pa.array(chosen.astype(np.int32)), pa.array(distance)]
         return pa.StructArray.from_arrays(columns, names=["list_id", "to_centroid"])
 
-    return rows.withColumn("_list", nearest_list("vector")).select(
+    return rows.withColumn("_list", once(nearest_list)("vector")).select(
         *rows.columns, F.col("_list.list_id").alias("list_id"), F.col("_list.to_centroid").alias("to_centroid")
     )
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from docloom import fixed_values as fv
 from docloom.functions.files import extractor_route
 from docloom.operators import blocks
+from docloom.session import once
 
 Extractor = Callable[[bytes], list]
 Fetch = Callable[[str, str], bytes]
@@ -115,7 +116,7 @@ def embed(
                 parts.append(part)
             yield blocks.list_array(np.concatenate(parts), np.float32)
 
-    return table.withColumn(vector, encode(text))
+    return table.withColumn(vector, once(encode)(text))
 
 
 def hashed_tokens(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:

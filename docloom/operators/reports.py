@@ -72,15 +72,15 @@ def error_report(events: DataFrame, timestamp: str, failed: Column) -> DataFrame
     )
 
 
-def index_stats(documents: DataFrame, chunks: str = "chunks") -> DataFrame:
+def index_stats(documents: DataFrame, chunks: Column) -> DataFrame:
     """``n_documents, n_chunks, mean_chars`` from one array of chunks per document.
 
     Counting inside the row needs no explode and no distinct count.
     """
-    lengths = F.transform(chunks, lambda c: F.length(c).cast("bigint"))
-    per_document = documents.select(
-        F.size(chunks).cast("bigint").alias("n"),
-        F.aggregate(lengths, F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("chars"),
+    lengths = documents.select(F.transform(chunks, lambda c: F.length(c).cast("bigint")).alias("lengths"))
+    per_document = lengths.select(
+        F.size("lengths").cast("bigint").alias("n"),
+        F.aggregate("lengths", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("chars"),
     )
     return per_document.agg(
         F.count_if(F.col("n") > 0).alias("n_documents"),

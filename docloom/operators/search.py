@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 from docloom import fixed_values as fv
 from docloom.operators import blocks
 from docloom.operators.index import IvfIndex, build_index
-from docloom.session import materialise
+from docloom.session import materialise, once
 
 MAX_BROADCAST_QUESTIONS = 10_000
 MAX_BROADCAST_FLOATS = 16_000_000
 ROWS_PER_BLOCK = 20_000
 QUESTIONS_PER_BLOCK = 2_000
+BLOCK_FLOATS = 16_000_000
 
 
 def _hit_schema(questions: DataFrame, rows: DataFrame) -> T.StructType:
@@ -101,6 +102,8 @@ def _scan(
     """
     types = _id_types(schema)
     columns = ["id", "vector"]
+    if questions.num_rows == 0:
+        rows = rows.where(F.lit(False))
     askers: dict | None = None
     if list_column is not None:
         askers = {}
@@ -145,28 +148,21 @@ def _scan(
 
 
 def _search_blocks(
-    probes: DataFrame,
-    rows: DataFrame,
-    k: int,
-    dim: int,
-    exclude_same_id: bool,
-    few_lists: bool,
-    rows_per_block: int = ROWS_PER_BLOCK,
-    questions_per_block: int = QUESTIONS_PER_BLOCK,
+    probes: DataFrame, rows: DataFrame, k: int, dim: int, exclude_same_id: bool
 ) -> DataFrame:
     """Best rows of every probe (``qid, list_id, vector``) inside its list.
 
     A list is cut by hash into blocks of rows, and the probes of a list into blocks
     of questions; a task sees one block of each and returns at most k rows per
-    question. A hot list or a list everybody asks for only means more blocks.
-    ``few_lists`` says that the number of lists is bounded, so the table of block
-    counts (one row per list) may be broadcast.
+    question. A hot list, or a list everybody asks for, only means more blocks.
+
+    The table of block counts has one row per list that is both held and asked for.
+    It is written first, so Spark knows its real size when it joins it.
     """
-    asked = probes.groupBy("list_id").agg(F.ceil(F.count("*") / questions_per_block).alias("question_blocks"))
+    rows_per_block = min(ROWS_PER_BLOCK, max(1, BLOCK_FLOATS // dim))
+    asked = probes.groupBy("list_id").agg(F.ceil(F.count("*") / QUESTIONS_PER_BLOCK).alias("question_blocks"))
     held = rows.groupBy("list_id").agg(F.ceil(F.count("*") / rows_per_block).alias("row_blocks"))
-    counts = held.join(asked, "list_id")
-    if few_lists:
-        counts = F.broadcast(counts)
+    counts = materialise(held.join(asked, "list_id"), "block-counts")
 
     def block_of(key: str, blocks_column: str):
         return F.pmod(F.xxhash64(key), F.col(blocks_column))
@@ -216,7 +212,7 @@ def choose_lists(questions: DataFrame, index: IvfIndex, nprobe: int = fv.NPROBE)
         squared = np.round(blocks.squared_distances(blocks.matrix(vectors, dim), centroids), blocks.DECIMALS)
         return blocks.list_array(np.argsort(squared, axis=1, kind="stable")[:, :nprobe], np.int32)
 
-    return questions.select("qid", "vector", nearest_lists("vector").alias("lists"))
+    return questions.select("qid", "vector", once(nearest_lists)("vector").alias("lists"))
 
 
 def _one_row_per_list(chosen: DataFrame) -> DataFrame:
@@ -241,7 +237,8 @@ def nearest_by_lists(
     few = _few(chosen, max_broadcast_questions, index.dim)
     if few is not None:
         return _scan(few, index.rows, k, index.dim, exclude_same_id, _hit_schema(questions, index.rows), "list_id")
-    hits = _search_blocks(_one_row_per_list(chosen), index.rows, k, index.dim, exclude_same_id, few_lists=True)
+    probes = materialise(_one_row_per_list(chosen), "probes")
+    hits = _search_blocks(probes, index.rows, k, index.dim, exclude_same_id)
     return keep_nearest(hits, k)
 
 
@@ -267,7 +264,7 @@ def nearest_pruned(
         index = build_index(rows, dim=dim, nlist=nlist)
     asked = materialise(choose_lists(questions, index, nprobe), "asked")
     first = materialise(
-        _search_blocks(_one_row_per_list(asked), index.rows, k, dim, exclude_same_id, few_lists=True), "first-hits"
+        _search_blocks(_one_row_per_list(asked), index.rows, k, dim, exclude_same_id), "first-hits"
     )
     bounds = (
         keep_nearest(first, k)
@@ -289,9 +286,9 @@ def nearest_pruned(
         return blocks.list_array([np.flatnonzero(row) for row in within], np.int32)
 
     left_over = asked.join(bounds, "qid", "left").select(
-        "qid", "vector", open_lists("vector", "lists", "bound").alias("lists")
+        "qid", "vector", once(open_lists)("vector", "lists", "bound").alias("lists")
     )
-    second = _search_blocks(_one_row_per_list(left_over), index.rows, k, dim, exclude_same_id, few_lists=True)
+    second = _search_blocks(materialise(_one_row_per_list(left_over), "further-probes"), index.rows, k, dim, exclude_same_id)
     return keep_nearest(first.unionByName(second), k)
 
 
@@ -317,7 +314,7 @@ def nearest_within(
     if few is not None:
         within = _scan(few, keyed, k, dim, exclude_same_id, _hit_schema(questions, rows), "list_id")
     else:
-        hits = _search_blocks(_one_row_per_list(limited), keyed, k, dim, exclude_same_id, few_lists=False)
+        hits = _search_blocks(_one_row_per_list(limited), keyed, k, dim, exclude_same_id)
         within = keep_nearest(hits, k)
     everywhere = nearest(
         questions.where(F.col(key).isNull()),

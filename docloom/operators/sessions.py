@@ -73,5 +73,5 @@ def session_groups(sessions: DataFrame, per_page: int = SESSIONS_PER_PAGE) -> Da
     range each: a page never has more than ``per_page`` entries, and all pages of a
     label together are the whole list.
     """
-    page = F.floor(F.col("id") / per_page).alias("page")
+    page = F.expr(f"(id - pmod(id, {per_page})) div {per_page}").alias("page")
     return sessions.groupBy("label", page).agg(F.array_sort(F.collect_list(F.struct("id", "title"))).alias("chats"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom import fixed_values as fv
@@ -14,24 +14,24 @@ from docloom.operators.index import IvfIndex, build_index
 from docloom.operators.models import embed
 
 
-def with_chunks(
-    corpus: DataFrame,
-    html: str = "content_html",
+def html_chunks(
+    html: Column,
     size: int = fv.CHUNK_SIZE,
     overlap: int = fv.CHUNK_OVERLAP,
     minimum: int = fv.CHUNK_MINIMUM,
-) -> DataFrame:
-    """Add the array ``chunks`` of every document."""
-    stripped = corpus.withColumn("_text", strip_html(F.col(html)))
-    return stripped.withColumn("chunks", chunk_text(F.col("_text"), size, overlap, minimum)).drop("_text")
+) -> Column:
+    """Array of the chunks of one HTML document."""
+    return chunk_text(strip_html(html), size, overlap, minimum)
 
 
-def explode_chunks(documents: DataFrame, id_column: str, source: str) -> DataFrame:
+def explode_chunks(documents: DataFrame, id_column: str, source: str, chunks: Column) -> DataFrame:
     """``doc_id, chunk_idx, filename, text``: one row per chunk, no shuffle.
 
     ``chunk_idx`` counts the chunks that were kept. Documents without any are gone.
+    ``chunks`` is exploded as an expression, not as a column made before: from a column
+    Spark would infer a filter on its size and compute all chunks once more for it.
     """
-    return documents.select(F.col(id_column).alias("doc_id"), F.posexplode("chunks").alias("chunk_idx", "text")).select(
+    return documents.select(F.col(id_column).alias("doc_id"), F.posexplode(chunks).alias("chunk_idx", "text")).select(
         "doc_id",
         F.col("chunk_idx").cast("bigint").alias("chunk_idx"),
         truncate(chunk_key(source, F.col("doc_id"), F.col("chunk_idx")), fv.FILENAME_LIMIT).alias("filename"),
@@ -63,9 +63,8 @@ def index_corpus(
     The embedded chunks are written once, because fitting reads them several times
     and the model is by far the most expensive step.
     """
-    chunks = explode_chunks(with_chunks(corpus), "id", source)
-    # The model decides the cost, so work is spread evenly by chunk, not by document.
-    embedded = embed(chunks.repartition("filename"), model_factory, dim=dim, batch_size=batch_size)
+    chunks = explode_chunks(corpus, "id", source, html_chunks(F.col("content_html")))
+    embedded = embed(chunks, model_factory, dim=dim, batch_size=batch_size)
     embedded.withColumn("id", F.col("filename")).write.mode("error").parquet(f"{path}/chunks")
     rows = corpus.sparkSession.read.parquet(f"{path}/chunks")
     return build_index(rows, dim=dim, nlist=nlist, path=f"{path}/index")

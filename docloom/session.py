@@ -30,6 +30,16 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Spread a table that comes in fewer splits than there are cores, such as one
+    small file, before heavy work on its rows. A large table is left as it is.
+
+    Rows move by the hash of ``key``, so a task that is run again sees the same rows.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 def stream_table(spark: SparkSession, directory: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The same table as a file stream.
 
@@ -67,3 +77,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once(udf):
+    """Keep the optimizer from copying an expensive function into a filter, which
+    would run it twice per row."""
+    return udf.asNondeterministic()
