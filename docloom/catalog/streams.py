@@ -116,10 +116,10 @@ LOG_RECORD = T.StructType(
 )
 
 
-@query("SELECT event_id, event_type, 'document-system-logs-' || strftime(ts, '%Y.%m.%d') AS index FROM events")
+@query("SELECT event_id, event_type, 'document-system-logs-' || strftime(ts, '%Y.%m.%d') AS log_index FROM events")
 def stream_log_daily(spark: SparkSession, directory: str) -> DataFrame:
     path = work_path(spark, "logs")
     lines = events.publish(stream_table(spark, directory, "events"), "event_id", LOG_RECORD.fieldNames())
     records = events.parse(lines, LOG_RECORD)
     _finish(jobs.start_daily_log(records, F.col("ts"), f"{path}/rows", f"{path}/state"))
-    return spark.read.parquet(f"{path}/rows").select("event_id", "event_type", "index")
+    return spark.read.parquet(f"{path}/rows").select("event_id", "event_type", "log_index")

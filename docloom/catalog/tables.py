@@ -199,11 +199,11 @@ def ingest_report(spark: SparkSession, directory: str) -> DataFrame:
     return reports.ingest_report(read_table(spark, directory, "events"), F.col("event_type") == "error")
 
 
-@query("SELECT event_id, event_type, 'document-system-logs-' || strftime(ts, '%Y.%m.%d') AS index FROM events")
+@query("SELECT event_id, event_type, 'document-system-logs-' || strftime(ts, '%Y.%m.%d') AS log_index FROM events")
 def log_daily_index(spark: SparkSession, directory: str) -> DataFrame:
     path = work_path(spark, "daily")
     reports.write_daily_log(read_table(spark, directory, "events"), "ts", path)
-    return spark.read.parquet(path).select("event_id", "event_type", "index")
+    return spark.read.parquet(path).select("event_id", "event_type", "log_index")
 
 
 @query(

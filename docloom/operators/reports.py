@@ -61,8 +61,8 @@ def write_daily_log(records: DataFrame, timestamp: str, path: str) -> None:
     The rebalance hint makes a few good-sized files per day and splits a day that
     holds far more records than others.
     """
-    indexed = records.withColumn("index", log_index(F.col(timestamp)))
-    indexed.hint("rebalance", "index").write.mode("append").partitionBy("index").parquet(path)
+    indexed = records.withColumn("log_index", log_index(F.col(timestamp)))
+    indexed.hint("rebalance", "log_index").write.mode("append").partitionBy("log_index").parquet(path)
 
 
 def error_report(events: DataFrame, timestamp: str, failed: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import partial
 
@@ -128,34 +129,30 @@ def _known_files(spark: SparkSession, path: str, before_batch: int) -> DataFrame
 
 
 # --------------------------------------------------------------------- history
-HISTORY_STATE = T.StructType(
-    [
-        T.StructField("version", T.LongType()),
-        T.StructField("seq", T.ArrayType(T.LongType())),
-        T.StructField("role", T.ArrayType(T.StringType())),
-        T.StructField("content", T.ArrayType(T.StringType())),
-    ]
-)
+# Kept messages are one JSON text: the state API returns NULLs for arrays of bigint.
+HISTORY_STATE = T.StructType([T.StructField("version", T.LongType()), T.StructField("messages", T.StringType())])
 
 
-def _trim(rows: pd.DataFrame, n: int) -> pd.DataFrame:
-    return rows.sort_values("seq", kind="stable").groupby("session_id", sort=False).tail(n)
+def _last(rows: pd.DataFrame, n: int) -> pd.DataFrame:
+    return rows.sort_values("seq", kind="stable").tail(n)
 
 
 def _trim_batches(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield _trim(batch, n)
+        yield batch.sort_values("seq", kind="stable").groupby("session_id", sort=False, dropna=False).tail(n)
 
 
 def _update_history(
     key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, n: int
 ) -> Iterator[pd.DataFrame]:
-    version, seq, role, content = state.get if state.exists else (0, [], [], [])
-    kept = pd.DataFrame({"session_id": key[0], "seq": seq, "role": role, "content": content})
+    columns = ["seq", "role", "content"]
+    version, stored = state.get if state.exists else (0, "[]")
+    kept = pd.DataFrame(json.loads(stored), columns=columns)
     for part in parts:
-        kept = _trim(pd.concat([kept, part[["session_id", "seq", "role", "content"]]], ignore_index=True), n)
-    state.update((version + 1, kept["seq"].tolist(), kept["role"].tolist(), kept["content"].tolist()))
-    yield kept.assign(version=version + 1)[["session_id", "version", "seq", "role", "content"]]
+        merged = pd.concat([kept, part[columns]], ignore_index=True) if len(kept) else part[columns]
+        kept = _last(merged, n)
+    state.update((version + 1, json.dumps(kept.values.tolist())))
+    yield kept.assign(session_id=key[0], version=version + 1)[["session_id", "version", *columns]]
 
 
 def history_updates(messages: DataFrame, n: int = fv.HISTORY_MESSAGES) -> DataFrame:
@@ -202,4 +199,4 @@ def start_daily_log(
     **sink: object,
 ) -> StreamingQuery:
     """Log records appended to one folder per day index."""
-    return append_to(records.withColumn("index", log_index(timestamp)), path, checkpoint, partition_by=["index"], **sink)
+    return append_to(records.withColumn("log_index", log_index(timestamp)), path, checkpoint, partition_by=["log_index"], **sink)
