@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docloom import fixed_values as fv
 from docloom.functions.chat import intent, is_question, question_key
 from docloom.functions.text import document_of_chunk, preview, used_context
+from docloom.operators.registry import with_defaults
 
 
 def build_context(hits: DataFrame, *, with_score: bool = True) -> DataFrame:
@@ -87,6 +88,18 @@ def citations(hits: DataFrame) -> DataFrame:
     )
 
 
+def request_defaults(requests: DataFrame) -> DataFrame:
+    """Fill what a request may leave out: session, provider, retrieval-only flag."""
+    return with_defaults(
+        requests,
+        {
+            "session_id": F.lit(fv.DEFAULT_SESSION),
+            "provider": F.lit(fv.DEFAULT_PROVIDER),
+            "retrieve_only": F.lit(False),
+        },
+    )
+
+
 def split_questions(messages: DataFrame, text: str = "question") -> tuple[DataFrame, DataFrame]:
     """Askable questions, and rejected ones with their error."""
     asked = is_question(F.col(text))

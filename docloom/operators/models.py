@@ -38,6 +38,7 @@ def extract_text(
     *,
     fetch: Fetch | None = None,
     content: str = "content",
+    ocr_extensions: tuple[str, ...] = fv.OCR_EXTENSIONS,
 ) -> DataFrame:
     """Add ``extracted_text`` and ``error`` to rows with ``filename`` and ``bucket``.
 
@@ -75,7 +76,8 @@ def extract_text(
             out["error"] = [error for _, error in done]
             yield out
 
-    return files.withColumn("_route", extractor_route(F.col("filename"))).mapInPandas(run, schema)
+    routed = files.withColumn("_route", extractor_route(F.col("filename"), ocr_extensions))
+    return routed.mapInPandas(run, schema)
 
 
 def decode_lines(data: bytes) -> list[str]:

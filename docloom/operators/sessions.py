@@ -27,12 +27,20 @@ def last_messages(messages: DataFrame, n: int = fv.HISTORY_MESSAGES) -> DataFram
     )
 
 
+def replies(turns: DataFrame) -> DataFrame:
+    """Add ``reply`` to turns with ``answer`` and, where the engine may fail, ``error``.
+
+    A failure becomes an error reply; a missing answer has a fixed text.
+    """
+    failure = F.concat(F.lit(fv.ENGINE_FAILED), "error") if "error" in turns.columns else F.lit(None)
+    return turns.withColumn("reply", F.coalesce(failure, "answer", F.lit(fv.NO_REPLY)))
+
+
 def append_turns(messages: DataFrame, turns: DataFrame, n: int = fv.HISTORY_MESSAGES) -> DataFrame:
     """History after one more turn per session.
 
-    ``turns`` is ``session_id, question, answer``: the user message and the reply
-    become two messages after the session's last one. A missing reply has a fixed
-    text.
+    ``turns`` is ``session_id, question, answer`` and optionally ``error``: the user
+    message and the reply become two messages after the session's last one.
     """
     kept = last_messages(messages, n)
     ends = messages.groupBy("session_id").agg(F.max("seq").alias("last_seq"))
@@ -41,11 +49,12 @@ def append_turns(messages: DataFrame, turns: DataFrame, n: int = fv.HISTORY_MESS
         F.struct(
             F.lit(2).cast("bigint").alias("step"),
             F.lit("assistant").alias("role"),
-            F.coalesce("answer", F.lit(fv.NO_REPLY)).alias("content"),
+            F.col("reply").alias("content"),
         ),
     )
     added = (
-        turns.join(ends, "session_id", "left")
+        replies(turns)
+        .join(ends, "session_id", "left")
         .select("session_id", F.coalesce("last_seq", F.lit(-1)).alias("last_seq"), F.explode(pair).alias("m"))
         .select("session_id", (F.col("last_seq") + F.col("m.step")).alias("seq"), "m.role", "m.content")
     )

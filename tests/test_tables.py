@@ -126,6 +126,17 @@ def test_append_turns(spark):
     assert rows[22:] == [(1, 24, "user", "q"), (1, 25, "assistant", "a"), (9, 0, "user", "new"), (9, 1, "assistant", "No response")]
 
 
+def test_failed_turns_get_an_error_reply(spark):
+    turns = spark.createDataFrame([(1, "q", None, "timeout"), (2, "q", "a", None)], "session_id bigint, question string, answer string, error string")
+    rows = {r.session_id: r.content for r in sessions.append_turns(chat(spark, {}), turns).where("role = 'assistant'").collect()}
+    assert rows == {1: "[Error] AI Engine communication failed: timeout", 2: "a"}
+
+
+def test_request_defaults(spark):
+    row = answers.request_defaults(spark.createDataFrame([(1, None)], "qid bigint, session_id string")).head()
+    assert (row.session_id, row.provider, row.retrieve_only) == ("default", "local", False)
+
+
 def test_session_pages_hold_everything(spark):
     table = spark.range(-25, 2_500).select("id", F.concat(F.lit("t"), "id").alias("title"), F.lit("Today").alias("label"))
     pages = sessions.session_groups(table, per_page=100).collect()
