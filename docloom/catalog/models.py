@@ -102,6 +102,26 @@ def corpus_index(spark: SparkSession, directory: str) -> DataFrame:
     return built.rows.select("doc_id", "filename", "text")
 
 
+_ASK_PAGES = f"""WITH {chunk_sql('pages', 'page_id', STRIPPED)},
+    named AS (SELECT 'pages:' || page_id || '#chunk-' || idx AS id, chunk AS text FROM chunks),
+    {_texts_sql('rows', 'named', 'id')}, {_texts_sql('asked', 'benchmark', 'item_id')}
+    SELECT qid, rk AS rank, id AS filename, round(d, 6) AS score, text FROM (
+    {knn_sql('SELECT item_id AS qid, id, asked.v AS a, rows.v AS b FROM asked, rows')}) JOIN named USING (id)"""
+
+
+@query(_ASK_PAGES)
+def ask_index(spark: SparkSession, directory: str) -> DataFrame:
+    """From HTML pages to an index and from questions to their texts. All lists are
+    probed, so the answer is exact."""
+    corpus = read_corpus(spark, [f"{directory}/pages.parquet"], {"id": "page_id", "content_html": "html"})
+    model = models.hashed_tokens(DIM)
+    built = index_corpus(spread(corpus, "id"), model, work_path(spark, "asked"), dim=DIM, source="pages", nlist=16)
+    asked = read_table(spark, directory, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    hits = search.nearest_by_lists(models.embed(asked, model, dim=DIM), built, nprobe=16)
+    texts = built.rows.select("id", "list_id", "filename", "text")
+    return search.hydrate(hits, texts).select("qid", "rank", "filename", F.round("l2_sq", 6).alias("score"), "text")
+
+
 @query(
     """SELECT item_id AS qid, provider, CASE
       WHEN provider = 'google' AND item_id % 2 = 0 THEN '[Error] Gemini API Key is missing. Please provide it in settings.'

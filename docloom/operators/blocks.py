@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -76,6 +78,19 @@ def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     )
 
 
+def by_slices(
+    points: np.ndarray, centroids: np.ndarray, function: Callable[[slice, np.ndarray], list | np.ndarray]
+) -> list:
+    """``function(rows, distances to all centroids)`` for slices of the points, so that
+    many lists do not make a batch's distance matrix large. Results are concatenated."""
+    step = max(1, _CELLS // max(1, len(centroids)))
+    out: list = []
+    for start in range(0, len(points), step):
+        part = slice(start, start + step)
+        out.extend(function(part, squared_distances(points[part], centroids)))
+    return out
+
+
 def nearest_in_block(
     question_ids: np.ndarray,
     questions: np.ndarray,
@@ -84,7 +99,7 @@ def nearest_in_block(
     k: int,
     exclude_same_id: bool,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(question position, row id, distance) of each question's k best rows.
+    """(question position, row position, distance) of each question's k best rows.
 
     The matrix product only picks candidates, with slack for its rounding error;
     the distances that count are summed from differences.
@@ -93,7 +108,7 @@ def nearest_in_block(
     kept = first_copies(row_ids, rows, wanted)
     row_ids, rows = row_ids[kept], rows[kept]
     if len(rows) == 0 or len(questions) == 0:
-        return np.empty(0, np.int64), row_ids[:0], np.empty(0)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     row_norm = float(np.einsum("ij,ij->i", rows, rows).max())
     out_q, out_r, out_d = [], [], []
     step = max(1, _CELLS // len(rows))
@@ -115,6 +130,6 @@ def nearest_in_block(
             d[cut] = np.round((difference * difference).sum(axis=1), DECIMALS)
         top = best(q, row_ids[r], d, k)
         out_q.append(q[top] + start)
-        out_r.append(row_ids[r[top]])
+        out_r.append(kept[r[top]])
         out_d.append(d[top])
     return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_d)

@@ -23,15 +23,22 @@ MAX_CENTROID_FLOATS = 32_000_000
 
 @dataclass
 class IvfIndex:
-    """``rows`` is ``id, vector, …, list_id`` partitioned by list. ``centroids`` and
-    ``radii`` have one entry per list; their size is checked when the index is made."""
+    """``rows`` is ``id, vector, …, list_id`` partitioned by list; ``sizes`` is
+    ``list_id, n_rows``. ``centroids`` and ``radii`` have one entry per list; their size
+    is checked when the index is made."""
 
     rows: DataFrame
+    sizes: DataFrame
     centroids: np.ndarray
     radii: np.ndarray
     dim: int
 
 
+def suggested_nlist(n_rows: int, dim: int) -> int:
+    """About the square root of the row count, within the centroid limit."""
+    return max(1, min(int(n_rows**0.5), MAX_CENTROID_FLOATS // dim))
+
+
 def train_centroids(rows: DataFrame, dim: int, nlist: int = fv.NLIST, seed: int = 42) -> np.ndarray:
     """k-means centres, fitted on a sample that grows with ``nlist`` only.
 
@@ -54,8 +61,9 @@ def assign_lists(rows: DataFrame, centroids: np.ndarray, dim: int) -> DataFrame:
     @F.arrow_udf("list_id int, to_centroid double")
     def nearest_list(vectors: pa.Array) -> pa.Array:
         points = blocks.matrix(vectors, dim)
-        squared = np.round(blocks.squared_distances(points, centroids), blocks.DECIMALS)
-        chosen = squared.argmin(axis=1)
+        chosen = np.array(
+            blocks.by_slices(points, centroids, lambda _, squared: np.round(squared, blocks.DECIMALS).argmin(axis=1)), int
+        )
         distance = np.sqrt(((points - centroids[chosen]) ** 2).sum(axis=1))
         columns = [pa.array(chosen.astype(np.int32)), pa.array(distance)]
         return pa.StructArray.from_arrays(columns, names=["list_id", "to_centroid"])
@@ -108,30 +116,45 @@ def build_index(
     spark.createDataFrame(centroid_rows, "list_id int, centroid array<double>").coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{path}/centroids")
+    _write_summary(spark, path)
     return open_index(spark, path)
 
 
+def _write_summary(spark: SparkSession, path: str) -> None:
+    """Rows and radius of every list, so that opening the index need not scan it."""
+    spark.read.parquet(f"{path}/rows").groupBy("list_id").agg(
+        F.count("*").alias("n_rows"), F.max("to_centroid").alias("radius")
+    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/lists")
+
+
 def open_index(spark: SparkSession, path: str) -> IvfIndex:
     """Open a written index. Only one row per list reaches the driver."""
-    rows = spark.read.parquet(f"{path}/rows")
+    lists = spark.read.parquet(f"{path}/lists")
     centroids = spark.read.parquet(f"{path}/centroids").orderBy("list_id").toArrow()
     dim = len(centroids["centroid"][0])
-    spread = rows.groupBy("list_id").agg(F.max("to_centroid").alias("radius")).toArrow()
+    spread = lists.toArrow()
     radii = np.zeros(centroids.num_rows)
     radii[spread["list_id"].to_numpy()] = spread["radius"].to_numpy()
-    return IvfIndex(rows, blocks.matrix(centroids["centroid"], dim), radii, dim)
+    return IvfIndex(
+        spark.read.parquet(f"{path}/rows"),
+        lists.select("list_id", "n_rows"),
+        blocks.matrix(centroids["centroid"], dim),
+        radii,
+        dim,
+    )
 
 
 def append_to_index(rows: DataFrame, path: str) -> IvfIndex:
     """Add rows to an index without refitting it."""
-    index = open_index(rows.sparkSession, path)
+    spark = rows.sparkSession
+    index = open_index(spark, path)
     write_index(assign_lists(rows, index.centroids, index.dim), f"{path}/rows")
-    return open_index(rows.sparkSession, path)
+    _write_summary(spark, path)
+    return open_index(spark, path)
 
 
 def index_size(index: IvfIndex) -> DataFrame:
     """Rows per list; lists nothing fell into are reported with 0."""
     spark = index.rows.sparkSession
     lists = spark.range(len(index.centroids)).select(F.col("id").cast("int").alias("list_id"))
-    counted = index.rows.groupBy("list_id").agg(F.count("*").alias("n_rows"))
-    return lists.join(counted, "list_id", "left").select("list_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    return lists.join(index.sizes, "list_id", "left").select("list_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))

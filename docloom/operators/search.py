@@ -1,7 +1,8 @@
 """Nearest-neighbour search: exact, by index lists, and within one document.
 
 Questions carry ``qid`` and ``vector``; rows carry ``id`` and ``vector``; hits are
-``qid, id, l2_sq, rank`` (rank starts at 1, ties go to the smaller id).
+``qid, id, l2_sq, rank`` (rank starts at 1, ties go to the smaller id). Searches in an
+index also tell the ``list_id`` of every hit, which later narrows the read of its text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from docloom import fixed_values as fv
 from docloom.operators import blocks
-from docloom.operators.index import IvfIndex, build_index
+from docloom.operators.index import IvfIndex, build_index, suggested_nlist
 from docloom.session import materialise, once
 
 MAX_BROADCAST_QUESTIONS = 10_000
@@ -26,26 +27,31 @@ QUESTIONS_PER_BLOCK = 2_000
 BLOCK_FLOATS = 16_000_000
 
 
-def _hit_schema(questions: DataFrame, rows: DataFrame) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("qid", questions.schema["qid"].dataType),
-            T.StructField("id", rows.schema["id"].dataType),
-            T.StructField("l2_sq", T.DoubleType()),
-        ]
-    )
+def _hit_schema(questions: DataFrame, rows: DataFrame, list_column: str | None = None) -> T.StructType:
+    fields = [
+        T.StructField("qid", questions.schema["qid"].dataType),
+        T.StructField("id", rows.schema["id"].dataType),
+        T.StructField("l2_sq", T.DoubleType()),
+    ]
+    if list_column is not None:
+        fields.append(T.StructField("list_id", rows.schema[list_column].dataType))
+    return T.StructType(fields)
 
 
-def _arrow_hits(qids: np.ndarray, row_ids: np.ndarray, distance: np.ndarray, types: tuple) -> list[pa.Array]:
-    return [pa.array(qids, types[0]), pa.array(row_ids, types[1]), pa.array(distance, pa.float64())]
+def _arrow(columns: tuple[np.ndarray, ...], schema: T.StructType) -> pa.RecordBatch:
+    names = schema.fieldNames()
+    arrays = [
+        pa.array(column, _arrow_type(field)) for column, field in zip(columns[: len(names)], schema, strict=True)
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _id_types(schema: T.StructType) -> tuple:
-    known = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
-    try:
-        return known[schema["qid"].dataType], known[schema["id"].dataType]
-    except KeyError:
-        raise TypeError("qid and id must be bigint, int or string") from None
+def _arrow_type(field: T.StructField) -> pa.DataType:
+    known = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    kind = field.dataType.simpleString()
+    if kind not in known:
+        raise TypeError(f"{field.name} must be bigint, int or string, not {kind}")
+    return known[kind]
 
 
 def keep_nearest(hits: DataFrame, k: int) -> DataFrame:
@@ -75,7 +81,7 @@ def nearest(
     """
     few = _few(questions.select("qid", "vector"), max_broadcast_questions, dim)
     if few is None:
-        return nearest_pruned(questions, rows, k, dim=dim, exclude_same_id=exclude_same_id)
+        return nearest_pruned(questions, rows, k, dim=dim, exclude_same_id=exclude_same_id).drop("list_id")
     return _scan(few, rows, k, dim, exclude_same_id, _hit_schema(questions, rows))
 
 
@@ -100,7 +106,8 @@ def _scan(
     With ``list_column``, the questions' ``lists`` say which values of it each of them
     may search; other rows are filtered out at the scan.
     """
-    types = _id_types(schema)
+    for field in schema:
+        _arrow_type(field)
     columns = ["id", "vector"]
     if questions.num_rows == 0:
         rows = rows.where(F.lit(False))
@@ -116,39 +123,39 @@ def _scan(
         (blocks.ids(questions["qid"]), blocks.matrix(questions["vector"], dim), askers)
     )
 
-    def parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def parts(homes: np.ndarray | None, n_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(question positions, row positions) to be compared."""
         qids, _, by_list = sent.value
-        if by_list is None:
-            yield np.arange(len(qids)), np.arange(batch.num_rows)
+        if homes is None:
+            yield np.arange(len(qids)), np.arange(n_rows)
             return
-        values, group = np.unique(blocks.ids(batch.column(list_column)), return_inverse=True)
+        values, group = np.unique(homes, return_inverse=True)
         for number, value in enumerate(values.tolist()):
             yield np.array(by_list[value]), np.flatnonzero(group == number)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, vectors, _ = sent.value
-        found = (np.empty(0, np.int64), None, np.empty(0))
+        found: tuple[np.ndarray, ...] | None = None
         for batch in batches:
             row_ids, matrix = blocks.ids(batch.column("id")), blocks.matrix(batch.column("vector"), dim)
-            for askers_here, rows_here in parts(batch):
+            homes = None if list_column is None else blocks.ids(batch.column(list_column))
+            for asking, held in parts(homes, len(row_ids)):
                 q, r, d = blocks.nearest_in_block(
-                    qids[askers_here], vectors[askers_here], row_ids[rows_here], matrix[rows_here], k, exclude_same_id
+                    qids[asking], vectors[asking], row_ids[held], matrix[held], k, exclude_same_id
                 )
-                q = askers_here[q]
-                if found[1] is not None:
-                    q, r, d = (np.concatenate(pair) for pair in zip(found, (q, r, d), strict=True))
-                top = blocks.best(q, r, d, k)
-                found = (q[top], r[top], d[top])
-        if found[1] is not None:
-            arrays = _arrow_hits(qids[found[0]], found[1], found[2], types)
-            yield pa.RecordBatch.from_arrays(arrays, names=["qid", "id", "l2_sq"])
+                new = (asking[q], row_ids[held][r], d, (row_ids if homes is None else homes)[held][r])
+                if found is not None:
+                    new = tuple(np.concatenate(pair) for pair in zip(found, new, strict=True))
+                top = blocks.best(*new[:3], k)
+                found = tuple(part[top] for part in new)
+        if found is not None:
+            yield _arrow((qids[found[0]], *found[1:]), schema)
 
     return keep_nearest(rows.select(*columns).mapInArrow(search, schema), k)
 
 
 def _search_blocks(
-    probes: DataFrame, rows: DataFrame, k: int, dim: int, exclude_same_id: bool
+    probes: DataFrame, rows: DataFrame, sizes: DataFrame, k: int, dim: int, exclude_same_id: bool
 ) -> DataFrame:
     """Best rows of every probe (``qid, list_id, vector``) inside its list.
 
@@ -161,7 +168,7 @@ def _search_blocks(
     """
     rows_per_block = min(ROWS_PER_BLOCK, max(1, BLOCK_FLOATS // dim))
     asked = probes.groupBy("list_id").agg(F.ceil(F.count("*") / QUESTIONS_PER_BLOCK).alias("question_blocks"))
-    held = rows.groupBy("list_id").agg(F.ceil(F.count("*") / rows_per_block).alias("row_blocks"))
+    held = sizes.select("list_id", F.ceil(F.col("n_rows") / rows_per_block).alias("row_blocks"))
     counts = materialise(held.join(asked, "list_id"), "block-counts")
 
     def block_of(key: str, blocks_column: str):
@@ -182,20 +189,22 @@ def _search_blocks(
         .withColumn("row_block", block_of("id", "row_blocks"))
         .select("list_id", every_block("question_blocks").alias("question_block"), "row_block", "id", "vector")
     )
-    schema = _hit_schema(probes, rows)
-    types = _id_types(schema)
+    schema = _hit_schema(probes, rows, "list_id")
+    for field in schema:
+        _arrow_type(field)
 
     def search(questions: pa.Table, candidates: pa.Table) -> pa.Table:
-        qids = blocks.ids(questions["qid"])
+        qids, row_ids = blocks.ids(questions["qid"]), blocks.ids(candidates["id"])
         q, r, d = blocks.nearest_in_block(
             qids,
             blocks.matrix(questions["question_vector"], dim),
-            blocks.ids(candidates["id"]),
+            row_ids,
             blocks.matrix(candidates["vector"], dim),
             k,
             exclude_same_id,
         )
-        return pa.Table.from_arrays(_arrow_hits(qids[q], r, d, types), names=["qid", "id", "l2_sq"])
+        homes = blocks.ids(candidates["list_id"])
+        return pa.Table.from_batches([_arrow((qids[q], row_ids[r], d, homes[r]), schema)])
 
     key = ["list_id", "row_block", "question_block"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, schema)
@@ -209,8 +218,10 @@ def choose_lists(questions: DataFrame, index: IvfIndex, nprobe: int = fv.NPROBE)
 
     @F.arrow_udf("array<int>")
     def nearest_lists(vectors: pa.Array) -> pa.Array:
-        squared = np.round(blocks.squared_distances(blocks.matrix(vectors, dim), centroids), blocks.DECIMALS)
-        return blocks.list_array(np.argsort(squared, axis=1, kind="stable")[:, :nprobe], np.int32)
+        def first(_: slice, squared: np.ndarray) -> np.ndarray:
+            return np.argsort(np.round(squared, blocks.DECIMALS), axis=1, kind="stable")[:, :nprobe]
+
+        return blocks.list_array(blocks.by_slices(blocks.matrix(vectors, dim), centroids, first), np.int32)
 
     return questions.select("qid", "vector", once(nearest_lists)("vector").alias("lists"))
 
@@ -236,9 +247,9 @@ def nearest_by_lists(
     chosen = choose_lists(questions, index, nprobe)
     few = _few(chosen, max_broadcast_questions, index.dim)
     if few is not None:
-        return _scan(few, index.rows, k, index.dim, exclude_same_id, _hit_schema(questions, index.rows), "list_id")
+        return _scan(few, index.rows, k, index.dim, exclude_same_id, _hit_schema(questions, index.rows, "list_id"), "list_id")
     probes = materialise(_one_row_per_list(chosen), "probes")
-    hits = _search_blocks(probes, index.rows, k, index.dim, exclude_same_id)
+    hits = _search_blocks(probes, index.rows, index.sizes, k, index.dim, exclude_same_id)
     return keep_nearest(hits, k)
 
 
@@ -249,7 +260,7 @@ def nearest_pruned(
     *,
     dim: int,
     exclude_same_id: bool = False,
-    nlist: int = fv.NLIST,
+    nlist: int | None = None,
     nprobe: int = fv.NPROBE,
     index: IvfIndex | None = None,
 ) -> DataFrame:
@@ -261,10 +272,10 @@ def nearest_pruned(
     are searched in the second pass.
     """
     if index is None:
-        index = build_index(rows, dim=dim, nlist=nlist)
+        index = build_index(rows, dim=dim, nlist=nlist or suggested_nlist(rows.count(), dim))
     asked = materialise(choose_lists(questions, index, nprobe), "asked")
     first = materialise(
-        _search_blocks(_one_row_per_list(asked), index.rows, k, dim, exclude_same_id), "first-hits"
+        _search_blocks(_one_row_per_list(asked), index.rows, index.sizes, k, dim, exclude_same_id), "first-hits"
     )
     bounds = (
         keep_nearest(first, k)
@@ -276,19 +287,22 @@ def nearest_pruned(
 
     @F.arrow_udf("array<int>")
     def open_lists(vectors: pa.Array, searched: pa.Array, bound: pa.Array) -> pa.Array:
-        squared = blocks.squared_distances(blocks.matrix(vectors, dim), centroids)
-        lowest = np.maximum(0.0, np.sqrt(np.maximum(squared, 0.0)) - radii[None, :])
         reach = np.sqrt(bound.fill_null(np.inf).to_numpy(zero_copy_only=False))
-        # The slack covers rounding in centroid distances and in the bound itself.
-        within = lowest <= (reach * (1 + 1e-6) + 1e-4)[:, None]
         done = blocks.matrix(searched, len(searched[0]) if len(searched) else 0).astype(int)
-        np.put_along_axis(within, done, False, axis=1)
-        return blocks.list_array([np.flatnonzero(row) for row in within], np.int32)
+
+        def still_open(part: slice, squared: np.ndarray) -> list[np.ndarray]:
+            lowest = np.maximum(0.0, np.sqrt(np.maximum(squared, 0.0)) - radii[None, :])
+            # The slack covers rounding in centroid distances and in the bound itself.
+            within = lowest <= (reach[part] * (1 + 1e-6) + 1e-4)[:, None]
+            np.put_along_axis(within, done[part], False, axis=1)
+            return [np.flatnonzero(row) for row in within]
+
+        return blocks.list_array(blocks.by_slices(blocks.matrix(vectors, dim), centroids, still_open), np.int32)
 
     left_over = asked.join(bounds, "qid", "left").select(
         "qid", "vector", once(open_lists)("vector", "lists", "bound").alias("lists")
     )
-    second = _search_blocks(materialise(_one_row_per_list(left_over), "further-probes"), index.rows, k, dim, exclude_same_id)
+    second = _search_blocks(materialise(_one_row_per_list(left_over), "further-probes"), index.rows, index.sizes, k, dim, exclude_same_id)
     return keep_nearest(first.unionByName(second), k)
 
 
@@ -314,8 +328,9 @@ def nearest_within(
     if few is not None:
         within = _scan(few, keyed, k, dim, exclude_same_id, _hit_schema(questions, rows), "list_id")
     else:
-        hits = _search_blocks(_one_row_per_list(limited), keyed, k, dim, exclude_same_id)
-        within = keep_nearest(hits, k)
+        sizes = keyed.groupBy("list_id").agg(F.count("*").alias("n_rows"))
+        hits = _search_blocks(_one_row_per_list(limited), keyed, sizes, k, dim, exclude_same_id)
+        within = keep_nearest(hits.drop("list_id"), k)
     everywhere = nearest(
         questions.where(F.col(key).isNull()),
         rows,
@@ -332,7 +347,12 @@ def hydrate(hits: DataFrame, texts: DataFrame, id_column: str = "id") -> DataFra
 
     The drop comes after the top-k, so a question may end with fewer than k hits.
     The hits are written first: the search then runs once, and Spark knows their real
-    size when it decides whether they may be broadcast to the texts.
+    size when it decides whether they may be broadcast to the texts. If both sides have
+    ``list_id``, only the lists that hold hits are read.
     """
-    named = texts.select(F.col(id_column).alias("id"), "filename", "text")
-    return materialise(hits, "hits").join(named, "id").where(F.length("text") > 0)
+    keys = ["id"] + [c for c in ("list_id",) if c in hits.columns and c in texts.columns]
+    named = texts.select(F.col(id_column).alias("id"), *keys[1:], "filename", "text")
+    # Every hit has a rank; Spark prunes partitions by a join only if the pruning side
+    # looks filtered.
+    ranked = materialise(hits, "hits").where(F.col("rank") > 0)
+    return ranked.join(named, keys).where(F.length("text") > 0)
