@@ -10,8 +10,8 @@ from docloom.catalog import query
 from docloom.functions import chat, files
 from docloom.functions import text as tx
 from docloom.operators.reports import index_stats
-from docloom.plans.corpus_index import clean_chunk_table, explode_chunks, html_chunks
-from docloom.session import read_table, spread
+from docloom.plans.corpus_index import append_chunks, clean_chunk_table, explode_chunks, html_chunks
+from docloom.session import read_table, spread, work_path
 
 WS = fv.WHITESPACE
 WS_LIST = (
@@ -111,7 +111,9 @@ def chunk_plain(spark: SparkSession, directory: str) -> DataFrame:
     f"SELECT page_id::VARCHAR AS doc_id, trim(regexp_replace(chunk, '{WS}+', ' ', 'g')) AS chunk FROM chunks"
 )
 def chunk_table(spark: SparkSession, directory: str) -> DataFrame:
-    return clean_chunk_table(chunk_pages(spark, directory))
+    path = work_path(spark, "chunks")
+    append_chunks(clean_chunk_table(chunk_pages(spark, directory)), path)
+    return spark.read.parquet(path)
 
 
 @query(

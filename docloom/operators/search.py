@@ -3,6 +3,9 @@
 Questions carry ``qid`` and ``vector``; rows carry ``id`` and ``vector``; hits are
 ``qid, id, l2_sq, rank`` (rank starts at 1, ties go to the smaller id). Searches in an
 index also tell the ``list_id`` of every hit, which later narrows the read of its text.
+
+Searches look at the number of questions before they choose a way, which runs a small
+job when they are called; the search itself runs when its result is used.
 """
 
 from __future__ import annotations
