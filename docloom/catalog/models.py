@@ -10,7 +10,7 @@ from docloom.catalog import query
 from docloom.catalog.retrieval import DIM, knn_sql
 from docloom.catalog.text import PAGE_NAME, STRIPPED, WS_LIST, chunk_sql, chunk_documents, named_pages
 from docloom.operators import models, search
-from docloom.plans.corpus_index import index_corpus
+from docloom.plans.corpus_index import index_corpus, index_extracted
 from docloom.session import read_table, spread, work_path
 from docloom.sources.corpus import read_corpus
 
@@ -122,6 +122,28 @@ def ask_index(spark: SparkSession, directory: str) -> DataFrame:
     return search.hydrate(hits, texts).select("qid", "rank", "filename", F.round("l2_sq", 6).alias("score"), "text")
 
 
+_EXTRACTED = f"""extracted AS (SELECT filename, trim(regexp_replace(regexp_replace({extracted_sql('filename', 'html')},
+    '[\\x{{01}}-\\x{{08}}\\x{{0b}}\\x{{0c}}\\x{{0e}}-\\x{{1f}}\\x{{7f}}-\\x{{9f}}]', '', 'g'), '{fv.WHITESPACE}+', ' ', 'g')) AS text
+    FROM (SELECT {PAGE_NAME} AS filename, html FROM pages WHERE length(html) >= 3000))"""
+
+
+@query(
+    f"WITH {_EXTRACTED}, {chunk_sql('extracted', 'filename', 'text')} SELECT filename AS doc_id, "
+    "'files:' || filename || '#chunk-' || idx AS filename, chunk AS text FROM chunks"
+)
+def index_extracted_text(spark: SparkSession, directory: str) -> DataFrame:
+    """Files to extracted text to index, read back from the index."""
+    built = index_extracted(
+        extract_text(spark, directory),
+        models.hashed_tokens(DIM),
+        work_path(spark, "files"),
+        source="files",
+        dim=DIM,
+        nlist=16,
+    )
+    return built.rows.select("doc_id", "filename", "text")
+
+
 @query(
     """SELECT item_id AS qid, provider, CASE
       WHEN provider = 'google' AND item_id % 2 = 0 THEN '[Error] Gemini API Key is missing. Please provide it in settings.'

@@ -172,12 +172,11 @@ def build_plain_context(spark: SparkSession, directory: str) -> DataFrame:
     f"""WITH {_HITS} SELECT qid, rk AS rank, filename, round(d, 6) AS score, substring(text, 1, 300) AS preview FROM hits"""
 )
 def answer_sources(spark: SparkSession, directory: str) -> DataFrame:
-    context = answers.build_context(_hits(spark, directory, _questions(spark, directory)))
-    hits = context.select("qid", F.posexplode("sources").alias("pos", "s"))
-    ranks = _hits(spark, directory, _questions(spark, directory)).select("qid", "rank", "filename")
-    return hits.select(
-        "qid", F.col("s.filename"), F.round("s.score", 6).alias("score"), F.col("s.preview")
-    ).join(ranks, ["qid", "filename"])
+    hits = _hits(spark, directory, _questions(spark, directory))
+    sources = answers.build_context(hits).select("qid", F.inline("sources"))
+    return sources.select("qid", "filename", F.round("score", 6).alias("score"), "preview").join(
+        hits.select("qid", "rank", "filename"), ["qid", "filename"]
+    )
 
 
 @query(

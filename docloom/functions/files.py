@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +19,8 @@ def extractor_route(filename: Column, ocr_extensions: tuple[str, ...] = fv.OCR_E
 
 def relative_path(path: Column, root: str) -> Column:
     """``path`` below ``root``; a path outside it is returned unchanged."""
-    return F.regexp_replace(path, "^" + re.escape(root.rstrip("/") + "/"), "")
+    prefix = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(prefix)), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
 
 
 def short_id(name: Column) -> Column:

@@ -48,23 +48,49 @@ def append_chunks(chunks: DataFrame, path: str, table_format: str = "parquet") -
     chunks.write.format(table_format).mode("append").save(path)
 
 
-def index_corpus(
-    corpus: DataFrame,
+def index_chunks(
+    chunks: DataFrame,
     model_factory: Callable[[], Callable[[list[str]], np.ndarray]],
     path: str,
     *,
     dim: int,
-    source: str,
     nlist: int = fv.NLIST,
     batch_size: int = fv.EMBED_BATCH,
 ) -> IvfIndex:
-    """Strip, chunk, embed, write; then fit lists on the written chunks.
+    """Embed, write; then fit lists on the written chunks.
 
     The embedded chunks are written once, because fitting reads them several times
-    and the model is by far the most expensive step.
+    and the model is by far the most expensive step. A chunk's id is its file name.
     """
-    chunks = explode_chunks(corpus, "id", source, html_chunks(F.col("content_html")))
     embedded = embed(chunks, model_factory, dim=dim, batch_size=batch_size)
     embedded.withColumn("id", F.col("filename")).write.mode("error").parquet(f"{path}/chunks")
-    rows = corpus.sparkSession.read.parquet(f"{path}/chunks")
+    rows = chunks.sparkSession.read.parquet(f"{path}/chunks")
     return build_index(rows, dim=dim, nlist=nlist, path=f"{path}/index")
+
+
+def index_corpus(
+    corpus: DataFrame,
+    model_factory: Callable[[], Callable[[list[str]], np.ndarray]],
+    path: str,
+    *,
+    source: str,
+    **settings: int,
+) -> IvfIndex:
+    """HTML corpus (``id, content_html``) to index: strip, cut, embed, fit."""
+    chunks = explode_chunks(corpus, "id", source, html_chunks(F.col("content_html")))
+    return index_chunks(chunks, model_factory, path, **settings)
+
+
+def index_extracted(
+    extracted: DataFrame,
+    model_factory: Callable[[], Callable[[list[str]], np.ndarray]],
+    path: str,
+    *,
+    source: str,
+    **settings: int,
+) -> IvfIndex:
+    """Extracted texts (``filename, extracted_text, error``) to index: clean, cut, embed,
+    fit. Failed extractions are left out."""
+    good = extracted.where(F.col("error").isNull())
+    chunks = explode_chunks(good, "filename", source, chunk_text(clean_text(F.col("extracted_text"))))
+    return index_chunks(chunks, model_factory, path, **settings)
