@@ -25,9 +25,11 @@ from docloom.session import materialise, once
 
 MAX_BROADCAST_QUESTIONS = 10_000
 MAX_BROADCAST_FLOATS = 16_000_000
+# Rows and questions are copied to each other's blocks, so equal sizes copy least.
 ROWS_PER_BLOCK = 20_000
-QUESTIONS_PER_BLOCK = 2_000
+QUESTIONS_PER_BLOCK = 20_000
 BLOCK_FLOATS = 16_000_000
+MAX_PENDING_HITS = 2_000_000
 
 
 def _hit_schema(questions: DataFrame, rows: DataFrame, list_column: str | None = None) -> T.StructType:
@@ -138,7 +140,14 @@ def _scan(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, vectors, _ = sent.value
-        found: tuple[np.ndarray, ...] | None = None
+        found: list[tuple[np.ndarray, ...]] = []
+        pending = 0
+
+        def reduce_found() -> None:
+            joined = tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
+            top = blocks.best(*joined[:3], k)
+            found[:] = [tuple(part[top] for part in joined)]
+
         for batch in batches:
             row_ids, matrix = blocks.ids(batch.column("id")), blocks.matrix(batch.column("vector"), dim)
             homes = None if list_column is None else blocks.ids(batch.column(list_column))
@@ -146,13 +155,17 @@ def _scan(
                 q, r, d = blocks.nearest_in_block(
                     qids[asking], vectors[asking], row_ids[held], matrix[held], k, exclude_same_id
                 )
-                new = (asking[q], row_ids[held][r], d, (row_ids if homes is None else homes)[held][r])
-                if found is not None:
-                    new = tuple(np.concatenate(pair) for pair in zip(found, new, strict=True))
-                top = blocks.best(*new[:3], k)
-                found = tuple(part[top] for part in new)
-        if found is not None:
-            yield _arrow((qids[found[0]], *found[1:]), schema)
+                found.append((asking[q], row_ids[held][r], d, (row_ids if homes is None else homes)[held][r]))
+                pending += len(q)
+                if pending > MAX_PENDING_HITS:
+                    reduce_found()
+                    pending = 0
+            if len(found) > 1:
+                reduce_found()
+                pending = 0
+        if found:
+            reduce_found()
+            yield _arrow((qids[found[0][0]], *found[0][1:]), schema)
 
     return keep_nearest(rows.select(*columns).mapInArrow(search, schema), k)
 
@@ -169,9 +182,10 @@ def _search_blocks(
     The table of block counts has one row per list that is both held and asked for.
     It is written first, so Spark knows its real size when it joins it.
     """
-    rows_per_block = min(ROWS_PER_BLOCK, max(1, BLOCK_FLOATS // dim))
-    asked = probes.groupBy("list_id").agg(F.ceil(F.count("*") / QUESTIONS_PER_BLOCK).alias("question_blocks"))
-    held = sizes.select("list_id", F.ceil(F.col("n_rows") / rows_per_block).alias("row_blocks"))
+    fitting = max(1, BLOCK_FLOATS // dim)
+    per_question_block, per_row_block = min(QUESTIONS_PER_BLOCK, fitting), min(ROWS_PER_BLOCK, fitting)
+    asked = probes.groupBy("list_id").agg(F.ceil(F.count("*") / per_question_block).alias("question_blocks"))
+    held = sizes.select("list_id", F.ceil(F.col("n_rows") / per_row_block).alias("row_blocks"))
     counts = materialise(held.join(asked, "list_id"), "block-counts")
 
     def block_of(key: str, blocks_column: str):
@@ -183,9 +197,14 @@ def _search_blocks(
     left = (
         probes.join(counts, "list_id")
         .withColumn("question_block", block_of("qid", "question_blocks"))
-        .select("list_id", "question_block", every_block("row_blocks").alias("row_block"), "qid",
-                # Renamed, because questions and rows may come from one table.
-                F.col("vector").alias("question_vector"))
+        .select(
+            "list_id",
+            "question_block",
+            every_block("row_blocks").alias("row_block"),
+            "qid",
+            # Renamed, because questions and rows may come from one table.
+            F.col("vector").alias("question_vector"),
+        )
     )
     right = (
         rows.join(counts, "list_id")
