@@ -93,27 +93,30 @@ def start_routing(
 
 
 # -------------------------------------------------------------------- registry
-def start_registry(
-    uploads: DataFrame, order: list[str], path: str, checkpoint: str, *, available_now: bool = True
-) -> StreamingQuery:
-    """Insert unknown files into the registry at ``path``, one folder per micro-batch.
+def insert_batch(batch: DataFrame, batch_id: int, order: list[str], path: str) -> None:
+    """Append the unknown files of one micro-batch to the registry at ``path``.
 
     A replayed batch compares itself with earlier batches only and overwrites its own
     folders, so replays change nothing. The offered rows are written first: their
     keys, whose real size Spark then knows, pick the known files out of the registry,
     so that the registry is scanned by key column but need not be shuffled.
     """
+    spark = batch.sparkSession
+    offers = f"{path.rstrip('/')}-offers/batch_id={batch_id}"
+    first_per_key(batch, "filename", order).write.mode("overwrite").parquet(offers)
+    offered = spark.read.schema(batch.schema).parquet(offers)
+    known = _known_files(spark, path, batch_id).join(offered.select("filename"), "filename", "left_semi")
+    new_rows = registry_rows(offered.join(known, "filename", "left_anti"))
+    new_rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        offers = f"{path.rstrip('/')}-offers/batch_id={batch_id}"
-        first_per_key(batch, "filename", order).write.mode("overwrite").parquet(offers)
-        offered = spark.read.schema(batch.schema).parquet(offers)
-        known = _known_files(spark, path, batch_id).join(offered.select("filename"), "filename", "left_semi")
-        new_rows = registry_rows(offered.join(known, "filename", "left_anti"))
-        new_rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    writer = uploads.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+def start_registry(
+    uploads: DataFrame, order: list[str], path: str, checkpoint: str, *, available_now: bool = True
+) -> StreamingQuery:
+    """Insert unknown files into the registry, one folder per micro-batch."""
+    writer = uploads.writeStream.foreachBatch(partial(insert_batch, order=order, path=path)).option(
+        "checkpointLocation", checkpoint
+    )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
