@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import substrings
+from docloom.llm import contamination, repetition, sequences, substrings, urls
 from docloom.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,123 @@ def op2_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
     docs = read_table(spark, directory, "documents").select("doc_id", "text")
     kept = substrings.kept_words(F.col("text"))
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+def _covered(n: int) -> str:
+    """Word characters covered by windows of n words found twice or more in the text."""
+    return f"""
+g{n} AS (
+  SELECT *, CASE WHEN j + {n - 1} <= n THEN array_to_string(words[j:j + {n - 1}], ' ') END AS win FROM word
+), f{n} AS (
+  SELECT doc_id, j, w, win IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, win) > 1 AS twice FROM g{n}
+), c{n} AS (
+  SELECT doc_id, count(*) FILTER (c) AS words_{n}, coalesce(sum(len(w)) FILTER (c), 0) AS chars_{n} FROM (
+    SELECT doc_id, w, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c FROM f{n}
+  ) GROUP BY doc_id
+)"""
+
+
+OP6 = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), word AS (
+  SELECT doc_id, words, len(words) AS n, j, words[j] AS w FROM (SELECT *, unnest(range(1, len(words) + 1)) AS j FROM texts)
+), {_covered(3)}, {_covered(5)}, {_covered(7)}, {_covered(10)}, line AS (
+  SELECT doc_id, k, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM texts
+  ) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), lines AS (
+  SELECT doc_id, count(*) FILTER (nth > 1) AS n_dup_lines,
+    coalesce(sum(len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) FILTER (nth > 1), 0) AS line_chars
+  FROM line GROUP BY doc_id
+), base AS (
+  SELECT t.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: len(w))), 0) AS word_chars,
+    len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(words_3, 0) AS n_repeat_words, coalesce(line_chars, 0) AS line_chars,
+    coalesce(chars_5, 0) AS chars_5, coalesce(chars_7, 0) AS chars_7, coalesce(chars_10, 0) AS chars_10
+  FROM texts t LEFT JOIN lines USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN c5 USING (doc_id)
+    LEFT JOIN c7 USING (doc_id) LEFT JOIN c10 USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+)
+SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * line_chars <= 20 * word_chars AND 100 * chars_5 <= 15 * word_chars
+    AND 100 * chars_7 <= 13 * word_chars AND 100 * chars_10 <= 10 * word_chars AS kept
+FROM judged
+"""
+
+
+@query(OP6)
+def op6_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
+    """Repetition counts of every document and whether it stays."""
+    docs = read_table(spark, directory, "documents").select("doc_id", "text")
+    return repetition.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def vocabulary() -> str:
+    """Place of the tokenizer file, asked for where a task runs."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op7_packing(spark: SparkSession, directory: str) -> DataFrame:
+    """Every piece of every document in sequences of up to 2048 tokens."""
+    docs = read_table(spark, directory, "documents")
+    return sequences.pack_sequences(docs, vocabulary).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_id"
+    )
+
+
+OP8 = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[k:k + size - 1], ' ') AS win FROM (
+    SELECT *, unnest(range(1, len(words) - size + 2)) AS k FROM (SELECT *, least(13, len(words)) AS size FROM items) WHERE size > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), places AS (
+  SELECT doc_id, j, size, array_to_string(words[j:j + size - 1], ' ') AS win FROM (
+    SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS j FROM texts, sizes WHERE len(words) >= size)
+), hits AS (
+  SELECT doc_id, j, size, item_id FROM places JOIN windows USING (size, win)
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (
+    SELECT doc_id, unnest(range(j, j + size)) AS place FROM (SELECT DISTINCT doc_id, j, size FROM hits)) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
+    SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM texts LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
+@query(OP8)
+def op8_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    """Which documents hold passages of the benchmark, and of which items."""
+    docs = read_table(spark, directory, "documents").select("doc_id", "text")
+    return contamination.find_contamination(docs, read_table(spark, directory, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query()
+def op10_url_filter(spark: SparkSession, directory: str) -> DataFrame:
+    """Verdict on the address of every page."""
+    pages = read_table(spark, directory, "pages").select("page_id", "url")
+    return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
