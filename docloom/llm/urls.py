@@ -38,7 +38,7 @@ http://blog.thertion.test/en/5 http://ththhe.test/fr/18 http://www.therly.test/e
 http://m.ththand.test/en/40?page=2&ref=x http://science.test/es/33#top http://www.history.test/fr/14?page=3 http://thestion.test/en/2
 http://blog.ththan.test/en/123 http://therin.test/fr/456.html http://www.therwh.test/de/789/ http://m.ththble.test/es/321
 http://open-data.test/en/8 http://m.city-guide.test/fr/512.html http://www.sport-results.test/de/64/ http://blog.free-software.test/es/7
-http://tionsh.test/en/3 http://www.tiontion.test/es/44.html http://blog.tionble.test/fr/305/ http://m.adult-education.test/de/19
+http://tionsh.test/en/3 http://www.tiontion.test/es/44.html http://blog.tionble.test/fr/305/ http://m.evening-classes.test/de/19
 http://www.farmers.test/en/410 http://blog.pillow.test/fr/93/ http://train-track.test/es/27 http://m.address-book.test/de/150.html
 """
 GRAMS = (3, 4, 5)
@@ -87,7 +87,7 @@ class UrlModel:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def train(cls, labelled: list[tuple[str, str, int]], slots: int = SLOTS, ridge: float = 1e-4, steps: int = 2000, rate: float = 4.0) -> UrlModel:
+    def train(cls, labelled: list[tuple[str, str, int]], slots: int = SLOTS, ridge: float = 1e-4, steps: int = 2000, rate: float = 20.0) -> UrlModel:
         """``labelled``: host, path, 1 to block. A small table by contract: it is fitted in
         one process, by plain gradient steps on the mean loss."""
         row, slot = _grams([_marked(h, p) for h, p, _ in labelled], slots)
