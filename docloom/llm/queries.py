@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import contamination, repetition, sequences, substrings, urls
+from docloom.llm import contamination, pages, quality, repetition, sequences, substrings, urls
 from docloom.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,19 @@ def op10_url_filter(spark: SparkSession, directory: str) -> DataFrame:
     """Verdict on the address of every page."""
     pages = read_table(spark, directory, "pages").select("page_id", "url")
     return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op4_html_extraction(spark: SparkSession, directory: str) -> DataFrame:
+    """Main text of every page."""
+    pages_table = read_table(spark, directory, "pages").select("page_id", "url", "html")
+    return pages.extract_pages(pages_table).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op5_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
+    """Quality score of every document, learned from four fifths of the labels."""
+    docs, labels = (read_table(spark, directory, name) for name in ("documents", "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = quality.score_quality(docs, labels, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
