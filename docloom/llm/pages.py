@@ -72,10 +72,11 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
+    if not attributes:
+        return tag
     name = attributes.get("id", "").split()[:1]
     classes = sorted(set(attributes.get("class", "").split()))
-    label = tag + "".join(f"#{x}" for x in name) + "".join(f".{x}" for x in classes)
-    return re.sub(r"\d+", "0", label)
+    return tag + re.sub(r"\d+", "0", "".join(f"#{x}" for x in name) + "".join(f".{x}" for x in classes))
 
 
 def _noise(attributes: dict[str, str]) -> bool:
@@ -122,9 +123,10 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
     def close(depth: int) -> None:
         """Close open elements until so many are left."""
         nonlocal links
-        if any(nodes[i].tag in BLOCK for i in stack[depth:]):
+        closed = [nodes[i].tag for i in stack[depth:]]
+        if not BLOCK.isdisjoint(closed):
             flush()
-        links -= sum(nodes[i].tag == "a" for i in stack[depth:])
+        links -= closed.count("a")
         del stack[depth:]
 
     def nearest(tags, within=()) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import contamination, pages, quality, repetition, sequences, substrings, urls
+from docloom.llm import contamination, pages, quality, repetition, sequences, sharding, substrings, urls
 from docloom.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,13 @@ def op5_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     scored = quality.score_quality(docs, labels, ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op1_sharding(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document in one of 40 shards of nearly equal bytes."""
+    docs = read_table(spark, directory, "documents")
+    sharded = sharding.shard_documents(docs, shards=40)
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
