@@ -8,7 +8,9 @@ padding, whatever their tier; only the last window of a task can be partly fille
 
 from __future__ import annotations
 
+import array
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from docloom.llm import blocks as B
+from docloom.llm import words as W
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -25,7 +28,17 @@ END_ID = 1
 STEP_TOKENS = 16 * 2048
 #: Texts packed together in a task, in bytes.
 GROUP_BYTES = 4 << 20
-CACHED_WORDS = 600_000
+CACHED_WORDS = 700_000
+#: ASCII marks but the apostrophe, which starts tokens of its own.
+MARKS = ~W.byte_class([c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27])
+LETTERS = ~W.byte_class([*range(0x61, 0x7B)])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+#: Letters whose lower case and normal form are plain.
+PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: How byte-level vocabularies write the bytes that are not shown: from U+0100 on.
+BYTE_LEVEL = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 PIECE = (
     ("start", T.LongType()),
@@ -41,44 +54,78 @@ PIECE = (
 Placed = list[tuple[int, int, int]]  # (document, start, length) in order
 
 
+def _units(raw: W.Text) -> W.Words:
+    """Words between white space; a run of ASCII marks that ends a word of letters is a
+    unit of its own. No token of the vocabulary reaches across such a border."""
+    words = W.split_words(raw)
+    marks = MARKS[raw.data]
+    last = np.maximum.accumulate(np.where(marks, -1, np.arange(len(raw.data))))[words.end - 1]
+    letter = LETTERS[raw.data[last]] & (last >= words.start) & (last < words.end - 1)
+    cut = np.flatnonzero(letter)
+    start, end = np.insert(words.start, cut + 1, last[cut] + 1), np.insert(words.end, cut, last[cut] + 1)
+    text = np.insert(words.text, cut, words.text[cut])
+    return W.Words(start, end, text, np.searchsorted(text, np.arange(len(words.first))))
+
+
 class Encoder:
-    """Token ids of whole texts; ids of words are remembered.
+    """Token ids of whole texts; the ids of words are remembered.
 
     The tokenizer's pre-tokenizer drops white space and never joins across it, and it
-    lower-cases. So a text's ids are those of its words, one after the other, and
-    ASCII capitals may be lower-cased before. A comma or full stop at the end of a word
-    is a token of its own. Texts that could hold a special token's string are encoded whole.
+    lower-cases. So a text's ids are those of its words, one after the other, and ASCII
+    capitals may be lower-cased before. Words of plain Latin letters are one
+    pre-token as they are and go straight to the tokenizer's model; all others go
+    through the whole tokenizer. So do texts that could hold a special token's string.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.stop = re.compile(rb"(?<=[a-z])([,.])(?=[ \n]|\Z)")
+        self.model = self.tokenizer.model
+        self.known: dict[int, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        out: list = []
-        special = [i for i, t in enumerate(texts) if "<|" in t]
-        split = [[] if "<|" in t else self.stop.sub(rb" \1", t.encode().lower()).split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHED_WORDS:
+    def _learn(self, keys: list[int], words: list[bytes]) -> None:
+        rest = []
+        for key, word in zip(keys, words, strict=True):
+            text = word.decode()
+            if PLAIN.fullmatch(text):
+                mapped = text.lower().encode().decode("latin-1").translate(BYTE_LEVEL)
+                self.known[key] = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            else:
+                rest.append((key, text))
+        for low in range(0, len(rest), 10_000):
+            part = rest[low : low + 10_000]
+            self.known.update(zip([k for k, _ in part], self._encode([t for _, t in part]), strict=True))
+
+    def ids(self, column: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of every text; none for NULL."""
+        raw = W.text_bytes(column)
+        raw = W.Text(LOWER[raw.data], raw.offsets)
+        units = _units(raw)
+        keys, at, which = np.unique(W.hash_spans(raw.data, units.start, units.end), return_index=True, return_inverse=True)
+        keys = keys.tolist()
+        if len(self.known) > CACHED_WORDS:
             self.known.clear()
-            new = list({w for words in split for w in words})
-        for low in range(0, len(new), 10_000):
-            part = new[low : low + 10_000]
-            self.known.update(zip(part, self._encode([w.decode() for w in part]), strict=True))
-        for words in split:
-            out.append(b"".join(map(self.known.__getitem__, words)))
-        for i in special:
-            out[i] = self._encode([texts[i]])[0]
-        return out
+        new = [k for k, key in enumerate(keys) if key not in self.known]
+        starts, ends = units.start[at[new]].tolist(), units.end[at[new]].tolist()
+        self._learn([keys[k] for k in new], [raw.data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)])
+        parts = [self.known[k] for k in keys]
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.array([len(x) // 4 for x in parts], np.int64)
+        places = np.cumsum(sizes) - sizes
+        size, place = sizes[which], places[which]
+        ends = np.cumsum(size)
+        out = flat[np.repeat(place - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[units.first].tolist()
+        result = [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for k in range(len(column)):
+            if b"<|" in raw.data[raw.offsets[k] : raw.offsets[k + 1]].tobytes():
+                result[k] = self._encode([column[k].as_py()])[0]
+        return result
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -181,7 +228,7 @@ def pack_sequences(
         base = TaskContext.get().partitionId() << 36
         sequence = step = 0
         for batch in B.cut_batches(batches, text, GROUP_BYTES):
-            ids = [x + end for x in encode(["" if t is None else t for t in batch.column(text).to_pylist()])]
+            ids = [x + end for x in encode(batch.column(text))]
             sizes = [len(x) // 4 for x in ids]
             windows = sorted(arrange(sizes, tiers), key=lambda w: -w[0])
             rows = []
