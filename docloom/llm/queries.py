@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import contamination, pages, quality, repetition, sequences, sharding, substrings, urls
+from docloom.llm import contamination, neardup, pages, quality, repetition, sequences, sharding, substrings, urls
 from docloom.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,10 @@ def op1_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return sharded.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query()
+def op3_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
+    """The group of near duplicates of every document."""
+    docs = read_table(spark, directory, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs)
