@@ -87,8 +87,9 @@ def load(payload) -> pa.RecordBatch:
     return _joined([*reader])
 
 
-def pack(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents as blocks (``block, n_bytes, payload``), written to the shared folder.
+def pack(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, count: Callable[[pa.RecordBatch], int] | None = None) -> DataFrame:
+    """Documents as blocks (``block, n_bytes, n_units, payload``), written to the shared
+    folder; ``count`` gives the units of a block.
 
     No row moves: each scan task packs what it reads. Since the blocks are written,
     every later step and every repeated task sees the same ones.
@@ -98,11 +99,16 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) ->
         base = TaskContext.get().partitionId() << 32
         for number, batch in enumerate(cut_batches(batches, text, block_bytes)):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([base + number]), pa.array([int(text_sizes(batch.column(text)).sum()) + batch.num_rows]), pa.array([dump(batch)], pa.binary())],
-                names=["block", "n_bytes", "payload"],
+                [
+                    pa.array([base + number]),
+                    pa.array([int(text_sizes(batch.column(text)).sum()) + batch.num_rows]),
+                    pa.array([count(batch) if count else 0]),
+                    pa.array([dump(batch)], pa.binary()),
+                ],
+                names=["block", "n_bytes", "n_units", "payload"],
             )
 
-    return materialise(docs.mapInArrow(blocks, "block long, n_bytes long, payload binary"), "blocks")
+    return materialise(docs.mapInArrow(blocks, "block long, n_bytes long, n_units long, payload binary"), "blocks")
 
 
 def bucket_count(blocks: DataFrame, keys_per_byte: float) -> int:

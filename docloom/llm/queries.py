@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import contamination, neardup, pages, quality, repetition, sequences, sharding, substrings, urls
+from docloom.llm import backoff, contamination, neardup, pages, quality, repetition, sequences, sharding, substrings, urls
 from docloom.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,45 @@ def op3_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
     """The group of near duplicates of every document."""
     docs = read_table(spark, directory, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs)
+
+
+OP9 = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), word AS (
+  SELECT doc_id, n, j, words[j] AS w1, CASE WHEN j > 1 THEN words[j - 1] || ' ' || words[j] END AS w2,
+    CASE WHEN j > 2 THEN words[j - 2] || ' ' || words[j - 1] || ' ' || words[j] END AS w3
+  FROM (SELECT doc_id, words, len(words) AS n, unnest(range(1, len(words) + 1)) AS j FROM texts)
+), counted AS (
+  SELECT *, count(*) OVER (PARTITION BY w1) - count(*) OVER (PARTITION BY w1, doc_id) AS c1,
+    CASE WHEN w2 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY w2) - count(*) OVER (PARTITION BY w2, doc_id) END AS c2,
+    CASE WHEN w3 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY w3) - count(*) OVER (PARTITION BY w3, doc_id) END AS c3,
+    (SELECT count(*) FROM word) - n AS rest
+  FROM word
+), history AS (
+  SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY j) AS h1, lag(c2) OVER (PARTITION BY doc_id ORDER BY j) AS h2 FROM counted
+), scored AS (
+  SELECT doc_id, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS ord,
+    CASE WHEN c3 > 0 THEN ln(c3 / h2) WHEN c2 > 0 THEN ln(c2 / h1) + CASE WHEN j > 2 THEN ln(0.4) ELSE 0 END
+      ELSE CASE WHEN c1 > 0 THEN ln(c1 / rest) ELSE ln(1 / (rest + 1)) END + CASE WHEN j > 2 THEN 2 WHEN j = 2 THEN 1 ELSE 0 END * ln(0.4)
+    END AS score
+  FROM history
+), summed AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (ord = 3) AS n_order_3, count(*) FILTER (ord = 2) AS n_order_2,
+    count(*) FILTER (ord = 1) AS n_order_1, count(*) FILTER (ord = 0) AS n_order_0, avg(score) AS mean_log_score
+  FROM scored GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_order_3, 0) AS n_order_3, coalesce(n_order_2, 0) AS n_order_2,
+  coalesce(n_order_1, 0) AS n_order_1, coalesce(n_order_0, 0) AS n_order_0, round(coalesce(mean_log_score, 0), 6) AS mean_log_score
+FROM documents LEFT JOIN summed USING (doc_id)
+"""
+
+
+@query(OP9)
+def op9_backoff_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document scored by the trigrams of all others."""
+    docs = read_table(spark, directory, "documents").select("doc_id", "text")
+    scored = backoff.score_documents(docs)
+    return scored.select(
+        "doc_id", "n_words", "n_order_3", "n_order_2", "n_order_1", "n_order_0", F.round("mean_log_score", 6).alias("mean_log_score")
+    )
