@@ -94,8 +94,8 @@ WITH texts AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
 )
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND 100 * line_chars <= 20 * word_chars AND 100 * chars_5 <= 15 * word_chars
-    AND 100 * chars_7 <= 13 * word_chars AND 100 * chars_10 <= 10 * word_chars AS kept
+  NOT base_failed AND 100 * line_chars <= 30 * word_chars AND 100 * chars_5 <= 40 * word_chars
+    AND 100 * chars_7 <= 38 * word_chars AND 100 * chars_10 <= 35 * word_chars AS kept
 FROM judged
 """
 

@@ -11,9 +11,10 @@ from docloom.llm import blocks as B
 from docloom.llm import words as W
 
 #: Percent of a text's word characters that may lie in repeated n-grams of that many words.
-LIMITS = {5: 15, 7: 13, 10: 10}
+#: All occurrences count, so a short text that ends with its first line is within them.
+LIMITS = {5: 40, 7: 38, 10: 35}
 #: Percent of word characters that may lie in lines that occurred before.
-LINE_LIMIT = 20
+LINE_LIMIT = 30
 MIN_WORDS = 50
 #: Percent of words that may lie in repeated windows of three words.
 TRIPLE_LIMIT = 50
@@ -93,7 +94,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     dup_chars_5, dup_chars_7, dup_chars_10`` (long), ``base_failed`` and ``kept``
     (boolean); input columns with these names are replaced. A text is rejected with fewer
     than 50 words, with over half of its words in repeated three-word windows, with
-    more than the limit of its word characters in repeated n-grams, or with over a fifth of
+    more than the limit of its word characters in repeated n-grams, or with over 30 % of
     them in lines that occurred before.
 
     NULL and empty texts count nothing and are rejected. Rows are judged one by one, so
