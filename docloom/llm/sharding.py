@@ -81,8 +81,9 @@ def _narrow(rows: DataFrame, nodes: DataFrame, key: str, value: Column, among: C
     step = F.greatest((high - low) / F.lit(BINS), F.lit(1e-300))
     bin_ = F.least(F.floor((value - low) / step), F.lit(BINS - 1)).cast("int")
     inside = rows.join(_near(nodes, shards), "node").where(among & value.between(low, high))
-    bins = inside.groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("bin_held"), F.min(value).alias("first"), F.max(value).alias("last"))
-    sums = bins.withColumn("upto", F.sum("bin_held").over(Window.partitionBy("node").orderBy("bin"))).join(_near(nodes, shards), "node")
+    # a node's own columns go along as keys, so that the nodes are worked out only once
+    bins = inside.groupBy(*nodes.columns, bin_.alias("bin")).agg(F.sum("size").alias("bin_held"), F.min(value).alias("first"), F.max(value).alias("last"))
+    sums = bins.withColumn("upto", F.sum("bin_held").over(Window.partitionBy("node").orderBy("bin")))
     below = F.col("before") + F.col("upto") - F.col("bin_held")
     passing = sums.where((below < F.col("target")) & (below + F.col("bin_held") >= F.col("target")))
     others = [c for c in nodes.columns if c not in (f"{key}_low", f"{key}_high", "before", "held")]
@@ -100,15 +101,17 @@ def _split(rows: DataFrame, dimensions: int, spans: list[float], shards: int) ->
     nodes = nodes.withColumns({"copy_low": F.lit(0.0), "copy_high": F.lit(float(1 << 52))})
     for _ in range(ROUNDS["copy"]):
         nodes = _narrow(rows, nodes, "copy", F.col("copy"), at_place, shards)
-    nodes = nodes.withColumn("whole", F.col("held") <= F.lit(GROUP_SHARE) * F.col("share"))
-    whole = nodes.where("whole").withColumn("row_low", F.when(F.col("before") + F.col("held") / 2 <= F.col("target"), F.lit(float(1 << 53))).otherwise(F.lit(-1.0)))
-    hot = nodes.where("NOT whole").withColumns({"row_low": F.lit(0.0), "row_high": F.lit(float(1 << 52))})
+    # a small group is one point, which goes left or right as a whole
+    nodes = nodes.withColumns(
+        {"whole": F.col("held") <= F.lit(GROUP_SHARE) * F.col("share"), "row_low": F.lit(0.0), "row_high": F.lit(float(1 << 52))}
+    )
+    row = F.when(F.col("whole"), F.lit(0.0)).otherwise(F.col("row"))
     for _ in range(ROUNDS["row"]):
-        hot = _narrow(rows, hot, "row", F.col("row"), at_copy, shards)
-    cut = ["node", "axis", "left_leaves", "place_low", "place_high", "copy_low", "copy_high", "row_low"]
-    cuts = whole.select(cut).unionByName(hot.withColumn("row_low", F.when(F.col("before") + F.col("held") / 2 <= F.col("target"), F.col("row_high")).otherwise(F.col("row_low") - 1)).select(cut))
+        nodes = _narrow(rows, nodes, "row", row, at_copy, shards)
+    cut = F.when(F.col("before") + F.col("held") / 2 <= F.col("target"), F.col("row_high")).otherwise(F.col("row_low") - 1)
+    cuts = nodes.select("node", "axis", "left_leaves", "place_low", "place_high", "copy_low", "copy_high", "whole", cut.alias("cut"))
     left = (place < F.col("place_low")) | (
-        at_place & ((F.col("copy") < F.col("copy_low")) | (F.col("copy").between(F.col("copy_low"), F.col("copy_high")) & (F.col("row") <= F.col("row_low"))))
+        at_place & ((F.col("copy") < F.col("copy_low")) | (F.col("copy").between(F.col("copy_low"), F.col("copy_high")) & (row <= F.col("cut"))))
     )
     out = rows.join(_near(cuts, shards), "node", "left")
     stays = F.col("left_leaves").isNull() | left
