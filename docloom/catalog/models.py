@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import fixed_values as fv
 from docloom.catalog import query
-from docloom.catalog.retrieval import DIM, knn_sql
+from docloom.catalog.retrieval import DIM, knn_sql, texts_sql
 from docloom.catalog.text import PAGE_NAME, STRIPPED, WS_LIST, chunk_sql, chunk_documents, named_pages
 from docloom.operators import models, search
 from docloom.plans.corpus_index import index_corpus, index_extracted
@@ -21,18 +21,19 @@ def extracted_sql(name: str, text: str) -> str:
 
 
 @query(
-    f"""SELECT filename, CASE WHEN short THEN 'ERROR: no content' ELSE {extracted_sql('filename', 'html')} END AS extracted_text,
-    CASE WHEN short THEN 'no content' END AS error
-    FROM (SELECT {PAGE_NAME} AS filename, html, length(html) < 3000 AS short FROM pages)"""
+    f"""SELECT filename, {extracted_sql('filename', 'html')} AS extracted_text, NULL::VARCHAR AS error
+    FROM (SELECT {PAGE_NAME} AS filename, html FROM pages)
+    UNION ALL SELECT 'lost-' || {PAGE_NAME}, 'ERROR: no content', 'no content' FROM pages WHERE page_id % 10 = 0"""
 )
 def extract_text(spark: SparkSession, directory: str) -> DataFrame:
-    """Pages as file bytes; short ones have none, to show the error channel."""
-    pages = named_pages(spark, directory).select(
-        "filename",
-        F.lit(fv.DEFAULT_BUCKET).alias("bucket"),
-        F.when(F.length("html") >= 3000, F.encode("html", "UTF-8")).alias("content"),
+    """Pages as file bytes, and some files without any, to show the error channel."""
+    bucket = F.lit(fv.DEFAULT_BUCKET).alias("bucket")
+    named = named_pages(spark, directory)
+    lost = named.where(F.col("page_id") % 10 == 0)
+    files = named.select("filename", bucket, F.encode("html", "UTF-8").alias("content")).unionByName(
+        lost.select(F.concat(F.lit("lost-"), "filename").alias("filename"), bucket, F.lit(None).cast("binary").alias("content"))
     )
-    return models.extract_text(pages, models.PLAIN_EXTRACTORS).drop("bucket")
+    return models.extract_text(files, lambda: models.PLAIN_EXTRACTORS).drop("bucket")
 
 
 _CHUNKS = chunk_sql("documents", "doc_id", "text")
@@ -56,20 +57,9 @@ def embed_chunks(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def _texts_sql(name: str, source: str, key: str) -> str:
-    """CTEs giving ``{name}(key, v)``: dense vectors of the texts of ``source``."""
-    return f"""
-    {name}_words AS (SELECT {key}, unnest(string_split(lower(text), ' ')) AS w FROM {source}),
-    {name}_counts AS (SELECT {key}, ('0x' || substr(md5(w), 1, 4))::BIGINT % 64 AS slot, count(*) AS c
-      FROM {name}_words WHERE w <> '' GROUP BY ALL),
-    {name}_norms AS (SELECT {key}, sqrt(sum(c * c)) AS norm, map(list(slot), list(c)) AS m FROM {name}_counts GROUP BY ALL),
-    {name} AS (SELECT {key}, list_transform(range(0, 64), lambda s: (coalesce(m[s], 0) / norm)::FLOAT::DOUBLE) AS v
-      FROM {name}_norms)"""
-
-
 _ASK = f"""WITH {_CHUNKS},
     named AS (SELECT 'documents:' || doc_id || '#chunk-' || idx AS id, chunk AS text FROM chunks),
-    {_texts_sql('rows', 'named', 'id')}, {_texts_sql('asked', 'benchmark', 'item_id')}
+    {texts_sql('rows', 'named', 'id')}, {texts_sql('asked', 'benchmark', 'item_id')}
     SELECT qid, id AS filename, round(d, 6) AS score, rk AS rank FROM (
     {knn_sql('SELECT item_id AS qid, id, asked.v AS a, rows.v AS b FROM asked, rows')})"""
 
@@ -104,7 +94,7 @@ def corpus_index(spark: SparkSession, directory: str) -> DataFrame:
 
 _ASK_PAGES = f"""WITH {chunk_sql('pages', 'page_id', STRIPPED)},
     named AS (SELECT 'pages:' || page_id || '#chunk-' || idx AS id, chunk AS text FROM chunks),
-    {_texts_sql('rows', 'named', 'id')}, {_texts_sql('asked', 'benchmark', 'item_id')}
+    {texts_sql('rows', 'named', 'id')}, {texts_sql('asked', 'benchmark', 'item_id')}
     SELECT qid, rk AS rank, id AS filename, round(d, 6) AS score, text FROM (
     {knn_sql('SELECT item_id AS qid, id, asked.v AS a, rows.v AS b FROM asked, rows')}) JOIN named USING (id)"""
 
@@ -124,7 +114,7 @@ def ask_index(spark: SparkSession, directory: str) -> DataFrame:
 
 _EXTRACTED = f"""extracted AS (SELECT filename, trim(regexp_replace(regexp_replace({extracted_sql('filename', 'html')},
     '[\\x{{01}}-\\x{{08}}\\x{{0b}}\\x{{0c}}\\x{{0e}}-\\x{{1f}}\\x{{7f}}-\\x{{9f}}]', '', 'g'), '{fv.WHITESPACE}+', ' ', 'g')) AS text
-    FROM (SELECT {PAGE_NAME} AS filename, html FROM pages WHERE length(html) >= 3000))"""
+    FROM (SELECT {PAGE_NAME} AS filename, html FROM pages))"""
 
 
 @query(
@@ -154,10 +144,10 @@ def index_extracted_text(spark: SparkSession, directory: str) -> DataFrame:
 def generate_answers(spark: SparkSession, directory: str) -> DataFrame:
     """A stand-in model that counts words, and one that always fails."""
 
-    def count_words(prompt: str) -> str:
-        return f"words: {len(prompt.split(' '))}"
+    def count_words(texts: list[str]) -> list[str]:
+        return [f"words: {len(text.split(' '))}" for text in texts]
 
-    def fail(prompt: str) -> str:
+    def fail(texts: list[str]) -> list[str]:
         raise RuntimeError("out of order")
 
     providers = F.array(F.lit("local"), F.lit("google"), F.lit("broken"))

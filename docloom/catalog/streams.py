@@ -11,7 +11,7 @@ from docloom.catalog import query
 from docloom.catalog.models import extracted_sql
 from docloom.catalog.tables import LAST_SQL
 from docloom.operators.models import PLAIN_EXTRACTORS
-from docloom.session import stream_table, work_path
+from docloom.session import materialise, read_table, work_path
 from docloom.sources import events
 from docloom.streaming import jobs
 
@@ -20,10 +20,26 @@ def _finish(job) -> None:
     job.awaitTermination()
 
 
+def _in_batches(spark: SparkSession, directory: str, name: str, batches: int = 3, order: str | None = None) -> DataFrame:
+    """The whole table as a file stream of several micro-batches, in ``order`` if given."""
+    path = work_path(spark, name)
+    table = read_table(spark, directory, name)
+    if order:
+        ranged = materialise(table.repartitionByRange(batches, order).withColumn("_part", F.spark_partition_id()), "ranged")
+        parts = (ranged.agg(F.max("_part")).first()[0] or 0) + 1
+        for number in range(batches):  # a file source takes files by their time
+            held = ranged.where(F.floor(F.col("_part") * batches / parts) == number)
+            held.drop("_part").coalesce(1).write.mode("append").parquet(path)
+    else:
+        table.repartition(batches).write.parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _uploads(spark: SparkSession, directory: str) -> DataFrame:
-    """Documents as upload envelopes with their bytes; a few envelopes are broken."""
+    """Documents as upload envelopes with their bytes; short ones come with a broken
+    envelope beside their own."""
     kinds = F.array(*[F.lit(kind) for kind in (".PDF", ".txt", ".docx", ".png")])
-    named = stream_table(spark, directory, "documents").select(
+    named = _in_batches(spark, directory, "documents").select(
         F.concat(
             F.lit("doc-"), F.col("doc_id").cast("string"), F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int"))
         ).alias("filename"),
@@ -34,15 +50,17 @@ def _uploads(spark: SparkSession, directory: str) -> DataFrame:
         F.encode("text", "UTF-8").alias("content"),
     )
     fields = events.UPLOAD_EVENT.fieldNames()
-    value = F.when(F.length("content") < 100, F.lit("not json")).otherwise(F.to_json(F.struct(*fields)))
-    return named.select(F.col("filename").alias("key"), value.alias("value"), "content")
+    own = F.to_json(F.struct(*fields))
+    values = F.when(F.length("content") < 100, F.array(own, F.lit("not json"))).otherwise(F.array(own))
+    return named.select(F.col("filename").alias("key"), F.explode(values).alias("value"), "content")
 
 
 _UPLOADS = """(SELECT CASE WHEN NOT broken THEN 'doc-' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.txt'
       WHEN 2 THEN '.docx' ELSE '.png' END END AS filename,
     CASE WHEN lang = 'en' AND NOT broken THEN 'english' ELSE 'documents' END AS bucket,
     CASE WHEN NOT broken THEN n_chars END AS size, broken, text
-    FROM (SELECT *, octet_length(encode(text)) < 100 AS broken FROM documents))"""
+    FROM (SELECT *, false AS broken FROM documents
+      UNION ALL SELECT *, true FROM documents WHERE octet_length(encode(text)) < 100))"""
 _TEXT = f"CASE WHEN broken THEN 'ERROR: no file name' ELSE {extracted_sql('filename', 'text')} END"
 
 
@@ -77,7 +95,7 @@ def stream_route(spark: SparkSession, directory: str) -> DataFrame:
 def stream_events(spark: SparkSession, directory: str) -> DataFrame:
     """Short events (fields missing) through an envelope stream into a table."""
     path = work_path(spark, "events")
-    source = stream_table(spark, directory, "events").select(
+    source = _in_batches(spark, directory, "events").select(
         F.concat(F.lit("file-"), F.col("user_id").cast("string")).alias("filename"),
         F.get_json_object("props", "$.k").cast("bigint").alias("size"),
         F.col("event_type").alias("status"),
@@ -90,7 +108,7 @@ def stream_events(spark: SparkSession, directory: str) -> DataFrame:
 @query("SELECT 'file-' || user_id AS filename, min(event_id) AS event_id, 'documents' AS bucket, 'PENDING_OCR' AS status FROM events GROUP BY user_id")
 def stream_registry(spark: SparkSession, directory: str) -> DataFrame:
     path = work_path(spark, "registry")
-    uploads = stream_table(spark, directory, "events").select(
+    uploads = _in_batches(spark, directory, "events", order="event_id").select(
         F.concat(F.lit("file-"), F.col("user_id").cast("string")).alias("filename"), "event_id"
     )
     _finish(jobs.start_registry(uploads, ["event_id"], f"{path}/rows", f"{path}/state"))
@@ -100,26 +118,33 @@ def stream_registry(spark: SparkSession, directory: str) -> DataFrame:
 @query(LAST_SQL.format(n=4))
 def stream_history(spark: SparkSession, directory: str) -> DataFrame:
     path = work_path(spark, "history")
-    messages = stream_table(spark, directory, "conversations").select(
+    messages = _in_batches(spark, directory, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content")
     )
     _finish(jobs.start_history(messages, f"{path}/rows", f"{path}/state", 4))
-    return jobs.current_history(spark.read.parquet(f"{path}/rows"))
+    return jobs.current_history(spark.read.parquet(f"{path}/rows"), 4)
 
 
-LOG_RECORD = T.StructType(
-    [
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("event_type", T.StringType()),
-    ]
-)
+LOG_RECORD = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.StringType())])
 
 
-@query("SELECT event_id, event_type, 'document-system-logs-' || strftime(ts, '%Y.%m.%d') AS log_index FROM events")
+@query(
+    """SELECT event_id, ts::VARCHAR AS ts, user_id, event_type, value, props, 'document-system-logs-' || strftime(ts, '%Y.%m.%d') AS log_index
+    FROM events"""
+)
 def stream_log_daily(spark: SparkSession, directory: str) -> DataFrame:
+    """Records with more fields than are declared; the rest is read from the raw record."""
     path = work_path(spark, "logs")
-    lines = events.publish(stream_table(spark, directory, "events"), "event_id", LOG_RECORD.fieldNames())
-    records = events.parse(lines, LOG_RECORD)
-    _finish(jobs.start_daily_log(records, F.col("ts"), f"{path}/rows", f"{path}/state"))
-    return spark.read.parquet(f"{path}/rows").select("event_id", "event_type", "log_index")
+    rows = _in_batches(spark, directory, "events").withColumn("ts", F.col("ts").cast("string"))
+    records = events.parse(events.publish(rows, "event_id", rows.columns), LOG_RECORD, raw="record")
+    _finish(jobs.start_daily_log(records, F.to_timestamp_ntz("ts"), f"{path}/rows", f"{path}/state"))
+    field = lambda name: F.get_json_object("record", f"$.{name}")
+    return spark.read.parquet(f"{path}/rows").select(
+        "event_id",
+        "ts",
+        field("user_id").cast("bigint").alias("user_id"),
+        field("event_type").alias("event_type"),
+        field("value").cast("double").alias("value"),
+        field("props").alias("props"),
+        "log_index",
+    )

@@ -11,15 +11,26 @@ from docloom.catalog import query
 from docloom.catalog.text import WS_LIST, documents
 from docloom.functions.files import short_id
 from docloom.operators import answers, registry, reports, sessions
+from docloom.operators.models import PLAIN_EXTRACTORS
 from docloom.plans import ingest
 from docloom.session import materialise, read_table, work_path
 from docloom.sources import corpus, events, snapshots
 
 
 # --------------------------------------------------------------------- sources
-@query()
+@query(
+    """SELECT 'kind-' || page_id % 3 || '/page-' || page_id || '.txt' AS filename, strlen(html) + 1 AS length, html AS content FROM pages"""
+)
 def scan_files(spark: SparkSession, directory: str) -> DataFrame:
-    return corpus.scan_files(spark, directory, "*.parquet").select("filename", "length")
+    """Pages written as files in three folders, found again by a scan and read back."""
+    path = work_path(spark, "files")
+    rows = read_table(spark, directory, "pages").select(F.concat(F.lit("kind-"), F.col("page_id") % 3).alias("kind"), "page_id", "html")
+    # one text file per page: its folder says which, and a line end closes it
+    rows.select("kind", F.concat(F.lit("page-"), "page_id").alias("page"), F.col("html").alias("value")).write.partitionBy("kind", "page").text(path)
+    name = F.regexp_replace(F.regexp_replace("filename", "kind=", ""), "/page=([^/]+)/.*$", "/$1.txt")
+    found = corpus.scan_files(spark, path, "part-*").select(name.alias("filename"), "length")
+    content = corpus.read_objects(spark, path, "part-*").select(name.alias("filename"), F.decode("content", "UTF-8").alias("content"))
+    return found.join(content, "filename").select("filename", "length", F.regexp_replace("content", "\n$", "").alias("content"))
 
 
 @query("SELECT page_id::VARCHAR AS id, html AS content_html FROM pages")
@@ -66,17 +77,13 @@ def put_latest(spark: SparkSession, directory: str) -> DataFrame:
     return last.withColumn("ts", F.col("ts").cast("string"))
 
 
-@query("SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS first, len(embedding)::BIGINT AS dim FROM embeddings")
+@query("SELECT vec_id, label, unnest(range(len(embedding)))::INT AS slot, round(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings")
 def snapshot_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
     path = work_path(spark, "snapshot")
     snapshots.write_snapshot({"embeddings": read_table(spark, directory, "embeddings")}, path)
     restored = snapshots.restore_snapshot(spark, path, "embeddings", work_path(spark, "restored"))
-    return restored.select(
-        "vec_id",
-        "label",
-        F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"),
-        F.size("embedding").cast("bigint").alias("dim"),
-    )
+    slots = restored.select("vec_id", "label", F.posexplode("embedding").alias("slot", "x"))
+    return slots.withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 # -------------------------------------------------------------------- registry
@@ -125,43 +132,66 @@ def document_statuses(spark: SparkSession, directory: str) -> DataFrame:
     return registry.document_statuses(latest_status(spark, directory), "user_id")
 
 
+_TRIES = """(SELECT user_id::VARCHAR AS filename, 'k' AS bucket, event_id AS attempt,
+    CASE WHEN event_type = 'error' THEN 'ERROR: failed' ELSE props END AS extracted_text,
+    CASE WHEN event_type = 'error' THEN 'failed' END AS error FROM events)"""
+
+
 @query(
-    """SELECT user_id::VARCHAR AS filename, event_id FROM events
-    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type = 'error'"""
+    f"""SELECT * FROM {_TRIES} UNION ALL
+    SELECT filename, bucket, attempt + 1000000, CASE WHEN filename LIKE '%7' THEN 'ERROR: gone' ELSE bucket || '/' || filename END,
+      CASE WHEN filename LIKE '%7' THEN 'gone' END
+    FROM (SELECT * FROM {_TRIES} QUALIFY row_number() OVER (PARTITION BY filename ORDER BY attempt DESC) = 1) WHERE error IS NOT NULL"""
 )
 def retry_failed(spark: SparkSession, directory: str) -> DataFrame:
-    tried = read_table(spark, directory, "events").select(
+    """Files whose last try failed are extracted again; the table then has both tries."""
+    wrong = F.col("event_type") == "error"
+    tries = read_table(spark, directory, "events").select(
         F.col("user_id").cast("string").alias("filename"),
-        "ts",
-        "event_id",
-        F.when(F.col("event_type") == "error", F.lit("failed")).alias("error"),
+        F.lit("k").alias("bucket"),
+        F.col("event_id").alias("attempt"),
+        F.when(wrong, F.lit("ERROR: failed")).otherwise(F.col("props")).alias("extracted_text"),
+        F.when(wrong, F.lit("failed")).alias("error"),
     )
-    return ingest.failed_files(tried, ["ts", "event_id"]).select("filename", "event_id")
+    path = work_path(spark, "tries")
+    tries.write.parquet(path)
+
+    def fetch(bucket: str, name: str) -> bytes:
+        if name.endswith("7"):
+            raise FileNotFoundError("gone")
+        return f"{bucket}/{name}".encode()
 
+    return ingest.retry_table(
+        spark, path, ["attempt"], PLAIN_EXTRACTORS, fetch, lambda again: again.withColumn("attempt", F.col("attempt") + 1_000_000)
+    )
 
-_STORED = "(SELECT * FROM pages WHERE length(html) >= 3000)"
+
+_OFFERED = """(SELECT url AS filename, page_id, NULL AS error FROM pages
+    UNION ALL SELECT 'lost-' || page_id, page_id, 'broken' FROM pages WHERE page_id % 10 = 0)"""
 
 
 @query(
-    f"""SELECT 'found' AS measure, count(*) AS n FROM pages
-    UNION ALL SELECT 'succeeded', count(*) FROM {_STORED}
-    UNION ALL SELECT 'failed', count(*) FROM pages WHERE length(html) < 3000
-    UNION ALL SELECT 'inserted', count(DISTINCT url) FROM {_STORED}
-      WHERE url NOT LIKE 'http://%'
-    UNION ALL SELECT 'announced', count(*) FROM {_STORED}"""
+    f"""SELECT 'registry' AS kind, filename, 'documents' AS bucket, 'PENDING_OCR' AS status, NULL::BIGINT AS n FROM (
+      SELECT DISTINCT filename FROM {_OFFERED} WHERE error IS NULL AND filename NOT LIKE 'http://%')
+    UNION ALL SELECT 'event', filename, NULL, 'UPLOADED', NULL FROM {_OFFERED} WHERE error IS NULL
+    UNION ALL SELECT 'report', 'found', NULL, NULL, count(*) FROM {_OFFERED}
+    UNION ALL SELECT 'report', 'succeeded', NULL, NULL, count(*) FROM {_OFFERED} WHERE error IS NULL
+    UNION ALL SELECT 'report', 'failed', NULL, NULL, count(*) FROM {_OFFERED} WHERE error IS NOT NULL"""
 )
 def ingest_batch(spark: SparkSession, directory: str) -> DataFrame:
-    """Short pages play the uploads that fail."""
-    pages = read_table(spark, directory, "pages").select(F.col("url").alias("filename"), "page_id", "html")
-    items = pages.withColumn("size", F.length("html")).drop("html")
+    """Pages are uploaded, those with a plain-http address are known, some files fail.
+    Rows to insert, events and report in one table."""
+    pages = read_table(spark, directory, "pages").select(F.col("url").alias("filename"), "page_id")
+    lost = pages.where(F.col("page_id") % 10 == 0).withColumn("filename", F.concat(F.lit("lost-"), F.col("page_id").cast("string")))
+    items = pages.withColumn("error", F.lit(None).cast("string")).unionByName(lost.withColumn("error", F.lit("broken")))
     known = pages.where(F.col("filename").startswith("http://"))
-    done = ingest.ingest_batch(items, known, ["page_id"], failed=F.col("size") < 3000)
-    report = done.report.unpivot([], ["found", "succeeded", "failed"], "measure", "n")
-    inserted = done.inserted.agg(F.count("*").alias("n")).select(F.lit("inserted").alias("measure"), "n")
-    announced = events.parse(done.events).where(F.col("status") == fv.STATUS_UPLOADED)
-    return report.unionByName(inserted).unionByName(
-        announced.agg(F.count("*").alias("n")).select(F.lit("announced").alias("measure"), "n")
-    )
+    done = ingest.ingest_batch(items, known, ["page_id"], F.col("error").isNotNull())
+    none, no_count = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    inserted = done.inserted.select(F.lit("registry").alias("kind"), "filename", "bucket", "status", no_count.alias("n"))
+    announced = events.parse(done.events).select(F.lit("event").alias("kind"), "filename", none.alias("bucket"), "status", no_count.alias("n"))
+    report = done.report.unpivot([], ["found", "succeeded", "failed"], "filename", "n")
+    counted = report.select(F.lit("report").alias("kind"), "filename", none.alias("bucket"), none.alias("status"), "n")
+    return inserted.unionByName(announced).unionByName(counted)
 
 
 # --------------------------------------------------------------------- reports
@@ -199,11 +229,14 @@ def ingest_report(spark: SparkSession, directory: str) -> DataFrame:
     return reports.ingest_report(read_table(spark, directory, "events"), F.col("event_type") == "error")
 
 
-@query("SELECT event_id, event_type, 'document-system-logs-' || strftime(ts, '%Y.%m.%d') AS log_index FROM events")
+@query(
+    """SELECT event_id, ts::VARCHAR AS ts, user_id, event_type, value, props, 'document-system-logs-' || strftime(ts, '%Y.%m.%d') AS log_index
+    FROM events"""
+)
 def log_daily_index(spark: SparkSession, directory: str) -> DataFrame:
     path = work_path(spark, "daily")
     reports.write_daily_log(read_table(spark, directory, "events"), "ts", path)
-    return spark.read.parquet(path).select("event_id", "event_type", "log_index")
+    return spark.read.parquet(path).withColumn("ts", F.col("ts").cast("string"))
 
 
 @query(
@@ -251,22 +284,23 @@ _TURNS = f"""SELECT session_id, arg_min(content, seq) AS question FROM {_MESSAGE
 @query(
     f"""WITH turns AS ({_TURNS}), ends AS (SELECT session_id, max(seq) AS e FROM {_MESSAGES} GROUP BY 1),
     merged AS (SELECT * FROM {_CHAT}
-      UNION ALL SELECT session_id, e + 1, 'user', question FROM turns JOIN ends USING (session_id)
-      UNION ALL SELECT session_id, e + 2, 'assistant',
-        CASE WHEN session_id % 4 = 0 THEN 'No response' ELSE 'Re: ' || question END
-        FROM turns JOIN ends USING (session_id))
+      UNION ALL SELECT session_id, e + 1 + 2 * nth, 'user', question FROM turns JOIN ends USING (session_id), range(2) t(nth)
+      UNION ALL SELECT session_id, e + 2 + 2 * nth, 'assistant',
+        CASE WHEN session_id % 4 = 0 THEN 'No response' ELSE 'Re ' || nth || ': ' || question END
+        FROM turns JOIN ends USING (session_id), range(2) t(nth))
     SELECT session_id, seq, role, content FROM merged
     QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 5"""
 )
 def append_turns(spark: SparkSession, directory: str) -> DataFrame:
-    """Every session asks its first question again; a quarter gets no reply."""
+    """Every session asks its first question twice more; a quarter gets no reply."""
     rows = messages(spark, directory)
     turns = sessions.session_titles(rows).select(
         F.col("id").alias("session_id"),
         F.col("title").alias("question"),
-        F.when(F.col("id") % 4 != 0, F.concat(F.lit("Re: "), "title")).alias("answer"),
+        F.explode(F.sequence(F.lit(0), F.lit(1))).alias("nth"),
     )
-    return sessions.append_turns(rows, turns, 5)
+    reply = F.when(F.col("session_id") % 4 != 0, F.concat(F.lit("Re "), F.col("nth").cast("string"), F.lit(": "), "question"))
+    return sessions.append_turns(rows, turns.withColumn("answer", reply), 5, order=["nth"])
 
 
 @query(
@@ -284,14 +318,16 @@ def session_groups(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(
     f"""SELECT conv_id, turn, CASE WHEN length(trim(t, {WS_LIST})) > 0 THEN NULL ELSE 'No message provided' END AS error
-    FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN chr(160) || ' ' WHEN conv_id % 7 = 3 THEN NULL ELSE text END AS t
-    FROM conversations)"""
+    FROM (SELECT conv_id, turn, text AS t FROM conversations
+      UNION ALL SELECT conv_id, turn + 1000, CASE WHEN conv_id % 2 = 0 THEN chr(160) || ' ' END FROM conversations WHERE turn = 1)"""
 )
 def valid_questions(spark: SparkSession, directory: str) -> DataFrame:
-    """Some messages are blanked or removed first, as the table has no empty ones."""
-    text = F.when(F.col("turn") % 3 == 2, "\xa0 ").when(F.col("conv_id") % 7 != 3, F.col("text"))
-    asked = read_table(spark, directory, "conversations").select("conv_id", "turn", text.alias("question"))
-    valid, rejected = answers.split_questions(asked)
+    """All messages, and added blank and missing ones, as the table has none."""
+    asked = read_table(spark, directory, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
+    added = asked.where("turn = 1").select(
+        "conv_id", (F.col("turn") + 1000).alias("turn"), F.when(F.col("conv_id") % 2 == 0, "\xa0 ").alias("question")
+    )
+    valid, rejected = answers.split_questions(asked.unionByName(added))
     return valid.withColumn("error", F.lit(None).cast("string")).unionByName(rejected).drop("question")
 
 

@@ -84,7 +84,7 @@ def clean_text(spark: SparkSession, directory: str) -> DataFrame:
     "'pages:' || page_id || '#chunk-' || idx AS filename, chunk AS text FROM chunks"
 )
 def chunk_pages(spark: SparkSession, directory: str) -> DataFrame:
-    return explode_chunks(pages(spark, directory), "page_id", "pages", html_chunks(F.col("html")))
+    return explode_chunks(pages(spark, directory), "page_id", "pages", html_chunks(F.col("html"))).drop("id")
 
 
 @query(f"WITH {chunk_sql('documents', 'doc_id', 'text')} SELECT doc_id, idx AS chunk_idx, chunk AS text FROM chunks")

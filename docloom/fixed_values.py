@@ -50,7 +50,6 @@ NPROBE = 10
 TOP_K = 5
 EMBED_BATCH = 32
 HISTORY_MESSAGES = 24
-CORPUS_LIMIT = 500
 
 # Roles and intents ------------------------------------------------------------
 ROLES = ("user", "assistant")

@@ -42,11 +42,11 @@ def build_context(hits: DataFrame, *, with_score: bool = True) -> DataFrame:
 
 
 def retrieve_only(questions: DataFrame, context: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """One reply per question, found or not: ``qid, answer, n_sources, used_context``.
+    """One reply per question, found or not: ``qid, answer, n_sources, sources, used_context``.
 
     ``failed`` (``qid, error``) lists questions whose retrieval broke.
     """
-    joined = questions.select("qid").join(context.select("qid", "context", "n_sources"), "qid", "left")
+    joined = questions.select("qid").join(context.select("qid", "context", "n_sources", "sources"), "qid", "left")
     found = F.length("context") > 0
     answer = F.when(found, F.format_string(fv.RETRIEVE_ONLY, "n_sources")).otherwise(fv.NO_CONTEXT)
     if failed is not None:
@@ -58,6 +58,7 @@ def retrieve_only(questions: DataFrame, context: DataFrame, failed: DataFrame |
         "qid",
         answer.alias("answer"),
         F.when(found, F.col("n_sources")).otherwise(0).cast("bigint").alias("n_sources"),
+        F.when(found, F.col("sources")).otherwise(F.array().cast(context.schema["sources"].dataType)).alias("sources"),
         F.when(found, used_context(F.col("context"))).otherwise("").alias("used_context"),
     )
 

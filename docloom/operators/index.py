@@ -15,9 +15,8 @@ from pyspark.sql import types as T
 
 from docloom import fixed_values as fv
 from docloom.operators import blocks
-from docloom.session import once, work_path
+from docloom.session import materialise, once, work_path
 
-TRAINING_ROWS_PER_LIST = 256
 MAX_CENTROID_FLOATS = 32_000_000
 
 
@@ -35,23 +34,30 @@ class IvfIndex:
 
 
 def suggested_nlist(n_rows: int, dim: int) -> int:
-    """About the square root of the row count, within the centroid limit."""
+    """About the square root of the row count, and no more than ``train_centroids`` takes."""
     return max(1, min(int(n_rows**0.5), MAX_CENTROID_FLOATS // dim))
 
 
-def train_centroids(rows: DataFrame, dim: int, nlist: int = fv.NLIST, seed: int = 42) -> np.ndarray:
-    """k-means centres, fitted on a sample that grows with ``nlist`` only.
+def train_centroids(rows: DataFrame, dim: int, nlist: int = fv.NLIST, seed: int = 42, sample: float | None = None) -> np.ndarray:
+    """k-means centres of all rows, from randomly chosen first centres; the mean if there
+    is one list. Fewer distinct rows than lists give fewer lists.
 
-    The sample decides where the lists lie, never which rows are indexed.
+    ``sample``, a share of the rows, restricts the fit on request. It decides where the
+    lists lie, never which rows are indexed. Centroids are sent to all tasks, so
+    ``nlist * dim`` is limited, and more is an error.
     """
-    if nlist * dim > MAX_CENTROID_FLOATS:
-        raise ValueError(f"nlist * dim must not exceed {MAX_CENTROID_FLOATS}")
-    wanted = nlist * TRAINING_ROWS_PER_LIST
-    total = rows.count()
+    if nlist < 1 or nlist * dim > MAX_CENTROID_FLOATS:
+        raise ValueError(f"nlist must be positive and nlist * dim must not exceed {MAX_CENTROID_FLOATS}")
+    if sample is not None:
+        rows = rows.sample(sample, seed)
+    if nlist == 1:
+        means = rows.select(F.posexplode("vector")).groupBy("pos").agg(F.avg(F.col("col").cast("double")).alias("x")).collect()
+        centre = np.zeros((1, dim))
+        for pos, x in means:
+            centre[0, pos] = x
+        return centre
     training = rows.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    if total > wanted:
-        training = training.sample(wanted / total, seed)
-    model = KMeans(k=nlist, seed=seed, maxIter=10).fit(training)
+    model = KMeans(k=nlist, seed=seed, maxIter=10, initMode="random").fit(training)
     return np.array(model.clusterCenters(), dtype=np.float64).reshape(-1, dim)
 
 
@@ -105,31 +111,43 @@ def build_index(
     nlist: int = fv.NLIST,
     path: str | None = None,
     seed: int = 42,
+    centroids: np.ndarray | None = None,
+    sample: float | None = None,
+    written: bool = False,
 ) -> IvfIndex:
-    """Fit, assign and write. ``rows`` should be a written table, since it is read
-    more than once."""
+    """Fit (unless ``centroids`` are given), assign and write a new index.
+
+    ``rows`` are read more than once, so they are written first, unless they are a
+    ``written`` table already. An index that exists is not built again; see
+    ``append_to_index``.
+    """
     spark = rows.sparkSession
     path = path or work_path(spark, "index")
-    centroids = train_centroids(rows, dim, nlist, seed)
-    write_index(assign_lists(rows, centroids, dim), f"{path}/rows")
-    centroid_rows = [(i, centre.tolist()) for i, centre in enumerate(centroids)]
-    spark.createDataFrame(centroid_rows, "list_id int, centroid array<double>").coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/centroids")
-    _write_summary(spark, path)
+    if _schema_at(spark, f"{path}/centroids") is not None:
+        raise ValueError(f"there is an index at {path} already; append to it")
+    rows = rows if written else materialise(rows, "index-rows")
+    if centroids is None:
+        centroids = train_centroids(rows, dim, nlist, seed, sample)
+    table = pa.table({"list_id": pa.array(np.arange(len(centroids)), pa.int32()), "centroid": blocks.list_array(centroids, np.float64)})
+    spark.createDataFrame(table).coalesce(1).write.parquet(f"{path}/centroids")
+    _add(assign_lists(rows, centroids, dim), path)
     return open_index(spark, path)
 
 
-def _write_summary(spark: SparkSession, path: str) -> None:
-    """Rows and radius of every list, so that opening the index need not scan it."""
-    spark.read.parquet(f"{path}/rows").groupBy("list_id").agg(
-        F.count("*").alias("n_rows"), F.max("to_centroid").alias("radius")
-    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/lists")
+def _add(assigned: DataFrame, path: str) -> None:
+    """Append rows, then what they add to rows and radius of every list, so that opening
+    the index need not scan it. Nothing is overwritten: an index that is open stays
+    readable, and sees the rows it was opened with."""
+    assigned = materialise(assigned, "assigned")
+    write_index(assigned, f"{path}/rows")
+    summary = assigned.groupBy("list_id").agg(F.count("*").alias("n_rows"), F.max("to_centroid").alias("radius"))
+    summary.coalesce(1).write.mode("append").parquet(f"{path}/lists")
 
 
 def open_index(spark: SparkSession, path: str) -> IvfIndex:
     """Open a written index. Only one row per list reaches the driver."""
-    lists = spark.read.parquet(f"{path}/lists")
+    added = spark.read.parquet(f"{path}/lists").groupBy("list_id")
+    lists = added.agg(F.sum("n_rows").alias("n_rows"), F.max("radius").alias("radius"))
     centroids = spark.read.parquet(f"{path}/centroids").orderBy("list_id").toArrow()
     dim = len(centroids["centroid"][0])
     spread = lists.toArrow()
@@ -148,8 +166,7 @@ def append_to_index(rows: DataFrame, path: str) -> IvfIndex:
     """Add rows to an index without refitting it."""
     spark = rows.sparkSession
     index = open_index(spark, path)
-    write_index(assign_lists(rows, index.centroids, index.dim), f"{path}/rows")
-    _write_summary(spark, path)
+    _add(assign_lists(rows, index.centroids, index.dim), path)
     return open_index(spark, path)
 
 

@@ -1,7 +1,7 @@
 """Caller-supplied models over tables: extraction, embedding, generation.
 
-Models stay outside the library. Each operator takes plain functions and runs them
-over Arrow batches; one bad row never fails its neighbours.
+Models stay outside the library. Each operator takes functions, or a factory that makes
+them once per task, and runs them over batches; one bad row never fails its neighbours.
 """
 
 from __future__ import annotations
@@ -22,9 +22,17 @@ from docloom.operators import blocks
 from docloom.session import once
 
 Extractor = Callable[[bytes], list]
+Extractors = dict[str, Extractor] | Callable[[], dict[str, Extractor]]
+Generator = Callable[[list[str]], list]
+Generators = dict[str, Generator] | Callable[[], dict[str, Generator]]
 Fetch = Callable[[str, str], bytes]
 
 
+def _made(functions):
+    """The functions themselves; a factory is called where they are needed."""
+    return functions() if callable(functions) else functions
+
+
 # ------------------------------------------------------------------ extraction
 def _joined(route: str, result: list) -> str:
     if route == "ocr":
@@ -34,7 +42,7 @@ def _joined(route: str, result: list) -> str:
 
 def extract_text(
     files: DataFrame,
-    extractors: dict[str, Extractor],
+    extractors: Extractors,
     *,
     fetch: Fetch | None = None,
     content: str = "content",
@@ -54,22 +62,23 @@ def extract_text(
         + [T.StructField("extracted_text", T.StringType()), T.StructField("error", T.StringType())]
     )
 
-    def one(filename: str, bucket: str, route: str, data: bytes | None) -> tuple[str, str | None]:
+    def one(made: dict[str, Extractor], filename: str, bucket: str, route: str, data: bytes | None) -> tuple[str, str | None]:
         try:
             if filename is None:
                 raise ValueError("no file name")
             body = fetch(bucket, filename) if fetch else data
             if body is None:
                 raise ValueError("no content")
-            return _joined(route, extractors[route](bytes(body))).strip(), None
+            return _joined(route, made[route](bytes(body))).strip(), None
         except Exception as error:  # noqa: BLE001 - every failure becomes a row
             return f"{fv.ERROR_PREFIX}{error}", str(error)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = _made(extractors)
         for batch in batches:
             data = batch[content] if content in batch else [None] * len(batch)
             done = [
-                one(*row) for row in zip(batch["filename"], batch["bucket"], batch["_route"], data, strict=True)
+                one(made, *row) for row in zip(batch["filename"], batch["bucket"], batch["_route"], data, strict=True)
             ]
             out = batch[kept].copy()
             out["extracted_text"] = [text for text, _ in done]
@@ -149,28 +158,45 @@ def hashed_tokens(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarra
 # ------------------------------------------------------------------ generation
 def generate(
     prompts: DataFrame,
-    models: dict[str, Callable[[str], str | None]],
+    models: Generators,
     *,
     key_required: tuple[str, ...] = ("google",),
+    batch_size: int = fv.EMBED_BATCH,
 ) -> DataFrame:
     """Add ``answer`` to rows with ``prompt``, ``provider`` and ``has_key``.
 
-    Failures and missing keys become answers, one row at a time.
+    A model takes a list of prompts. If it fails on a batch, each prompt of it is tried
+    alone, so that failures and missing keys become answers one row at a time.
     """
     schema = T.StructType([*prompts.schema.fields, T.StructField("answer", T.StringType())])
 
-    def one(prompt: str, provider: str, has_key: bool) -> str:
-        if provider in key_required and not has_key:
-            return fv.MISSING_KEY
+    def ask(made: dict[str, Generator], provider: str, texts: list[str]) -> list[str]:
         try:
-            answer = models[provider](prompt)
+            found = list(made[provider](texts))
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} answers for {len(texts)} prompts")
+            return [fv.NO_MODEL_ANSWER if answer is None else answer for answer in found]
         except Exception as error:  # noqa: BLE001 - every failure becomes an answer
-            return fv.GENERATION_FAILED.format(provider=provider, error=error)
-        return fv.NO_MODEL_ANSWER if answer is None else answer
+            if len(texts) > 1:
+                return [answer for text in texts for answer in ask(made, provider, [text])]
+            return [fv.GENERATION_FAILED.format(provider=provider, error=error)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = _made(models)
         for batch in batches:
-            rows = zip(batch["prompt"], batch["provider"], batch["has_key"], strict=True)
-            yield batch.assign(answer=[one(*row) for row in rows])
+            answers: list = [None] * len(batch)
+            waiting: dict[str, list[int]] = {}
+            for row, (provider, has_key) in enumerate(zip(batch["provider"], batch["has_key"], strict=True)):
+                if provider in key_required and not has_key:
+                    answers[row] = fv.MISSING_KEY
+                else:
+                    waiting.setdefault(provider, []).append(row)
+            texts = batch["prompt"].tolist()
+            for provider, places in waiting.items():
+                for start in range(0, len(places), batch_size):
+                    part = places[start : start + batch_size]
+                    for row, answer in zip(part, ask(made, provider, [texts[k] for k in part]), strict=True):
+                        answers[row] = answer
+            yield batch.assign(answer=answers)
 
     return prompts.mapInPandas(run, schema)

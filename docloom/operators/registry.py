@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import fixed_values as fv
@@ -10,25 +10,26 @@ from docloom.functions.files import short_id
 
 
 def first_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of every key by ``order``.
-
-    Written as an aggregate, not a ranking, so that copies of a hot key are reduced
-    before the shuffle.
-    """
-    return _extreme(rows, key, order, F.min)
+    """The first row of every key by ``order``."""
+    return _extreme(rows, key, order, newest=False)
 
 
 def last_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of every key by ``order``: a put replaces the put before it."""
-    return _extreme(rows, key, order, F.max)
+    return _extreme(rows, key, order, newest=True)
+
 
+def _extreme(rows: DataFrame, key: str, order: list[str], newest: bool) -> DataFrame:
+    """Rank by key and order, the rest of a row breaks ties.
 
-def _extreme(rows: DataFrame, key: str, order: list[str], pick) -> DataFrame:
+    The ``= 1`` filter on the rank is applied inside every input partition as well,
+    so that a hot key sends one row per partition through the shuffle, and wide
+    columns are sorted along but never compared unless the order ties.
+    """
     rest = [c for c in rows.columns if c != key and c not in order]
-    packed = rows.select(key, F.struct(*order, *rest).alias("_row"))
-    return packed.groupBy(key).agg(pick("_row").alias("_row")).select(
-        *[F.col(key) if c == key else F.col("_row")[c].alias(c) for c in rows.columns]
-    )
+    turned = [F.col(c).desc() if newest else F.col(c).asc() for c in [*order, *rest]]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*turned))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def insert_if_absent(new_rows: DataFrame, registry: DataFrame, order: list[str], key: str = "filename") -> DataFrame:
@@ -74,7 +75,3 @@ def document_statuses(statuses: DataFrame, key: str = "filename") -> DataFrame:
     )
     return filled.select("doc_id", "filename", "status", "uploader")
 
-
-def to_retry(statuses: DataFrame, failed: Column) -> DataFrame:
-    """Files whose latest state is a failure."""
-    return statuses.where(failed)

@@ -4,13 +4,15 @@ Questions carry ``qid`` and ``vector``; rows carry ``id`` and ``vector``; hits a
 ``qid, id, l2_sq, rank`` (rank starts at 1, ties go to the smaller id). Searches in an
 index also tell the ``list_id`` of every hit, which later narrows the read of its text.
 
-Searches look at the number of questions before they choose a way, which runs a small
-job when they are called; the search itself runs when its result is used.
+Searches write the questions first, so that a model behind their vectors runs once, and
+count them; the search itself runs when its result is used, unless the questions have to
+be taken in several turns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from docloom.operators import blocks
 from docloom.operators.index import IvfIndex, build_index, suggested_nlist
 from docloom.session import materialise, once
 
+# So many questions are sent to the tasks at a time.
 MAX_BROADCAST_QUESTIONS = 10_000
 MAX_BROADCAST_FLOATS = 16_000_000
 # Rows and questions are copied to each other's blocks, so equal sizes copy least.
@@ -63,7 +66,8 @@ def keep_nearest(hits: DataFrame, k: int) -> DataFrame:
     """Rank the hits of each question and keep k.
 
     The ``rank <= k`` filter lets Spark cut every question to k rows before the
-    shuffle as well as after it.
+    shuffle as well as after it. Spark does so up to its own threshold for k; the
+    tasks of a search return no more than k rows per question in any case.
     """
     order = Window.partitionBy("qid").orderBy("l2_sq", "id")
     return hits.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
@@ -78,23 +82,42 @@ def nearest(
     exclude_same_id: bool = False,
     max_broadcast_questions: int = MAX_BROADCAST_QUESTIONS,
 ) -> DataFrame:
-    """Exact k nearest rows of every question.
+    """Exact k nearest rows of every question: every question meets every row.
 
-    Up to ``max_broadcast_questions`` questions are sent to the tasks and the rows
-    are scanned once, with no shuffle of vectors. More questions than that are
-    answered through index lists and distance bounds (``nearest_pruned``).
+    Questions are sent to the tasks and the rows are scanned, with no shuffle of
+    vectors. More than ``max_broadcast_questions`` are taken in turns of that many, each
+    with a scan of its own, so the cost is that of all comparisons; for very many
+    questions probe an index (``nearest_by_lists``) instead.
     """
-    few = _few(questions.select("qid", "vector"), max_broadcast_questions, dim)
-    if few is None:
-        return nearest_pruned(questions, rows, k, dim=dim, exclude_same_id=exclude_same_id).drop("list_id")
-    return _scan(few, rows, k, dim, exclude_same_id, _hit_schema(questions, rows))
+    asked = materialise(questions.select("qid", "vector"), "questions")
+    return _in_turns(asked, rows.select("id", "vector"), k, dim, exclude_same_id, _hit_schema(questions, rows), max_broadcast_questions)
 
 
-def _few(questions: DataFrame, limit: int, dim: int) -> pa.Table | None:
-    """The questions themselves if there are at most ``limit``, else None."""
-    limit = min(limit, MAX_BROADCAST_FLOATS // dim)
-    table = questions.limit(limit + 1).toArrow()
-    return table if table.num_rows <= limit else None
+def _most(limit: int, dim: int) -> int:
+    return max(1, min(limit, MAX_BROADCAST_FLOATS // dim))
+
+
+def _in_turns(
+    asked: DataFrame,
+    rows: DataFrame,
+    k: int,
+    dim: int,
+    exclude_same_id: bool,
+    schema: T.StructType,
+    limit: int,
+    list_column: str | None = None,
+) -> DataFrame:
+    """Scan ``rows`` once for every ``limit`` of the (written) questions."""
+    turns = -(-asked.count() // _most(limit, dim))
+    if turns <= 1:
+        return _scan(asked.toArrow(), rows, k, dim, exclude_same_id, schema, list_column)
+    held = materialise(rows, "rows")
+    turn = F.pmod(F.xxhash64("qid"), F.lit(turns))
+    parts = [
+        materialise(_scan(asked.where(turn == number).toArrow(), held, k, dim, exclude_same_id, schema, list_column), "hits")
+        for number in range(turns)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _scan(
@@ -266,12 +289,11 @@ def nearest_by_lists(
     A moderate number of questions reads just the folders of their lists. More
     questions meet the lists in a shuffle.
     """
-    chosen = choose_lists(questions, index, nprobe)
-    few = _few(chosen, max_broadcast_questions, index.dim)
-    if few is not None:
-        return _scan(few, index.rows, k, index.dim, exclude_same_id, _hit_schema(questions, index.rows, "list_id"), "list_id")
-    probes = materialise(_one_row_per_list(chosen), "probes")
-    hits = _search_blocks(probes, index.rows, index.sizes, k, index.dim, exclude_same_id)
+    chosen = materialise(choose_lists(questions, index, nprobe), "chosen")
+    if chosen.count() <= _most(max_broadcast_questions, index.dim):
+        schema = _hit_schema(questions, index.rows, "list_id")
+        return _scan(chosen.toArrow(), index.rows, k, index.dim, exclude_same_id, schema, "list_id")
+    hits = _search_blocks(_one_row_per_list(chosen), index.rows, index.sizes, k, index.dim, exclude_same_id)
     return keep_nearest(hits, k)
 
 
@@ -286,15 +308,21 @@ def nearest_pruned(
     nprobe: int = fv.NPROBE,
     index: IvfIndex | None = None,
 ) -> DataFrame:
-    """Exact search for many questions, without comparing every question to every row.
+    """Exact search through an index, for rows that lie in clusters.
 
     The nearest lists are searched first. The k-th distance found there bounds the
     answer, and a further list can only matter if the distance to its centroid
     minus its radius is within that bound (triangle inequality). Only those lists
-    are searched in the second pass.
+    are searched in the second pass. Where rows do not lie in clusters the bound
+    excludes little, each question is shuffled to nearly every list, and ``nearest`` is
+    the better way. Questions are stored once each, with the lists they still need.
     """
     if index is None:
-        index = build_index(rows, dim=dim, nlist=nlist or suggested_nlist(rows.count(), dim))
+        rows = materialise(rows.select("id", "vector"), "rows")
+        n_rows = rows.count()
+        if not n_rows:
+            return nearest(questions, rows, k, dim=dim).withColumn("list_id", F.lit(None).cast("int"))
+        index = build_index(rows, dim=dim, nlist=nlist or suggested_nlist(n_rows, dim), written=True)
     asked = materialise(choose_lists(questions, index, nprobe), "asked")
     first = materialise(
         _search_blocks(_one_row_per_list(asked), index.rows, index.sizes, k, dim, exclude_same_id), "first-hits"
@@ -324,7 +352,7 @@ def nearest_pruned(
     left_over = asked.join(bounds, "qid", "left").select(
         "qid", "vector", once(open_lists)("vector", "lists", "bound").alias("lists")
     )
-    second = _search_blocks(materialise(_one_row_per_list(left_over), "further-probes"), index.rows, index.sizes, k, dim, exclude_same_id)
+    second = _search_blocks(_one_row_per_list(materialise(left_over, "further")), index.rows, index.sizes, k, dim, exclude_same_id)
     return keep_nearest(first.unionByName(second), k)
 
 
@@ -344,11 +372,11 @@ def nearest_within(
     the top-k, as a filter at the scan or an equi-join on the key, so other documents
     are never compared.
     """
+    questions = materialise(questions.select("qid", "vector", key), "questions")
     limited = questions.where(F.col(key).isNotNull()).select("qid", "vector", F.array(key).alias("lists"))
     keyed = rows.where(F.col(key).isNotNull()).select("id", "vector", F.col(key).alias("list_id"))
-    few = _few(limited, max_broadcast_questions, dim)
-    if few is not None:
-        within = _scan(few, keyed, k, dim, exclude_same_id, _hit_schema(questions, rows), "list_id")
+    if limited.count() <= _most(max_broadcast_questions, dim):
+        within = _scan(limited.toArrow(), keyed, k, dim, exclude_same_id, _hit_schema(questions, rows), "list_id")
     else:
         sizes = keyed.groupBy("list_id").agg(F.count("*").alias("n_rows"))
         hits = _search_blocks(_one_row_per_list(limited), keyed, sizes, k, dim, exclude_same_id)

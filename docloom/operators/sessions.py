@@ -36,14 +36,19 @@ def replies(turns: DataFrame) -> DataFrame:
     return turns.withColumn("reply", F.coalesce(failure, "answer", F.lit(fv.NO_REPLY)))
 
 
-def append_turns(messages: DataFrame, turns: DataFrame, n: int = fv.HISTORY_MESSAGES) -> DataFrame:
-    """History after one more turn per session.
+def append_turns(messages: DataFrame, turns: DataFrame, n: int = fv.HISTORY_MESSAGES, order: list[str] | None = None) -> DataFrame:
+    """History after further turns of every session.
 
     ``turns`` is ``session_id, question, answer`` and optionally ``error``: the user
-    message and the reply become two messages after the session's last one.
+    message and the reply become two messages after the session's last one. Several
+    turns of a session follow one another by ``order`` (default: all their columns).
     """
     kept = last_messages(messages, n)
     ends = messages.groupBy("session_id").agg(F.max("seq").alias("last_seq"))
+    sizes = turns.groupBy("session_id").agg(F.count("*").alias("n_turns"))
+    latest = Window.partitionBy("session_id").orderBy(*[F.col(c).desc() for c in order or turns.columns])
+    # only a session's last turns can stay, so turns are numbered from the end and cut
+    numbered = replies(turns).withColumn("_back", F.row_number().over(latest)).where(F.col("_back") <= (n + 1) // 2)
     pair = F.array(
         F.struct(F.lit(1).cast("bigint").alias("step"), F.lit("user").alias("role"), F.col("question").alias("content")),
         F.struct(
@@ -52,11 +57,12 @@ def append_turns(messages: DataFrame, turns: DataFrame, n: int = fv.HISTORY_MESS
             F.col("reply").alias("content"),
         ),
     )
+    before = F.coalesce("last_seq", F.lit(-1)) + 2 * (F.col("n_turns") - F.col("_back"))
     added = (
-        replies(turns)
+        numbered.join(sizes, "session_id")
         .join(ends, "session_id", "left")
-        .select("session_id", F.coalesce("last_seq", F.lit(-1)).alias("last_seq"), F.explode(pair).alias("m"))
-        .select("session_id", (F.col("last_seq") + F.col("m.step")).alias("seq"), "m.role", "m.content")
+        .select("session_id", before.alias("before"), F.explode(pair).alias("m"))
+        .select("session_id", (F.col("before") + F.col("m.step")).alias("seq"), "m.role", "m.content")
     )
     return last_messages(kept.select("session_id", "seq", "role", "content").unionByName(added), n)
 

@@ -25,8 +25,9 @@ def html_chunks(
 
 
 def explode_chunks(documents: DataFrame, id_column: str, source: str, chunks: Column) -> DataFrame:
-    """``doc_id, chunk_idx, filename, text``: one row per chunk, no shuffle.
+    """``doc_id, chunk_idx, id, filename, text``: one row per chunk, no shuffle.
 
+    ``id`` is the whole key of the chunk, ``filename`` the key cut to its limit.
     ``chunk_idx`` counts the chunks that were kept. Documents without any are gone.
     ``chunks`` is exploded as an expression, not as a column made before: from a column
     Spark would infer a filter on its size and compute all chunks once more for it.
@@ -34,6 +35,7 @@ def explode_chunks(documents: DataFrame, id_column: str, source: str, chunks: Co
     return documents.select(F.col(id_column).alias("doc_id"), F.posexplode(chunks).alias("chunk_idx", "text")).select(
         "doc_id",
         F.col("chunk_idx").cast("bigint").alias("chunk_idx"),
+        chunk_key(source, F.col("doc_id"), F.col("chunk_idx")).alias("id"),
         truncate(chunk_key(source, F.col("doc_id"), F.col("chunk_idx")), fv.FILENAME_LIMIT).alias("filename"),
         truncate(F.col("text"), fv.TEXT_LIMIT).alias("text"),
     )
@@ -60,12 +62,12 @@ def index_chunks(
     """Embed, write; then fit lists on the written chunks.
 
     The embedded chunks are written once, because fitting reads them several times
-    and the model is by far the most expensive step. A chunk's id is its file name.
+    and the model is by far the most expensive step.
     """
     embedded = embed(chunks, model_factory, dim=dim, batch_size=batch_size)
-    embedded.withColumn("id", F.col("filename")).write.mode("error").parquet(f"{path}/chunks")
+    embedded.write.mode("error").parquet(f"{path}/chunks")
     rows = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    return build_index(rows, dim=dim, nlist=nlist, path=f"{path}/index")
+    return build_index(rows, dim=dim, nlist=nlist, path=f"{path}/index", written=True)
 
 
 def index_corpus(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,36 +36,31 @@ def spread(table: DataFrame, key: str) -> DataFrame:
     """Spread a table that comes in fewer splits than there are cores, such as one
     small file, before heavy work on its rows. A large table is left as it is.
 
-    Rows move by the hash of ``key``, so a task that is run again sees the same rows.
+    ``table`` has to be a plain scan (with narrow changes at most), because its splits
+    are counted; on a shuffled table the count would run it. Rows move by the hash of
+    ``key``, so a task that is run again sees the same rows.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
 
 
-def stream_table(spark: SparkSession, directory: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The same table as a file stream.
+WORK_FOLDER = "spark.checkpoint.dir"
 
-    The path is written as a glob because the file source takes a plain path for a
-    directory, and a table may be one file or a directory of them.
-    """
-    reader = spark.readStream.schema(read_table(spark, directory, name).schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(f"{directory}/[{name[0]}]{name[1:]}.parquet")
 
+def use_work_folder(spark: SparkSession, folder: str) -> None:
+    """Name the work folder of a local session that has none; on a cluster the session
+    itself has to name a folder that all executors reach."""
+    if not spark.conf.get(WORK_FOLDER, None):
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError(f"set {WORK_FOLDER} to a folder all executors can reach")
+        spark.conf.set(WORK_FOLDER, folder)
 
-def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without that setting; it then gets a temporary
-    folder of its own. On a cluster executors could not see such a folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def work_path(spark: SparkSession, label: str) -> str:
+    """A fresh folder below the shared folder named by ``spark.checkpoint.dir``."""
+    base = spark.conf.get(WORK_FOLDER, None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError(f"set {WORK_FOLDER} to a folder all executors can reach")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

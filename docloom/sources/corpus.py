@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom import fixed_values as fv
 from docloom.functions.files import relative_path
+from docloom.session import materialise
 
 CORPUS_COLUMNS = ("id", "content_html")
 
@@ -64,14 +65,23 @@ def read_corpus(spark: SparkSession, candidates: list[str], columns: dict[str, s
     raise FileNotFoundError("no corpus found at any of the given paths")
 
 
-def corpus_window(corpus: DataFrame, key: str, limit: int = fv.CORPUS_LIMIT, offset: int = 0) -> DataFrame:
+def corpus_window(corpus: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
     """Rows ``offset`` … ``offset + limit`` in order of the unique ``key``.
 
-    Only keys are sorted and cut; the rows themselves are then picked by key range,
-    so wide text never meets in one task.
+    Only keys are sorted, into ranges; the ranges are counted, and just those that hold
+    the window's ends are numbered. So neither keys nor texts meet in one task, however
+    deep the window lies. The rows are then picked by key range.
     """
     if limit < 1 or offset < 0:
         raise ValueError("limit must be positive and offset must not be negative")
-    window = corpus.select(key).orderBy(key).offset(offset).limit(limit)
-    ends = window.agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    keys = corpus.select(key).where(F.col(key).isNotNull())
+    ranged = materialise(keys.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "window-keys")
+    sizes = ranged.groupBy("_range").count()
+    before = F.sum("count").over(Window.orderBy("_range")) - F.col("count")
+    places = sizes.select("_range", before.alias("_before")).where(
+        (F.col("_before") < offset + limit) & (F.col("_before") + F.col("count") > offset)
+    )
+    within = ranged.join(F.broadcast(places), "_range")
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(key)) + F.col("_before") - 1
+    ends = within.select(key, at.alias("_at")).where(F.col("_at").between(offset, offset + limit - 1)).agg(F.min(key).alias("low"), F.max(key).alias("high"))
     return corpus.where(F.col(key).between(ends.select("low").scalar(), ends.select("high").scalar()))

@@ -26,8 +26,17 @@ def publish(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("value"))
 
 
-def parse(envelopes: DataFrame, schema: T.StructType = UPLOAD_EVENT, keep: list[str] | None = None) -> DataFrame:
-    """Event columns plus ``is_malformed``.
+def send(envelopes: DataFrame, sink: str, **options: str) -> None:
+    """Write envelopes to a broker or table: ``sink`` is a Spark data source that takes
+    ``key`` and ``value`` (such as ``kafka`` with its servers and topic as options)."""
+    envelopes.write.format(sink).options(**options).mode("append").save()
+
+
+def parse(
+    envelopes: DataFrame, schema: T.StructType = UPLOAD_EVENT, keep: list[str] | None = None, raw: str | None = None
+) -> DataFrame:
+    """Event columns plus ``is_malformed``; ``raw`` names a column for the record as it came,
+    which keeps fields that the schema does not declare.
 
     A value that is not a JSON object gives NULL columns and is flagged; a field the
     event does not carry, or of the wrong type, is NULL.
@@ -41,7 +50,7 @@ def parse(envelopes: DataFrame, schema: T.StructType = UPLOAD_EVENT, keep: list[
     is_object = F.coalesce(F.startswith(shown, F.lit("{")), F.lit(False))
     kept = keep or []
     return envelopes.select(*kept, "value", event.alias("_event")).select(
-        *kept, *[F.col("_event")[f.name].alias(f.name) for f in schema], (~is_object).alias("is_malformed")
+        *kept, *[F.col("_event")[f.name].alias(f.name) for f in schema], (~is_object).alias("is_malformed"), *([text.alias(raw)] if raw else [])
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import partial
 
@@ -12,28 +11,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom import fixed_values as fv
 from docloom.functions.chat import is_chat_role
 from docloom.functions.files import extractor_route
-from docloom.operators.models import Extractor, Fetch, extract_text
+from docloom.operators.models import Extractors, Fetch, extract_text
 from docloom.operators.registry import first_per_key, registry_rows, with_defaults
 from docloom.operators.reports import log_index
+from docloom.operators.sessions import last_messages
+from docloom.session import materialise
 from docloom.sources.events import parse
 
 
 def append_to(
     stream: DataFrame,
-    path: str,
+    path: str | None,
     checkpoint: str,
     *,
     table_format: str = "parquet",
     partition_by: list[str] | None = None,
     available_now: bool = True,
+    options: dict[str, str] | None = None,
 ) -> StreamingQuery:
-    """Append a stream to a table, exactly once per checkpoint."""
+    """Append a stream to a sink: a table at ``path``, exactly once per checkpoint, or any
+    other format with its ``options`` and no path (such as a broker)."""
     writer = stream.writeStream.format(table_format).outputMode("append").option("checkpointLocation", checkpoint)
+    writer = writer.options(**options or {})
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if available_now:
@@ -41,7 +44,7 @@ def append_to(
     return writer.start(path)
 
 
-def extracted(envelopes: DataFrame, extractors: dict[str, Extractor], fetch: Fetch | None = None) -> DataFrame:
+def extracted(envelopes: DataFrame, extractors: Extractors, fetch: Fetch | None = None) -> DataFrame:
     """Upload envelopes -> event columns, ``extracted_text`` and ``error``.
 
     Malformed envelopes have no file name and end as error rows, not as losses.
@@ -53,7 +56,7 @@ def extracted(envelopes: DataFrame, extractors: dict[str, Extractor], fetch: Fet
 
 def start_extraction(
     envelopes: DataFrame,
-    extractors: dict[str, Extractor],
+    extractors: Extractors,
     path: str,
     checkpoint: str,
     *,
@@ -65,7 +68,7 @@ def start_extraction(
 
 def start_routing(
     envelopes: DataFrame,
-    extractors: dict[str, Extractor],
+    extractors: Extractors,
     path: str,
     checkpoint: str,
     *,
@@ -93,92 +96,70 @@ def start_routing(
 
 
 # -------------------------------------------------------------------- registry
-def insert_batch(batch: DataFrame, batch_id: int, order: list[str], path: str) -> None:
+REGISTRY_BUCKETS = 256
+
+
+def insert_batch(batch: DataFrame, batch_id: int, order: list[str], path: str, buckets: int = REGISTRY_BUCKETS) -> None:
     """Append the unknown files of one micro-batch to the registry at ``path``.
 
-    A replayed batch compares itself with earlier batches only and overwrites its own
-    folders, so replays change nothing. The offered rows are written first: their
-    keys, whose real size Spark then knows, pick the known files out of the registry,
-    so that the registry is scanned by key column but need not be shuffled.
+    The registry is laid out by a hash of the file name, and a batch reads the file
+    names of its own buckets only. A replayed batch compares itself with earlier batches
+    and overwrites its own folders, so replays change nothing.
     """
     spark = batch.sparkSession
-    offers = f"{path.rstrip('/')}-offers/batch_id={batch_id}"
-    first_per_key(batch, "filename", order).write.mode("overwrite").parquet(offers)
-    offered = spark.read.schema(batch.schema).parquet(offers)
-    known = _known_files(spark, path, batch_id).join(offered.select("filename"), "filename", "left_semi")
-    new_rows = registry_rows(offered.join(known, "filename", "left_anti"))
-    new_rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    bucket = F.pmod(F.xxhash64("filename"), F.lit(buckets)).cast("int")
+    offered = materialise(first_per_key(batch, "filename", order).withColumn("bucket_id", bucket), "offered")
+    touched = [row[0] for row in offered.select("bucket_id").distinct().collect()]
+    known = _known_files(spark, path, batch_id, touched).join(offered.select("filename"), "filename", "left_semi")
+    new_rows = registry_rows(offered.join(known, "filename", "left_anti")).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    writer = new_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("bucket_id", "batch_id").parquet(path)
 
 
 def start_registry(
     uploads: DataFrame, order: list[str], path: str, checkpoint: str, *, available_now: bool = True
 ) -> StreamingQuery:
-    """Insert unknown files into the registry, one folder per micro-batch."""
+    """Insert unknown files into the registry, one folder per bucket and micro-batch."""
     writer = uploads.writeStream.foreachBatch(partial(insert_batch, order=order, path=path)).option(
         "checkpointLocation", checkpoint
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _known_files(spark: SparkSession, path: str, before_batch: int) -> DataFrame:
-    schema = T.StructType([T.StructField("filename", T.StringType()), T.StructField("batch_id", T.LongType())])
-    try:
-        stored = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch_id=*")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = spark.createDataFrame([], schema)
+def _known_files(spark: SparkSession, path: str, before_batch: int, buckets: list[int]) -> DataFrame:
+    schema = T.StructType([T.StructField("filename", T.StringType()), T.StructField("bucket_id", T.IntegerType()), T.StructField("batch_id", T.LongType())])
+    stored = spark.createDataFrame([], schema)
+    if buckets:
+        folders = path.rstrip("/") + "/bucket_id={" + ",".join(map(str, sorted(buckets))) + "}"
+        try:
+            stored = spark.read.schema(schema).option("basePath", path).parquet(folders)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
     return stored.where(F.col("batch_id") < before_batch).select("filename")
 
 
-# --------------------------------------------------------------------- history
-# Kept messages are one JSON text: the state API returns NULLs for arrays of bigint.
-HISTORY_STATE = T.StructType([T.StructField("version", T.LongType()), T.StructField("messages", T.StringType())])
-
-
-def _last(rows: pd.DataFrame, n: int) -> pd.DataFrame:
-    return rows.sort_values("seq", kind="stable").tail(n)
+def compact_registry(spark: SparkSession, path: str, target: str, up_to_batch: int) -> None:
+    """The registry up to a batch as one file per bucket at ``target``, for a stream that is
+    stopped to go on from there; later batches are added to it."""
+    kept = spark.read.parquet(path).where(F.col("batch_id") <= up_to_batch).withColumn("batch_id", F.lit(up_to_batch).cast("bigint"))
+    kept.repartition("bucket_id").write.partitionBy("bucket_id", "batch_id").parquet(target)
 
 
+# --------------------------------------------------------------------- history
 def _trim_batches(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield batch.sort_values("seq", kind="stable").groupby("session_id", sort=False, dropna=False).tail(n)
 
 
-def _update_history(
-    key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, n: int
-) -> Iterator[pd.DataFrame]:
-    columns = ["seq", "role", "content"]
-    version, stored = state.get if state.exists else (0, "[]")
-    kept = pd.DataFrame(json.loads(stored), columns=columns)
-    for part in parts:
-        merged = pd.concat([kept, part[columns]], ignore_index=True) if len(kept) else part[columns]
-        kept = _last(merged, n)
-    state.update((version + 1, json.dumps(kept.values.tolist())))
-    yield kept.assign(session_id=key[0], version=version + 1)[["session_id", "version", *columns]]
-
-
 def history_updates(messages: DataFrame, n: int = fv.HISTORY_MESSAGES) -> DataFrame:
-    """After every micro-batch the new history of each session it touched.
+    """Chat messages that can still be among a session's last ``n``.
 
-    Messages are cut to ``n`` per session inside every Arrow batch before the
-    shuffle, so a very busy session does not send all its messages to one task.
+    What a session said before is not needed for that, so the stream keeps no state and
+    writes every message once at most; a very busy session is cut inside every Arrow batch.
     """
-    id_type = messages.schema["session_id"].dataType
-    output = T.StructType(
-        [
-            T.StructField("session_id", id_type),
-            T.StructField("version", T.LongType()),
-            T.StructField("seq", T.LongType()),
-            T.StructField("role", T.StringType()),
-            T.StructField("content", T.StringType()),
-        ]
-    )
     chat = messages.where(is_chat_role(F.col("role"))).select("session_id", "seq", "role", "content")
-    trimmed = chat.mapInPandas(partial(_trim_batches, n=n), chat.schema)
-    return trimmed.groupBy("session_id").applyInPandasWithState(
-        partial(_update_history, n=n), output, HISTORY_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    return chat.mapInPandas(partial(_trim_batches, n=n), chat.schema)
 
 
 def start_history(
@@ -187,10 +168,14 @@ def start_history(
     return append_to(history_updates(messages, n), path, checkpoint, **sink)
 
 
-def current_history(updates: DataFrame) -> DataFrame:
-    """The newest history of every session from the table of updates."""
-    newest = updates.groupBy("session_id").agg(F.max("version").alias("version"))
-    return updates.join(newest, ["session_id", "version"]).drop("version")
+def current_history(updates: DataFrame, n: int = fv.HISTORY_MESSAGES) -> DataFrame:
+    """The last ``n`` messages of every session from the table of updates."""
+    return last_messages(updates.select("session_id", "seq", "role", "content"), n)
+
+
+def compact_history(updates: DataFrame, target: str, n: int = fv.HISTORY_MESSAGES) -> None:
+    """Current histories as a new table, in place of one that has grown."""
+    current_history(updates, n).write.parquet(target)
 
 
 # ------------------------------------------------------------------------ logs
@@ -201,5 +186,6 @@ def start_daily_log(
     checkpoint: str,
     **sink: object,
 ) -> StreamingQuery:
-    """Log records appended to one folder per day index."""
+    """Log records appended to one folder per day index, with all their columns (see
+    ``raw`` of ``events.parse`` for records of any shape)."""
     return append_to(records.withColumn("log_index", log_index(timestamp)), path, checkpoint, partition_by=["log_index"], **sink)

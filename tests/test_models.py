@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from docloom import fixed_values as fv
 from docloom.functions.text import chunk_text
-from docloom.operators import models
+from docloom.operators import models, search
 from docloom.plans.corpus_index import index_corpus
+from docloom.plans.requests import answer_requests
 
 
 def test_extraction_isolates_failures(spark):
@@ -68,12 +69,12 @@ def test_generation(spark):
         "qid int, prompt string, provider string, has_key boolean",
     )
 
-    def local(prompt):
-        if prompt == "boom":
+    def local(texts):
+        if "boom" in texts:
             raise RuntimeError("down")
-        return None if prompt == "none" else prompt.upper()
+        return [None if text == "none" else text.upper() for text in texts]
 
-    rows = {r.qid: r.answer for r in models.generate(prompts, {"local": local, "google": local}).collect()}
+    rows = {r.qid: r.answer for r in models.generate(prompts, lambda: {"local": local, "google": local}).collect()}
     assert rows[1] == "P" and rows[3] == "P" and rows[2] == fv.MISSING_KEY and rows[5] == fv.NO_MODEL_ANSWER
     assert rows[4] == "[Error] local LLM inference failed: down"
     assert rows[6].startswith("[Error] else LLM inference failed: ")
@@ -88,3 +89,35 @@ def test_index_job_drops_empty_documents(spark, tmp_path):
     want = spark.createDataFrame([("word and more " * 200,)], "t string").select(F.size(chunk_text(F.trim("t")))).head()[0]
     assert len(rows) == 2 * want
     assert {r.filename for r in rows if r.doc_id == "1"} == {f"pages:1#chunk-{i}" for i in range(want)}
+
+
+def test_long_names_give_ids_of_their_own(spark, tmp_path):
+    body = "<p>" + "word and more " * 300 + "</p>"
+    corpus = spark.createDataFrame([("n" * 260 + str(i), body) for i in range(2)], "id string, content_html string")
+    built = index_corpus(corpus, models.hashed_tokens(8), str(tmp_path / "job"), dim=8, source="pages", nlist=1)
+    rows = built.rows
+    assert rows.count() == rows.select("id").distinct().count() > 4 and rows.select("filename").distinct().count() == 1
+    questions = models.embed(spark.createDataFrame([(0, "word and more")], "qid long, text string"), models.hashed_tokens(8), dim=8)
+    hits = search.hydrate(search.nearest(questions, rows, 5, dim=8), rows.select("id", "filename", "text"))
+    assert hits.count() == 5
+
+
+def test_requests_without_context_reach_no_model(spark):
+    calls = spark.sparkContext.accumulator(0)
+    texts = spark.createDataFrame([("c1", "f", "alpha beta", "d1"), ("c2", "f", "gamma", "d2")], "id string, filename string, text string, doc_id string")
+    rows = models.embed(texts, models.hashed_tokens(8), dim=8)
+    requests = spark.createDataFrame(
+        [(1, "alpha", None, "local", False), (2, "alpha", "none", "local", False), (3, "gamma", "d2", "google", None), (4, "alpha", None, "local", True), (5, "x", "d1", "broken", None)],
+        "qid long, question string, doc_id string, provider string, retrieve_only boolean",
+    )
+
+    def local(prompts):
+        calls.add(len(prompts))
+        return ["yes"] * len(prompts)
+
+    replies = answer_requests(requests, models.hashed_tokens(8), lambda asked: search.nearest_within(asked, rows, "doc_id", dim=8), texts, {"local": local}, dim=8)
+    got = {r.qid: r for r in replies.collect()}
+    assert calls.value == 1 and got[1].answer == "yes" and len(got[1].sources) == 2
+    assert (got[2].answer, got[2].sources, got[2].used_context) == (fv.NO_CONTEXT, [], "")
+    assert got[3].answer == fv.MISSING_KEY and [s.filename for s in got[3].sources] == ["f"] and got[3].used_context
+    assert got[4].answer == fv.RETRIEVE_ONLY % 2 and got[5].answer.startswith("[Error] broken LLM")

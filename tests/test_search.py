@@ -67,7 +67,42 @@ def test_pruned_equals_brute_force(spark, points, built, exclude, nprobe, monkey
     assert found(hits) == brute(points, points, 7, exclude)
 
 
-def test_many_questions_take_the_pruned_way(spark, points):
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_tiny_tables_give_the_same_either_way(spark, n):
+    points = np.eye(DIM)[:n]
+    rows = frame(spark, points) if n else spark.createDataFrame([], "id bigint, vector array<float>")
+    questions = frame(spark, np.eye(DIM)[:4], "qid")
+    want = brute(np.eye(DIM)[:4], points, 2) if n else {}
+    for limit in (1, 1000):
+        assert found(search.nearest(questions, rows, 2, dim=DIM, max_broadcast_questions=limit)) == want
+    assert found(search.nearest_pruned(questions, rows, 2, dim=DIM)) == want
+
+
+def test_a_model_behind_the_vectors_runs_once_per_row(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def encode(texts):
+            calls.add(len(texts))
+            return np.array([[float(t), 1.0] for t in texts], np.float32)
+
+        return encode
+
+    from docloom.operators import models
+
+    def embedded(name):
+        return models.embed(spark.range(40).select(F.col("id").alias(name), F.col("id").cast("string").alias("text"), (F.col("id") % 2).alias("doc")), factory, dim=2)
+
+    asked, rows = embedded("qid"), embedded("id")
+    assert search.nearest(asked, rows, 2, dim=2, max_broadcast_questions=7).count() == 80 and calls.value == 80
+    calls.value = 0
+    assert search.nearest_within(asked, rows, "doc", 2, dim=2).count() == 80 and calls.value == 80
+    calls.value = 0
+    index.build_index(rows, dim=2, nlist=3)
+    assert calls.value == 40
+
+
+def test_questions_in_turns(spark, points):
     rows = frame(spark, points)
     hits = search.nearest(rows.withColumnRenamed("id", "qid"), rows, 3, dim=DIM, max_broadcast_questions=10)
     assert found(hits) == brute(points, points, 3)
@@ -174,8 +209,12 @@ def test_index_append_and_schema_check(spark, points, tmp_path):
     path = str(tmp_path / "index")
     rows = frame(spark, points)
     index.build_index(rows, dim=DIM, nlist=4, path=path)
+    with pytest.raises(ValueError, match="already"):
+        index.build_index(rows, dim=DIM, nlist=4, path=path)
+    held = index.open_index(spark, path)
     more = index.append_to_index(rows.withColumn("id", F.col("id") + 1000), path)
-    assert more.rows.count() == 2 * len(points)
+    assert more.rows.count() == 2 * len(points) == more.sizes.agg(F.sum("n_rows")).head()[0]
+    assert index.index_size(held).agg(F.sum("n_rows")).head()[0] == len(points) == held.rows.count()
     with pytest.raises(ValueError, match="schema"):
         index.append_to_index(rows.withColumn("other", F.lit(1)), path)
 

@@ -60,11 +60,13 @@ def test_busy_session_is_cut_before_the_shuffle(spark, folder):
     )
     write(messages, folder)
     jobs.start_history(read(spark, messages, folder), f"{folder}/out", f"{folder}/state", 5).awaitTermination()
-    got = jobs.current_history(spark.read.parquet(f"{folder}/out"))
+    got = jobs.current_history(spark.read.parquet(f"{folder}/out"), 5)
     assert got.count() == 6_000 + 5
     assert sorted(r.seq for r in got.where("session_id = -1").collect()) == [8985, 8988, 8991, 8994, 8997]
-    state = spark.read.parquet(f"{folder}/out").where("session_id = -1")
-    assert state.agg(F.max("version")).head()[0] == 1
+    written = spark.read.parquet(f"{folder}/out")
+    assert written.where("session_id = -1").count() < 100
+    jobs.compact_history(written, f"{folder}/compact", 5)
+    assert spark.read.parquet(f"{folder}/compact").count() == got.count()
 
 
 def test_registry_over_batches(spark, folder):
@@ -79,6 +81,10 @@ def test_registry_over_batches(spark, folder):
     jobs.insert_batch(parts[1], 1, ["seq"], f"{folder}/reg")
     again = spark.read.parquet(f"{folder}/reg")
     assert sorted((r.filename, r.seq, r.batch_id) for r in again.collect()) == [("a", 1, 0), ("b", 2, 0), ("c", 5, 1)]
+    jobs.compact_registry(spark, f"{folder}/reg", f"{folder}/small", 1)
+    jobs.insert_batch(uploads.union(spark.createDataFrame([("d", 9)], uploads.schema)), 2, ["seq"], f"{folder}/small")
+    small = spark.read.parquet(f"{folder}/small")
+    assert sorted((r.filename, r.seq, r.batch_id) for r in small.collect()) == [("a", 1, 1), ("b", 2, 1), ("c", 5, 1), ("d", 9, 2)]
 
 
 def test_routes_and_daily_logs(spark, folder):
