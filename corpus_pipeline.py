@@ -7,19 +7,36 @@ the one before kept.
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import contamination, neardup, repetition, sequences, substrings
 from docloom.llm.queries import vocabulary
-from docloom.session import materialise, read_table
+from docloom.session import materialise, read_table, use_work_folder
+
+
+def stage(function):
+    """A stage that names the work folder of a local session without one, as in tests."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        use_work_folder(spark, os.path.join(tempfile.gettempdir(), f"docloom-work-{os.getpid()}"))
+        return function(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
     return repetition.judge(docs).where("kept").select(docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
@@ -30,6 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(materialise(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; no document goes."""
     cut = substrings.remove_repeats(docs)
@@ -39,12 +57,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.select(docs.columns)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     found = contamination.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
     return found.where("NOT contaminated").select(docs.columns)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document in sequences of up to 2048 tokens."""
     return sequences.pack_sequences(docs, vocabulary)
@@ -64,6 +84,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    for name, function in STAGES[:-1]:
+        docs = materialise(function(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
