@@ -23,8 +23,8 @@ from docloom.llm import words as W
 
 ORDER = 3
 ALPHA = 0.4
-#: Bytes of a key inside its bucket.
-_KEY = 6
+#: Bits of a key inside its bucket.
+_KEY_BITS = 48
 
 
 class Grams(NamedTuple):
@@ -40,7 +40,7 @@ class Grams(NamedTuple):
 
 def _grams(values: np.ndarray, place: np.ndarray, text: np.ndarray, buckets: int) -> Grams:
     """``text`` is sorted, so a stable sort by n-gram also brings its documents together."""
-    bits = min(8 * _KEY, 64 - (buckets - 1).bit_length())
+    bits = min(_KEY_BITS, 64 - (buckets - 1).bit_length())
     values = values[place]
     keys = ((W.mix(values, 11) % np.uint64(buckets)) << np.uint64(bits)) | (values >> np.uint64(64 - bits))
     order = np.argsort(keys, kind="stable")
@@ -54,15 +54,15 @@ def _grams(values: np.ndarray, place: np.ndarray, text: np.ndarray, buckets: int
 
 
 def _request(block: int, grams: Grams, buckets: int) -> pa.RecordBatch:
-    bits = min(8 * _KEY, 64 - (buckets - 1).bit_length())
-    short = np.ascontiguousarray((grams.keys & np.uint64((1 << bits) - 1)).view(np.uint8).reshape(-1, 8)[:, :_KEY]).view(f"V{_KEY}").ravel()
-    return B.requests(block, grams.keys >> np.uint64(bits), short, grams.counts.astype(np.uint32))
+    bits = min(_KEY_BITS, 64 - (buckets - 1).bit_length())
+    short = grams.keys & np.uint64((1 << bits) - 1)
+    return B.requests(block, grams.keys >> np.uint64(bits), short, grams.counts.astype(np.int64), B.squeeze_sorted, B.squeeze)
 
 
 def _carried(block: int, order: int, totals: np.ndarray, buckets: int) -> pa.RecordBatch:
     """A row that passes its bucket unchanged: totals of an order known already."""
     return pa.RecordBatch.from_arrays(
-        [pa.array([block % buckets], pa.int32()), pa.array([block], pa.int64()), pa.array([bytes([order])], pa.binary()), pa.array([totals.tobytes()], pa.binary())],
+        [pa.array([block % buckets], pa.int32()), pa.array([block], pa.int64()), pa.array([bytes([order])], pa.binary()), pa.array([B.squeeze(totals)], pa.binary())],
         names=["bucket", "block", "keys", "data"],
     )
 
@@ -75,14 +75,12 @@ def _add_up(table: pa.Table) -> pa.Table:
     """Totals of a bucket, to each block in the order of the keys it sent."""
     carried = _is_carried(table)
     asked = table.filter(pa.array(~carried))
-    raw, row = B.arrays(asked.column("keys"), f"V{_KEY}")
-    keys = np.zeros((len(raw), 8), np.uint8)
-    keys[:, :_KEY] = raw.view(np.uint8).reshape(-1, _KEY)
-    counts, _ = B.arrays(asked.column("data"), np.uint32)
-    _, which = np.unique(keys.view(np.uint64).ravel(), return_inverse=True)
+    keys, row = B.arrays(asked.column("keys"), np.uint64, B.unsqueeze_sorted)
+    counts, _ = B.arrays(asked.column("data"), np.int64, B.unsqueeze)
+    _, which = np.unique(keys, return_inverse=True)
     totals = np.bincount(which, counts, minlength=0).astype(np.int64)[which] if len(which) else np.empty(0, np.int64)
     cuts = np.searchsorted(row, np.arange(asked.num_rows + 1))
-    data = pa.array([totals[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+    data = pa.array([B.squeeze(totals[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
     out = pa.table({"bucket": asked.column("bucket"), "block": asked.column("block"), "keys": pa.nulls(asked.num_rows, pa.binary()), "data": data})
     return pa.concat_tables([out, table.filter(pa.array(carried)).cast(out.schema)])
 
@@ -98,9 +96,9 @@ class _Block:
         if answers is not None and answers.num_rows:
             is_carried = _is_carried(answers)
             for key, data in zip(answers.column("keys").filter(pa.array(is_carried)), answers.column("data").filter(pa.array(is_carried)), strict=True):
-                carried[key.as_py()[0]] = np.frombuffer(data.as_buffer(), np.int64)
+                carried[key.as_py()[0]] = B.unsqueeze(data.as_buffer(), np.int64)
             fresh = answers.filter(pa.array(~is_carried)).sort_by("bucket")
-            carried[max(carried, default=0) + 1] = B.arrays(fresh.column("data"), np.int64)[0]
+            carried[max(carried, default=0) + 1] = B.arrays(fresh.column("data"), np.int64, B.unsqueeze)[0]
         self.totals = [carried[k] for k in sorted(carried)]
         self.grams: list[Grams] = []
         place = np.arange(len(hashes))

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,11 +118,37 @@ def bucket_count(blocks: DataFrame, keys_per_byte: float) -> int:
     return max(8, int(size * keys_per_byte / BUCKET_KEYS) + 1)
 
 
-def requests(block: int, buckets: np.ndarray, keys: np.ndarray, data: np.ndarray | None = None) -> pa.RecordBatch:
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: bytes that are mostly zero take next to nothing."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueeze(data, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def squeeze_sorted(values: np.ndarray) -> bytes:
+    return squeeze(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unsqueeze_sorted(data, kind) -> np.ndarray:
+    return np.cumsum(unsqueeze(data, kind), dtype=kind)
+
+
+def requests(
+    block: int,
+    buckets: np.ndarray,
+    keys: np.ndarray,
+    data: np.ndarray | None = None,
+    pack_keys: Callable[[np.ndarray], bytes] = np.ndarray.tobytes,
+    pack_data: Callable[[np.ndarray], bytes] = np.ndarray.tobytes,
+) -> pa.RecordBatch:
     """Rows for the buckets. ``buckets`` is sorted; keys (and data) go along with it."""
     edges = group_edges(buckets)
     cuts = np.append(edges, len(buckets))
-    pieces = [(keys[a:b].tobytes(), None if data is None else data[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    pieces = [(pack_keys(keys[a:b]), None if data is None else pack_data(data[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(buckets[edges].astype(np.int32)),
@@ -133,9 +160,9 @@ def requests(block: int, buckets: np.ndarray, keys: np.ndarray, data: np.ndarray
     )
 
 
-def arrays(column: pa.ChunkedArray | pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+def arrays(column: pa.ChunkedArray | pa.Array, kind, unpack: Callable = np.frombuffer) -> tuple[np.ndarray, np.ndarray]:
     """Packed arrays of all rows, one after the other, and the row of each value."""
-    parts = [np.frombuffer(x.as_buffer(), kind) if x.is_valid else np.empty(0, kind) for x in column]
+    parts = [unpack(x.as_buffer(), kind) if x.is_valid else np.empty(0, kind) for x in column]
     sizes = np.array([len(p) for p in parts], np.int64)
     return (np.concatenate(parts) if parts else np.empty(0, kind)), np.repeat(np.arange(len(parts)), sizes)
 

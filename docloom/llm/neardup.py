@@ -7,9 +7,11 @@ is below the shingle's multiplicity. A register keeps its earliest point, so two
 agree in a register with just their weighted Jaccard similarity. Points are drawn in
 order of time and a process stops when it is later than all registers of its text.
 
-Texts that agree in a band of registers are compared, and are linked if the multisets
-really overlap enough. A band's bucket is not compared pair by pair: first all with its
-smallest id, and, once the linked ones form groups, only members of different groups.
+Texts that agree in a band of registers are candidates for one another; what hangs together
+by candidates is a cluster. The multisets of a cluster are compared exactly, in blocks of
+bounded size, and a block returns the groups it found, never its pairs. Clusters of very
+many blocks take another exact way: the members of a band's bucket meet its smallest id
+first, and, once the linked ones form groups, only members of different groups meet.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ SCREEN = 0.58
 #: Ids of documents to compare that are sent to all tasks; more go through a join.
 BROADCAST_IDS = 1_000_000
 _PIECE = 2 << 20
+#: Part of a cluster: so many texts, and so many bytes of their multisets, at most.
+PART_TEXTS, PART_BYTES = 250, 4 << 20
+#: Parts of a cluster up to which all its blocks (pairs of parts) are compared.
+PARTS = 32
 #: Members of a bucket that meet in one task, besides those outside its largest group.
 _MEMBERS = 10_000
 
@@ -171,6 +177,70 @@ def verify(pairs: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
     return materialise(both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long"), "links")
 
 
+def linked_groups(bags: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+    """The first member of each one's group. Members are linked by similarity; those of one
+    part are only compared if there is no other part. Overlaps are counted by matrix products
+    over the shingles that occur twice or more."""
+    sizes = np.array([len(b) for b in bags], np.int64)
+    owner = np.repeat(np.arange(len(bags)), sizes)
+    values, which, counts = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True) if len(owner) else (np.empty(0), owner, owner)
+    place = np.cumsum(counts > 1) - 1
+    shared = counts[which] > 1
+    column, row = place[which[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((len(bags), len(bags)), np.float64)
+    for low in range(0, int((counts > 1).sum()), 2048):
+        a, b = np.searchsorted(column, (low, low + 2048))
+        dense = np.zeros((len(bags), 2048), np.float32)
+        dense[row[a:b], column[a:b] - low] = 1
+        both += dense @ dense.T
+    a, b = SIMILARITY
+    linked = b * both >= a * (sizes[:, None] + sizes[None, :] - both)
+    if len(np.unique(part)) > 1:
+        linked &= part[:, None] != part[None, :]
+    first = np.full(len(bags), -1)
+    for start in range(len(bags)):
+        if first[start] < 0:
+            reached = frontier = np.arange(len(bags)) == start
+            while frontier.any():
+                frontier = linked[frontier].any(axis=0) & ~reached
+                reached = reached | frontier
+            first[reached] = start
+    return first
+
+
+def _cluster_links(clusters: DataFrame, docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Links that span the groups of all clusters (``node, label``) but the largest, and the
+    nodes of those."""
+    held = materialise(clusters.withColumnRenamed("node", "doc"), "clustered")
+    ids = held.select(F.col("doc").alias("_wanted"))
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    bags = materialise(_multisets(docs.select(id, text).join(wanted, F.col(id) == F.col("_wanted"), "left_semi"), id, text).join(held, "doc"), "bags")
+    sizes = bags.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / PART_TEXTS, F.sum(F.length("bag")) / PART_BYTES)).cast("int").alias("parts"))
+    sizes = materialise(sizes, "parts")
+    few, many = sizes.where(F.col("parts") <= PARTS), sizes.where(F.col("parts") > PARTS)
+    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    cut = bags.join(few, "label").withColumn("part", part)
+    beside = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    # a part meets every other part, and itself where it is the only one or at its own place
+    blocks = cut.select("label", "doc", "bag", "part", beside).select(
+        "label", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "doc", "bag", "part"
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        doc = table.column("doc").to_numpy()
+        order = np.argsort(doc)
+        bags_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("bag")]
+        first = linked_groups([bags_[k] for k in order], table.column("part").to_numpy()[order])
+        doc = doc[order]
+        other = np.flatnonzero(first != np.arange(len(doc)))
+        return pa.table({"a": doc[other], "b": doc[first[other]]})
+
+    links = materialise(blocks.groupBy("label", "left", "right").applyInArrow(compare, "a long, b long"), "links")
+    return links, held.join(many, "label").select("doc")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` of every linked node; the label is the smallest node of its component.
 
@@ -224,6 +294,22 @@ def _unmet(buckets: DataFrame, sketches: DataFrame, labels: DataFrame, met: Data
     return fresh.withColumn("nth", nth).where("nth <= 8").select("a", "b")
 
 
+def _links_by_buckets(buckets: DataFrame, sketches: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Links that span the groups of clusters too large for blocks."""
+    buckets = materialise(buckets, "huge")
+    met = materialise(buckets.where("doc != center").select(F.col("doc").alias("a"), F.col("center").alias("b")).distinct(), "met")
+    links = verify(met, docs, id, text)
+    labels = components(links)
+    while True:
+        more = materialise(_unmet(buckets, sketches, labels, met), "unmet")
+        if not more.limit(1).count():
+            return links
+        found = verify(more, docs, id, text)
+        met, links = met.unionByName(more), links.unionByName(found)
+        if found.limit(1).count():
+            labels = components(links)
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` (the id) of every row with ``copy_of``, the smallest id with the same text,
     and ``class_id``, the smallest id of its group: texts linked, directly or through
@@ -241,18 +327,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     centers = materialise(banded.groupBy("key").agg(F.min("doc").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n"), "centers")
     buckets = materialise(banded.join(centers, "key"), "buckets")
     typed = docs.withColumn(id, F.col(id).cast("long"))
-    met = materialise(buckets.where("doc != center").select(F.col("doc").alias("a"), F.col("center").alias("b")).distinct(), "met")
-    links = verify(met, typed, id, text)
+    candidates = materialise(buckets.where("doc != center").select(F.col("doc").alias("a"), F.col("center").alias("b")).distinct(), "candidates")
+    links, huge = _cluster_links(components(candidates), typed, id, text)
+    if huge.limit(1).count():
+        links = links.unionByName(_links_by_buckets(buckets.join(huge, "doc", "left_semi"), texts.select("doc", "sketch"), typed, id, text))
     labels = components(links)
-    sketches = texts.select("doc", "sketch")
-    while True:
-        more = materialise(_unmet(buckets, sketches, labels, met), "unmet")
-        if not more.limit(1).count():
-            break
-        found = verify(more, typed, id, text)
-        met, links = met.unionByName(more), links.unionByName(found)
-        if found.limit(1).count():
-            labels = components(links)
     classes = texts.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("text_1", "text_2", F.col("doc").alias("copy_of"), F.coalesce("label", "doc").alias("class_id"))
     classes = materialise(classes, "classes")
     return signed.join(classes, ["text_1", "text_2"]).select(F.col("doc").alias("doc_id"), "copy_of", "class_id")
