@@ -161,6 +161,22 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((times[0] == times[1]).mean() - true) < 0.03
 
 
+@pytest.mark.parametrize("parts,texts", [(32, 250), (32, 7), (2, 7), (0, 7)])
+def test_all_ways_through_a_cluster_agree(spark, monkeypatch, parts, texts):
+    """Whole clusters, clusters in blocks, and clusters that go by buckets."""
+    monkeypatch.setattr(neardup, "PARTS", parts)
+    monkeypatch.setattr(neardup, "PART_TEXTS", texts)
+    rng = np.random.default_rng(8)
+    made = {}
+    for k in range(60):
+        words = [f"f{k % 3}w{i}" for i in range(150)]
+        for at in rng.integers(0, 150, rng.integers(0, 10)):
+            words[at] = f"x{k}a{at}"
+        made[k] = " ".join(words)
+    out = collected(neardup.near_duplicates(spark.createDataFrame(list(made.items()), "doc_id long, text string")))
+    assert {i: r.class_id for i, r in out.items()} == groups(made)
+
+
 def test_large_buckets_of_other_groups_are_compared(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_MEMBERS", 3)
     labels = spark.createDataFrame([(i, 0 if i < 9 else i) for i in range(12)], "node long, label long")
