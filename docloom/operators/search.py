@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from docloom import fixed_values as fv
 from docloom.operators import blocks
 from docloom.operators.index import IvfIndex, build_index, suggested_nlist
-from docloom.session import materialise, once
+from docloom.session import cut_before_shuffle, materialise, once
 
 # So many questions are sent to the tasks at a time.
 MAX_BROADCAST_QUESTIONS = 10_000
@@ -66,9 +66,9 @@ def keep_nearest(hits: DataFrame, k: int) -> DataFrame:
     """Rank the hits of each question and keep k.
 
     The ``rank <= k`` filter lets Spark cut every question to k rows before the
-    shuffle as well as after it. Spark does so up to its own threshold for k; the
-    tasks of a search return no more than k rows per question in any case.
+    shuffle as well as after it.
     """
+    cut_before_shuffle(hits.sparkSession, k)
     order = Window.partitionBy("qid").orderBy("l2_sq", "id")
     return hits.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import fixed_values as fv
 from docloom.functions.chat import is_chat_role
+from docloom.session import cut_before_shuffle
 
 SESSIONS_PER_PAGE = 1_000
 
@@ -18,6 +19,7 @@ def last_messages(messages: DataFrame, n: int = fv.HISTORY_MESSAGES) -> DataFram
     inside every input partition as well, so a session with very many messages
     sends at most ``n`` per partition through the shuffle.
     """
+    cut_before_shuffle(messages.sparkSession, n)
     newest = Window.partitionBy("session_id").orderBy(F.col("seq").desc())
     return (
         messages.where(is_chat_role(F.col("role")))

@@ -76,6 +76,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_before_shuffle(spark: SparkSession, n: int) -> None:
+    """Let Spark cut ranked groups to ``n`` rows before the shuffle, also for large ``n``."""
+    setting = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if 0 <= int(spark.conf.get(setting)) < n:
+        spark.conf.set(setting, str(n))
+
+
 def once(udf):
     """Keep the optimizer from copying an expensive function into a filter, which
     would run it twice per row."""

@@ -143,8 +143,9 @@ def test_history_bound(spark):
 
 
 def test_history_cut_happens_before_the_shuffle(spark):
-    plan = sessions.last_messages(chat(spark, {1: 3}))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    for n in (24, 5_000):
+        plan = sessions.last_messages(chat(spark, {1: 3}), n)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") == 2
 
 
 def test_append_turns(spark):
