@@ -317,8 +317,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
     Ids are integers and belong to one row each; rows of equal id and text give equal
     rows. A text of one to four words is one shingle; one without words (NULL counts as
-    empty) is in a group with equal texts only. Other columns are not carried over. An empty
-    table gives an empty table.
+    empty) is in a group with equal texts only. A NULL id is no text's smallest id: a text
+    that only such rows have gets NULL. Other columns are not carried over. An empty table
+    gives an empty table.
     """
     signed = sign(docs.withColumn(id, F.col(id).cast("long")), id, text)
     texts = signed.groupBy("text_1", "text_2").agg(F.min("doc").alias("doc"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))

@@ -202,7 +202,33 @@ def op1_sharding(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-@query()
+OP3 = r"""
+WITH RECURSIVE texts AS (
+  SELECT coalesce(text, '') AS t, min(doc_id) AS doc FROM documents GROUP BY 1
+), split AS (
+  SELECT doc, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM texts
+), shingles AS (
+  SELECT doc, s, count(*) AS c FROM (SELECT doc, unnest(CASE WHEN len(words) >= 5
+      THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS s FROM split) GROUP BY ALL
+), sizes AS (
+  SELECT doc, sum(c) AS n FROM shingles GROUP BY doc
+), shared AS (
+  SELECT x.doc AS a, y.doc AS b, sum(least(x.c, y.c)) AS o FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc < y.doc GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc = a JOIN sizes q ON q.doc = b WHERE 5 * o >= 4 * (p.n + q.n - o)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(doc, other) AS (
+  SELECT doc, doc FROM texts UNION SELECT reached.doc, b FROM reached JOIN both_ways ON other = a
+), classes AS (
+  SELECT doc, min(other) AS class_id FROM reached GROUP BY doc
+)
+SELECT doc_id, doc AS copy_of, class_id FROM documents JOIN texts ON coalesce(text, '') = t JOIN classes USING (doc)
+"""
+
+
+@query(OP3)
 def op3_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
     """The group of near duplicates of every document."""
     docs = read_table(spark, directory, "documents").select("doc_id", "text")
