@@ -24,7 +24,7 @@ from docloom.llm import words as W
 ORDER = 3
 ALPHA = 0.4
 #: Bits of a key inside its bucket.
-_KEY_BITS = 48
+_KEY_BITS = 44
 
 
 class Grams(NamedTuple):
@@ -151,7 +151,8 @@ def score_documents(docs: DataFrame, text: str = "text", block_bytes: int = B.BL
 
     Rows are documents: repeated rows find each other. NULL and empty texts have no words and
     score 0. An empty table gives an empty table. N-grams are told apart by 64-bit hashes,
-    of which a bucket keeps 48 bits (fewer beyond 65,536 buckets).
+    of which a bucket (of about a million n-grams) keeps 44 bits, fewer beyond a million
+    buckets. Two n-grams of a bucket are taken for one in one of some ten million cases.
     """
     packed = B.pack(docs, text, block_bytes, lambda batch: len(W.split_words(W.text_bytes(batch.column(text))).start))
     total = int(packed.agg(F.sum("n_units")).first()[0] or 0)
