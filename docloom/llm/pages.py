@@ -189,18 +189,26 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
 def best_container(nodes: list[Node], blocks: list[Block], path: str | None = None) -> int:
     """The container with the highest score (among those at ``path``), or -1.
 
-    A block's characters outside links count fully for the container it lies in, and
-    half as much for each container further out. Of equals the outer one wins.
+    A block's characters outside links count fully for every container up to the
+    innermost article (or else main) around it, and half for each one further out. Where
+    there is neither, they lose a fifth with each step out, so that a container with
+    several parts wins over its largest part. Of equals the outer one wins.
     """
+    aims = [-1] * len(nodes)
+    for k, node in enumerate(nodes):
+        above = aims[node.parent] if node.parent >= 0 else -1
+        if node.tag == "article" or node.tag == "main" and (above < 0 or nodes[above].tag == "main"):
+            above = k
+        aims[k] = above
     scores: dict[int, float] = {}
     for block in blocks:
         weight = float(max(0, len(block.text) - block.linked))
-        at = block.node
+        at, aim = block.node, aims[block.node]
         while at >= 0 and weight:
             if nodes[at].tag in CONTAINERS or at == 0:
                 if path is None or nodes[at].path == path:
                     scores[at] = scores.get(at, 0.0) + weight
-                weight /= 2
+                weight *= 0.8 if aim < 0 else 1.0 if at > aim else 0.5
             at = nodes[at].parent
     return min(scores, key=lambda n: (-scores[n], n)) if scores else -1
 

@@ -210,11 +210,17 @@ def test_main_text_of_a_rich_page(spark):
         (13, "http://other.test/", "<p>cut off <b>here</b> <a href='x"),
         (14, "http://other.test/", "<!-- never closed"),
         (15, "http://h.test/only", "<body><div><p>Another layout with words</p></div></body>"),
+        (16, "http://parts.test/", "<article><section><p>" + "long part " * 30 + "</p></section><section><p>short part</p></section></article>"),
+        (17, "http://divs.test/", "<div id=c><DIV><P>" + "some words " * 9 + "</DIV><div><p>more words here, and as many again<pre>a\n  b</pre></div></div><div class='Main-Sidebar'>x</div>"),
+        (18, "http://kept.test/", "<article class=x><h1>T</h1><div><p>one<table><tr><td>c1<td>c2</table><blockquote>q</blockquote><ol class=commentlist><li>no</ol></div></article>"),
     ]
     table = spark.createDataFrame([(*r, "mine", "old") for r in rows], "page_id long, url string, html string, path string, text string")
     out = collected(pages.extract_pages(table), "page_id")
     assert len(out) == len(rows) and out[0].path.endswith("main>article.post-0")
     assert all(out[i].text == WANT for i in range(5))
+    assert out[16].text == ("long part " * 30).strip() + " short part"
+    assert out[17].text == "some words " * 9 + "more words here, and as many again a b"
+    assert out[18].text == "T one c1 c2 q"
     assert [out[i].text for i in (10, 11, 12, 13, 14, 15)] == ["", "", "plain text only", "cut off here", "", "Another layout with words"]
 
 
