@@ -34,6 +34,7 @@ SCREEN = 0.58
 #: Ids of documents to compare that are sent to all tasks; more go through a join.
 BROADCAST_IDS = 1_000_000
 _PIECE = 2 << 20
+_POINTS = 1 << 18
 #: Part of a cluster: so many texts, and so many bytes of their multisets, at most.
 PART_TEXTS, PART_BYTES = 250, 4 << 20
 #: Parts of a cluster up to which all its blocks (pairs of parts) are compared.
@@ -83,11 +84,13 @@ def bag_signatures(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, tex
     now, drawn = np.zeros(len(row)), 0
     while len(row):
         # few processes that go on for long draw many points at a time
-        points = 1 if drawn < 4 else 64
+        points = max(1, min(64, _POINTS // len(row)))
         steps = W.mix(seed[:, None] + (np.arange(drawn, drawn + points, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :])
         drawn += points
         gaps = -np.log1p(-(steps >> np.uint64(11)).astype(np.float64) / float(1 << 53)) / width[:, None]
-        time = now[:, None] + np.cumsum(gaps, axis=1)
+        # added one by one, so that a point's time does not depend on how many are drawn at once
+        gaps[:, 0] += now
+        time = np.cumsum(gaps, axis=1)
         place = W.mix(steps, 5)
         register = (place % np.uint64(registers)).astype(np.int64)
         weight = low[:, None] + ((place >> np.uint64(32)).astype(np.float64) / float(1 << 32) * width[:, None]).astype(np.int64)
@@ -244,20 +247,32 @@ def _cluster_links(clusters: DataFrame, docs: DataFrame, id: str, text: str) ->
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` of every linked node; the label is the smallest node of its component.
 
-    Labels spread along links and are followed to their own label in every round, so the
-    rounds grow with the logarithm of the longest chain. Nothing reaches the driver
-    but the number of labels that changed.
+    In every round each node takes its smallest neighbour, is sent on along what that one
+    took (four steps), and the links are drawn between what nodes have become; links that
+    become loops go. Links shrink fast, and chains to a quarter in each round. Nothing
+    reaches the driver but whether links are left.
     """
-    edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    edges = materialise(edges, "edges")
+    labels = None
     while True:
-        beside = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(beside, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        further = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = spread.join(further, "label").select("node", F.least("label", "next").alias("label"), (F.least("label", "next") != F.col("old")).alias("moved"))
-        moved = materialise(moved, "labels")
-        labels = moved.select("node", "label")
-        if not moved.where("moved").limit(1).count():
+        taken = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        roots = edges.select(F.col("a").alias("node"), F.col("a").alias("parent"))
+        parents = taken.unionByName(roots).groupBy("node").agg(F.min("parent").alias("parent"))
+        for _ in range(2):
+            parents = materialise(parents, "parents")
+            further = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+            parents = parents.join(further, "parent").select("node", F.col("next").alias("parent"))
+        parents = materialise(parents, "parents")
+        if labels is None:
+            labels = parents.withColumnRenamed("parent", "label")
+        else:
+            moved = parents.select(F.col("node").alias("label"), "parent")
+            labels = materialise(labels.join(moved, "label", "left").select("node", F.coalesce("parent", "label").alias("label")), "labels")
+        drawn = edges.join(parents.select(F.col("node").alias("a"), F.col("parent").alias("to_a")), "a")
+        drawn = drawn.join(parents.select(F.col("node").alias("b"), F.col("parent").alias("to_b")), "b").where("to_a != to_b")
+        edges = materialise(drawn.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        if not edges.limit(1).count():
             return labels
 
 

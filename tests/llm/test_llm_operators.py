@@ -161,6 +161,18 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((times[0] == times[1]).mean() - true) < 0.03
 
 
+def test_components_of_chains_stars_and_cliques(spark):
+    rng = np.random.default_rng(2)
+    links = [(i, i + 1) for i in range(100, 170)] + [(0, i) for i in range(1, 40)] + [(i, j) for i in range(50, 60) for j in range(50, i)]
+    order = rng.permutation(300)
+    links += [(int(order[i]) + 1000, int(order[i + 1]) + 1000) for i in range(150)] + [(7, 7)]
+    out = {r.node: r.label for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    chain = min(order[:151]) + 1000
+    want = {i: 100 for i in range(100, 171)} | {i: 0 for i in range(40)} | {i: 50 for i in range(50, 60)} | {int(x) + 1000: int(chain) for x in order[:151]}
+    assert out == want
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("parts,texts", [(32, 250), (32, 7), (2, 7), (0, 7)])
 def test_all_ways_through_a_cluster_agree(spark, monkeypatch, parts, texts):
     """Whole clusters, clusters in blocks, and clusters that go by buckets."""
