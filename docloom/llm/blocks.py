@@ -174,6 +174,7 @@ def ask(blocks: DataFrame, function: Callable[[int, pa.RecordBatch], pa.RecordBa
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
                 yield function(block, load(payload))
+                pa.default_memory_pool().release_unused()
 
     return blocks.select("block", "payload").mapInArrow(run, REQUEST)
 
@@ -191,6 +192,7 @@ def revisit(blocks: DataFrame, answers: DataFrame, function: Callable, schema) -
         out = []
         for block, payload in zip(left.column("block").to_pylist(), left.column("payload"), strict=True):
             out.append(function(block, load(payload), right))
+            pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out)
 
     left = blocks.select("block", "payload").groupBy("block")

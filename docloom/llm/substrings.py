@@ -56,7 +56,7 @@ def _least_owner(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, id: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES // 2) -> DataFrame:
     """Cut every word covered by a window of ``window`` words that also starts in a
     document with a smaller id. Windows are judged on the input texts.
 
@@ -191,10 +191,12 @@ def _cut_texts(column: pa.Array, raw: W.Text, words: W.Words, gone: np.ndarray,
     # what is left must not begin with the white space before its first word
     kept_words = np.flatnonzero(~gone)
     leading = kept_words[W.group_edges(words.text[kept_words])]
+    lost = np.bincount(words.text[gone], (words.end - left)[gone], len(column)).astype(np.int64)
     for k in leading[removed[words.text[leading]] > 0].tolist():
         kept[left[k] : words.start[k]] = False
-    total = np.concatenate([[0], np.cumsum(kept)])
-    out = W.string_array(W.Text(raw.data[kept], total[raw.offsets]))
+        lost[words.text[k]] += words.start[k] - left[k]
+    sizes = np.diff(raw.offsets) - lost
+    out = W.string_array(W.Text(raw.data[kept], np.concatenate([[0], np.cumsum(sizes)])))
     if not column.null_count:
         return out
     import pyarrow.compute as pc

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 #: Bytes that separate words: space and U+0009 to U+000D.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _WINDOW = np.uint64(0xD1342543DE82EF95)
