@@ -43,8 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows with the same id all stay or go; rows with a NULL id all stay.
     """
     grouped = neardup.near_duplicates(docs.where("doc_id IS NOT NULL"))
-    gone = grouped.where("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(materialise(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+    gone = materialise(grouped.where("doc_id != class_id").select("doc_id").distinct(), "gone")
+    if gone.count() <= neardup.BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 @stage
