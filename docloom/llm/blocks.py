@@ -120,12 +120,13 @@ def bucket_count(blocks: DataFrame, keys_per_byte: float) -> int:
 
 def squeeze(values: np.ndarray) -> bytes:
     """Numbers as compressed byte planes: bytes that are mostly zero take next to nothing."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unsqueeze(data, kind) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    raw, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.dtype(kind).itemsize
+    planes = raw.reshape(size, len(raw) // size)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
