@@ -53,6 +53,12 @@ class Normal:
         self.string = out.tobytes().decode("latin-1")
 
 
+def item_words(text: str) -> list[str]:
+    """Words of one text in normal form. Only the spaces of that form separate: bytes beyond
+    ASCII are letters here, though ``str.split`` takes some of them for white space."""
+    return [word for word in Normal(pa.array([text], pa.string())).string.strip(" \n").split(" ") if word]
+
+
 def patterns(items: list[Item], window: int) -> dict[str, tuple[int, set[str]]]:
     """Windows of all items in normal form: number of words and items that have them.
 
@@ -60,7 +66,7 @@ def patterns(items: list[Item], window: int) -> dict[str, tuple[int, set[str]]]:
     """
     out: dict[str, tuple[int, set[str]]] = {}
     for item, text in items:
-        words = Normal(pa.array([text], pa.string())).string.split()
+        words = item_words(text)
         size = min(window, len(words))
         for k in range(len(words) - size + 1 if size else 0):
             out.setdefault(f" {' '.join(words[k : k + size])} ", (size, set()))[1].add(item)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -336,6 +337,45 @@ def test_short_items_spans_and_parts(spark):
     assert collected(contamination.find_contamination(docs, benchmark.limit(0)))[1].n_hit == 0
 
 
+def normal_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def by_brute_force(texts, items, window=13):
+    """n_words, n_hit and items of every text."""
+    wanted = collections.defaultdict(set)
+    for item, text in items:
+        words = normal_words(text)
+        size = min(window, len(words))
+        for k in range(len(words) - size + 1 if size else 0):
+            wanted[tuple(words[k : k + size])].add(item)
+    out = {}
+    for doc, text in texts.items():
+        words, hit, found = normal_words(text), set(), set()
+        for size in {len(w) for w in wanted}:
+            for k in range(len(words) - size + 1):
+                if names := wanted.get(tuple(words[k : k + size])):
+                    hit |= set(range(k, k + size))
+                    found |= names
+        out[doc] = (len(words), len(hit), sorted(found))
+    return out
+
+
+def test_words_with_any_byte_are_found(spark):
+    """Bytes 0x85 and 0xA0 of letters beyond ASCII, which are white space in latin-1."""
+    rng = np.random.default_rng(6)
+    pool = ["voilà", "déjà", "Åre", "ąŠ", "хорошо", "Работа", "a\u00a0b", "x\u0085y", "中文字", "酅栠", "ok", "End", "9"]
+    long = [[pool[k] for k in rng.integers(0, len(pool), 25)] for _ in range(6)]
+    items = [(f"i{k}", " ".join(words)) for k, words in enumerate(long)]
+    items += [("fr", "voilà déjà à"), ("ru", "хорошо, Работа!"), ("nbsp", "\u00a0"), ("cjk", "酅栠 中文字"), ("nel", "x\u0085y ok"), ("none", " .\n")]
+    texts = {k: " ".join(pool[i] for i in rng.integers(0, len(pool), 9)) + ". " + "-".join(long[k % 6][k % 9 : k % 9 + 15]) + " à " + "\u00a0" * (k % 2) for k in range(30)}
+    texts |= {50: "voil d j", 51: "Voilà: déjà -à", 52: "хорошо Работа", 53: "酅栠\n中文字", 54: None, 55: "\u00a0"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = collected(contamination.find_contamination(docs, spark.createDataFrame(items, "item_id string, text string")))
+    assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in out.items()} == by_brute_force(texts, items)
+    assert out[51]["items"] == ["fr"] and out[52]["items"] == ["ru"] and out[55]["items"] == ["nbsp"]
+
+
 # LM scores
 
 
