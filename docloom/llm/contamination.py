@@ -20,8 +20,11 @@ SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 NORMAL = W.byte_class(SEPARATORS)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-#: Text of test items that one automaton takes; more are scanned for in further passes.
-PART_BYTES = 8 << 20
+#: Bytes of distinct patterns that one automaton takes, as each is a node of some 50 bytes
+#: at worst; windows beyond are scanned for in further passes.
+PART_BYTES = 2 << 20
+#: What a pattern, and an item that has it, takes besides nodes, as so many bytes of pattern.
+_PATTERN, _OWNER = 8, 2
 _PIECE = 4 << 20
 
 Item = tuple[str, str]
@@ -59,17 +62,20 @@ def item_words(text: str) -> list[str]:
     return [word for word in Normal(pa.array([text], pa.string())).string.strip(" \n").split(" ") if word]
 
 
-def patterns(items: list[Item], window: int) -> dict[str, tuple[int, set[str]]]:
-    """Windows of all items in normal form: number of words and items that have them.
+def windows(words: list[str], window: int) -> Iterator[str]:
+    """Every window of an item's words; fewer words than a window, but not none, are one."""
+    size = min(window, len(words))
+    for k in range(len(words) - size + 1 if size else 0):
+        yield f" {' '.join(words[k : k + size])} "
 
-    An item of fewer words than a window, but not none, is one pattern.
-    """
+
+def patterns(items: list[Item], window: int) -> dict[str, tuple[int, set[str]]]:
+    """Windows of all items in normal form: number of words and items that have them."""
     out: dict[str, tuple[int, set[str]]] = {}
     for item, text in items:
         words = item_words(text)
-        size = min(window, len(words))
-        for k in range(len(words) - size + 1 if size else 0):
-            out.setdefault(f" {' '.join(words[k : k + size])} ", (size, set()))[1].add(item)
+        for pattern in windows(words, window):
+            out.setdefault(pattern, (min(window, len(words)), set()))[1].add(item)
     return out
 
 
@@ -79,6 +85,7 @@ _BUILT: dict[str, tuple] = {}
 def _automaton(items: list[Item], window: int, digest: str) -> tuple:
     """The automaton, words by pattern, and items by pattern; one is kept per process."""
     if digest not in _BUILT:
+        _BUILT.clear()
         found = patterns(items, window)
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for number, pattern in enumerate(found):
@@ -86,7 +93,6 @@ def _automaton(items: list[Item], window: int, digest: str) -> tuple:
         machine.make_automaton()
         sizes = np.array([n for n, _ in found.values()], np.int64)
         owners = [sorted(names) for _, names in found.values()]
-        _BUILT.clear()
         _BUILT[digest] = (machine, sizes, owners)
     return _BUILT[digest]
 
@@ -109,22 +115,38 @@ def scan(column: pa.Array, machine, sizes: np.ndarray, owners: list[list[str]])
     return normal, hit, items
 
 
-def _parts(benchmark: DataFrame, id: str, text: str, most: int) -> Iterator[list[Item]]:
-    """Items in lists of at most ``most`` bytes, so that the driver never holds them all."""
-    held, size = [], 0
+def _parts(benchmark: DataFrame, id: str, text: str, window: int, most: int) -> Iterator[list[Item]]:
+    """Items in lists whose distinct patterns take at most ``most`` bytes (or that are one
+    pattern), so that neither the driver nor an automaton ever holds them all.
+
+    An item with more windows than a list has room for is cut; its pieces overlap by a
+    window less one word, so that each window is in one piece.
+    """
+    held, seen, size = [], set(), 0
     for row in benchmark.select(id, text).toLocalIterator():
         if row[0] is None or row[1] is None:
             continue
-        more = len(row[1].encode())
-        if held and size + more > most:
-            yield held
-            held, size = [], 0
-        held.append((str(row[0]), row[1]))
-        size += more
+        words, low = item_words(row[1]), 0
+        for k, pattern in enumerate(windows(words, window)):
+            more = _OWNER + (0 if pattern in seen else len(pattern) + _PATTERN)
+            if size and size + more > most:
+                if k > low:
+                    held.append((str(row[0]), _joined(words[low : k - 1 + window])))
+                yield held
+                held, seen, size, low = [], set(), 0, k
+                more = _OWNER + len(pattern) + _PATTERN
+            seen.add(pattern)
+            size += more
+        if words:
+            held.append((str(row[0]), _joined(words[low:])))
     if held:
         yield held
 
 
+def _joined(words: list[str]) -> str:
+    return " ".join(words).encode("latin-1").decode()
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -146,10 +168,11 @@ def find_contamination(
     Words are runs of digits, lower-cased letters and characters beyond ASCII. NULL and
     empty texts have no words and no hits. Items that are NULL, have a NULL id or no
     words are not looked for; equal ids count as one item. Without items nothing is
-    hit. Items beyond ``part_bytes`` are scanned for in further passes over the texts.
+    hit. Windows beyond ``part_bytes`` of distinct patterns are scanned for in further
+    passes over the texts. Only the words of one item at a time are held whole.
     """
     out = docs.select([c for c in docs.columns if c.lower() not in ("_hit", "items")])
-    parts = _parts(benchmark, item_id, item_text, part_bytes)
+    parts = _parts(benchmark, item_id, item_text, window, part_bytes)
     items, number = next(parts, []), 0
     while True:
         following = next(parts, None)

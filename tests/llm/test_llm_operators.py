@@ -376,6 +376,24 @@ def test_words_with_any_byte_are_found(spark):
     assert out[51]["items"] == ["fr"] and out[52]["items"] == ["ru"] and out[55]["items"] == ["nbsp"]
 
 
+def test_parts_are_bounded_by_their_patterns(spark):
+    """No automaton gets more than its bytes of patterns, an item longer than a part is cut,
+    and all parts together find what brute force does."""
+    rng = np.random.default_rng(7)
+    words = [[f"wört{x}" for x in rng.integers(0, 10**6, n)] for n in (300, 40, 13, 12, 2)]
+    items = [(f"i{k}", " ".join(w)) for k, w in enumerate(words)] + [("copy", " ".join(words[1]))]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    most = 6000
+    parts = [contamination.patterns(part, 13) for part in contamination._parts(benchmark, "item_id", "text", 13, most)]
+    assert len(parts) > 4 and all(sum(len(p) for p in part) <= most for part in parts)
+    whole = collections.Counter((p, size, item) for p, (size, names) in contamination.patterns(items, 13).items() for item in names)
+    assert collections.Counter((p, size, item) for part in parts for p, (size, names) in part.items() for item in names) == whole
+    texts = {k: " ".join(["x", *words[k % 5][k : k + 14], "y", *words[0][40 * k : 40 * k + 50]]) for k in range(8)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = collected(contamination.find_contamination(docs, benchmark, part_bytes=most))
+    assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in out.items()} == by_brute_force(texts, items)
+
+
 # LM scores
 
 
