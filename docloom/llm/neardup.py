@@ -9,9 +9,9 @@ order of time and a process stops when it is later than all registers of its tex
 
 Texts that agree in a band of registers are candidates for one another; what hangs together
 by candidates is a cluster. The multisets of a cluster are compared exactly, in blocks of
-bounded size, and a block returns the groups it found, never its pairs. Clusters of very
-many blocks take another exact way: the members of a band's bucket meet its smallest id
-first, and, once the linked ones form groups, only members of different groups meet.
+bounded size, and a block returns the groups it found, never its pairs. In clusters of very
+many blocks the members of a band's bucket meet its smallest id first, and, once the linked
+ones form groups, only members of different groups meet, again in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ _POINTS = 1 << 18
 PART_TEXTS, PART_BYTES = 250, 4 << 20
 #: Parts of a cluster up to which all its blocks (pairs of parts) are compared.
 PARTS = 32
+#: Parts of a larger cluster are so many times larger in texts, and in bytes.
+_MORE_TEXTS, _MORE_BYTES = 4, 2
 #: Members of a bucket that meet in one task, besides those outside its largest group.
 _MEMBERS = 10_000
 
@@ -180,9 +182,9 @@ def verify(pairs: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
     return materialise(both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long"), "links")
 
 
-def linked_groups(bags: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+def linked_groups(bags: list[np.ndarray], part: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """The first member of each one's group. Members are linked by similarity; those of one
-    part are only compared if there is no other part. Overlaps are counted by matrix products
+    part are only compared if there is no other part, those of one label never. Overlaps are counted by matrix products
     over the shingles that occur twice or more."""
     sizes = np.array([len(b) for b in bags], np.int64)
     owner = np.repeat(np.arange(len(bags)), sizes)
@@ -202,6 +204,8 @@ def linked_groups(bags: list[np.ndarray], part: np.ndarray) -> np.ndarray:
     linked = b * both >= a * (sizes[:, None] + sizes[None, :] - both)
     if len(np.unique(part)) > 1:
         linked &= part[:, None] != part[None, :]
+    if label is not None:
+        linked &= label[:, None] != label[None, :]
     first = np.full(len(bags), -1)
     for start in range(len(bags)):
         if first[start] < 0:
@@ -213,9 +217,22 @@ def linked_groups(bags: list[np.ndarray], part: np.ndarray) -> np.ndarray:
     return first
 
 
+def _compared(table: pa.Table) -> pa.Table:
+    """Links from each member of a block to the first of its group; with a ``name``, groups
+    known before, those of one name are not compared."""
+    doc = table.column("doc").to_numpy()
+    order = np.argsort(doc)
+    bags = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("bag")]
+    name = table.column("name").to_numpy()[order] if "name" in table.column_names else None
+    first = linked_groups([bags[k] for k in order], table.column("part").to_numpy()[order], name)
+    doc = doc[order]
+    other = np.flatnonzero(first != np.arange(len(doc)))
+    return pa.table({"a": doc[other], "b": doc[first[other]]})
+
+
 def _cluster_links(clusters: DataFrame, docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Links that span the groups of all clusters (``node, label``) but the largest, and the
-    nodes of those."""
+    """Links that span the groups of all clusters (``node, label``) but the largest, and
+    the multisets of those (``doc, cluster, bag``)."""
     held = materialise(clusters.withColumnRenamed("node", "doc"), "clustered")
     ids = held.select(F.col("doc").alias("_wanted"))
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -231,17 +248,8 @@ def _cluster_links(clusters: DataFrame, docs: DataFrame, id: str, text: str) ->
         "label", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "doc", "bag", "part"
     )
 
-    def compare(table: pa.Table) -> pa.Table:
-        doc = table.column("doc").to_numpy()
-        order = np.argsort(doc)
-        bags_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("bag")]
-        first = linked_groups([bags_[k] for k in order], table.column("part").to_numpy()[order])
-        doc = doc[order]
-        other = np.flatnonzero(first != np.arange(len(doc)))
-        return pa.table({"a": doc[other], "b": doc[first[other]]})
-
-    links = materialise(blocks.groupBy("label", "left", "right").applyInArrow(compare, "a long, b long"), "links")
-    return links, held.join(many, "label").select("doc")
+    links = materialise(blocks.groupBy("label", "left", "right").applyInArrow(_compared, "a long, b long"), "links")
+    return links, bags.join(many, "label").select("doc", F.col("label").alias("cluster"), "bag")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -278,7 +286,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def _unmet(buckets: DataFrame, sketches: DataFrame, labels: DataFrame, met: DataFrame) -> DataFrame:
     """Pairs of different groups in one bucket, not compared yet, whose sketches agree
-    enough: the eight closest for each member and other group."""
+    enough: the eight closest for each member and other group.
+
+    Not part of ``near_duplicates``, as a bucket of many small groups is one task here."""
     named = buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
     named = materialise(named, "named")
     sizes = named.groupBy("key", "label").count()
@@ -309,20 +319,61 @@ def _unmet(buckets: DataFrame, sketches: DataFrame, labels: DataFrame, met: Data
     return fresh.withColumn("nth", nth).where("nth <= 8").select("a", "b")
 
 
-def _links_by_buckets(buckets: DataFrame, sketches: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
-    """Links that span the groups of clusters too large for blocks."""
-    buckets = materialise(buckets, "huge")
-    met = materialise(buckets.where("doc != center").select(F.col("doc").alias("a"), F.col("center").alias("b")).distinct(), "met")
+def _blocks(buckets: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks (``cluster, key, left, right``) in which any two members of one bucket and of
+    different groups meet: ``doc``, its group as ``name``, and its ``part``.
+
+    The largest group of a bucket and all others are each cut by hash into parts of bounded
+    size; parts of the others meet each other and those of the largest. Buckets with equal
+    members are taken once. Where that moves fewer bytes, the whole cluster is one bucket.
+    """
+    by = ["cluster", "whole", "key"]
+    pairs = buckets.join(members, "doc").select("cluster", F.lit(False).alias("whole"), "key", "doc", "size")
+    pairs = pairs.unionByName(members.select("cluster", F.lit(True).alias("whole"), F.col("cluster").alias("key"), "doc", "size"))
+    named = pairs.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("name", F.coalesce("label", "doc")).drop("label")
+    named = materialise(named, "named")
+    groups = named.groupBy(*by, "name").agg(
+        F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")
+    )
+    sides = groups.groupBy(by).agg(
+        F.max(F.struct("n", "name", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
+    )
+    sides = sides.where("n > top.n").dropDuplicates(["cluster", "whole", "n", "x", "y"])
+
+    def parts(n, size):
+        return F.ceil(F.greatest(n / (_MORE_TEXTS * PART_TEXTS), size / (_MORE_BYTES * PART_BYTES), F.lit(1))).cast("int")
+
+    rest = F.col("size") - F.col("top.size")
+    sides = sides.select(
+        *by,
+        F.col("top.name").alias("top"),
+        parts(F.col("top.n"), F.col("top.size")).alias("tops"),
+        parts(F.col("n") - F.col("top.n"), rest).alias("others"),
+        F.col("top.size").alias("top_size"),
+        rest.alias("rest"),
+    )
+    sides = materialise(sides, "sides")
+    moved = F.col("rest") * (F.col("others") + F.col("tops")) + F.col("top_size") * F.col("others")
+    way = sides.groupBy("cluster").agg(F.sum(F.when(F.col("whole"), moved)).alias("once"), F.sum(F.when(~F.col("whole"), moved)).alias("often"))
+    way = way.where("often > 0").select("cluster", (F.col("once") < F.col("often")).alias("whole"))
+    rows = named.join(sides.join(way, ["cluster", "whole"]).drop("top_size", "rest"), by)
+    top = F.col("name") == F.col("top")
+    part = F.when(top, F.col("others") + F.pmod(F.xxhash64("doc"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("doc"), F.col("others"))).cast("int")
+    beside = F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(top, 0).otherwise(F.col("tops"))))
+    rows = rows.select("cluster", "key", "doc", "name", part.alias("part"), beside.alias("other"))
+    return rows.select("cluster", "key", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "doc", "name", "part")
+
+
+def _links_by_buckets(buckets: DataFrame, huge: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Links that span the groups of clusters too large for blocks of the whole: members of
+    a bucket meet its center, and then all members of other groups."""
+    members = materialise(huge.select("doc", "cluster", F.length("bag").cast("long").alias("size")), "members")
+    buckets = materialise(buckets.join(members.select("doc"), "doc"), "huge")
+    met = buckets.where("doc != center").select(F.col("doc").alias("a"), F.col("center").alias("b")).distinct()
     links = verify(met, docs, id, text)
-    labels = components(links)
-    while True:
-        more = materialise(_unmet(buckets, sketches, labels, met), "unmet")
-        if not more.limit(1).count():
-            return links
-        found = verify(more, docs, id, text)
-        met, links = met.unionByName(more), links.unionByName(found)
-        if found.limit(1).count():
-            labels = components(links)
+    blocks = _blocks(buckets.select("key", "doc"), members, components(links)).join(huge.select("doc", "bag"), "doc")
+    found = blocks.groupBy("cluster", "key", "left", "right").applyInArrow(_compared, "a long, b long")
+    return links.unionByName(materialise(found, "links"))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -337,7 +388,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     gives an empty table.
     """
     signed = sign(docs.withColumn(id, F.col(id).cast("long")), id, text)
-    texts = signed.groupBy("text_1", "text_2").agg(F.min("doc").alias("doc"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
+    texts = signed.groupBy("text_1", "text_2").agg(F.min("doc").alias("doc"), F.any_value("keys").alias("keys"))
     texts = materialise(texts, "texts")
     banded = texts.select("doc", F.explode("keys").alias("key"))
     centers = materialise(banded.groupBy("key").agg(F.min("doc").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n"), "centers")
@@ -346,7 +397,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     candidates = materialise(buckets.where("doc != center").select(F.col("doc").alias("a"), F.col("center").alias("b")).distinct(), "candidates")
     links, huge = _cluster_links(components(candidates), typed, id, text)
     if huge.limit(1).count():
-        links = links.unionByName(_links_by_buckets(buckets.join(huge, "doc", "left_semi"), texts.select("doc", "sketch"), typed, id, text))
+        links = links.unionByName(_links_by_buckets(buckets, huge, typed, id, text))
     labels = components(links)
     classes = texts.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("text_1", "text_2", F.col("doc").alias("copy_of"), F.coalesce("label", "doc").alias("class_id"))
     classes = materialise(classes, "classes")

@@ -201,6 +201,42 @@ def test_large_buckets_of_other_groups_are_compared(spark, monkeypatch):
     assert all(sum(1 for a, b in pairs if a == x and b < 9) == 8 for x in (9, 10, 11))
 
 
+def test_blocks_of_a_large_bucket_are_bounded(spark, monkeypatch):
+    """No task gets a whole bucket of small groups, and all pairs of different groups meet."""
+    monkeypatch.setattr(neardup, "PART_TEXTS", 5)
+    name = {i: 0 if i < 100 else i for i in range(300)} | {i: 300 + i % 7 for i in range(300, 340)}
+    keys = {7: range(300), 8: range(300), 9: range(280, 340)}
+    buckets = spark.createDataFrame([(k, i) for k, held in keys.items() for i in held], "key long, doc long")
+    members = spark.createDataFrame([(i, 0, 100) for i in name], "doc long, cluster long, size long")
+    labels = spark.createDataFrame([x for x in name.items() if x[0] < 100 or x[0] >= 300], "node long, label long")
+    blocks = collections.defaultdict(list)
+    for r in neardup._blocks(buckets, members, labels).collect():
+        assert r.name == name[r.doc]
+        blocks[r.cluster, r.key, r.left, r.right].append((r.doc, r.part))
+    assert max(map(len, blocks.values())) <= 90  # two parts of about 20
+    met = set()
+    for held in blocks.values():
+        one = len({p for _, p in held}) == 1
+        met |= {(a, b) for a, p in held for b, q in held if a < b and name[a] != name[b] and (one or p != q)}
+    assert met >= {(a, b) for held in keys.values() for a in held for b in held if a < b and name[a] != name[b]}
+
+
+def test_template_family_in_small_blocks(spark, monkeypatch):
+    """Texts of one template of which most are just not similar enough."""
+    monkeypatch.setattr(neardup, "PARTS", 0)
+    monkeypatch.setattr(neardup, "PART_TEXTS", 3)
+    rng = np.random.default_rng(9)
+    made = {}
+    for k in range(120):
+        words = [f"w{i}" for i in range(150)]
+        for at in rng.integers(0, 150, int(rng.integers(2, 6))):
+            words[at] = f"x{k}a{at}"
+        made[k] = " ".join(words)
+    out = collected(neardup.near_duplicates(spark.createDataFrame(list(made.items()), "doc_id long, text string")))
+    want = groups(made)
+    assert {i: out[i].class_id for i in made} == want and 5 < len(set(want.values())) < 115
+
+
 # pages
 
 
