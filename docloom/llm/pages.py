@@ -48,6 +48,11 @@ NOISE = frozenset(
     "discussion disqus related recommended recommendations pagination pager toolbar search searchbox form forms hidden".split()
 )
 NOT_NOISE = frozenset("has with without no is not".split())
+#: An element that is noise by its name only is kept if it has more than this share of the
+#: page's unlinked text; one with a name of text by others only if nothing is outside of it,
+#: and one with a name of noise words alone never.
+MOST = 0.5
+BY_OTHERS = frozenset("comment comments commentlist respond reply replies discussion disqus related recommended recommendations".split())
 #: An element of these opens anew where one is still open, up to the element in the second place.
 IMPLIED = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -59,6 +64,9 @@ class Node(NamedTuple):
     parent: int
     path: str
     dropped: bool
+    #: Innermost element around (or this) that is noise by its class or id only, or 0.
+    named: int = 0
+    share: float = 0.0
 
 
 class Block(NamedTuple):
@@ -79,17 +87,56 @@ def _label(tag: str, attributes: dict[str, str]) -> str:
     return tag + re.sub(r"\d+", "0", "".join(f"#{x}" for x in name) + "".join(f".{x}" for x in classes))
 
 
-def _noise(attributes: dict[str, str]) -> bool:
+def _hidden(attributes: dict[str, str]) -> bool:
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in ROLES:
         return True
-    if "none" in attributes.get("style", "") and re.search(r"display\s*:\s*none", attributes["style"], re.I):
-        return True
+    return "none" in attributes.get("style", "") and bool(re.search(r"display\s*:\s*none", attributes["style"], re.I))
+
+
+def _noise(attributes: dict[str, str]) -> float:
+    """The share of a page's text above which its class names and ids are no noise: 0 for
+    any, 1 for nothing less than all of it, 2 for none."""
+    share = 0.0
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        parts = re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()
-        pieces = re.split(r"[^a-z]+", parts)
-        if NOISE.intersection(pieces) and pieces[0] not in NOT_NOISE:
-            return True
-    return False
+        pieces = {x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if x}
+        if NOT_NOISE.isdisjoint(pieces) and (words := NOISE & pieces):
+            share = max(share, 2.0 if words == pieces else MOST if words.isdisjoint(BY_OTHERS) else 1.0)
+    return share
+
+
+def _without_noise(nodes: list[Node], blocks: list[Block]) -> list[Block]:
+    """Blocks outside elements that are noise by their names. A name of an element that
+    holds most of the page's unlinked text, where no article or main is outside of all such
+    elements, says how the page is laid out; so does that of one with the page's only main,
+    or else only article."""
+    if not any(nodes[b.node].named for b in blocks):
+        return blocks
+    held: dict[int, int] = {}
+    aims: dict[str, set[int]] = {"main": set(), "article": set()}
+    total = 0
+    for block in blocks:
+        weight = max(0, len(block.text) - block.linked)
+        total += weight
+        at = block.node
+        while at > 0:
+            if nodes[at].named == at:
+                held[at] = held.get(at, 0) + weight
+            elif nodes[at].tag in aims and weight:
+                aims[nodes[at].tag].add(at)
+            at = nodes[at].parent
+    kept = set()
+    only = aims["main"] or aims["article"]
+    for at in only if len(only) == 1 else ():
+        while at > 0:
+            kept.add(at)
+            at = nodes[at].parent
+    outside = any(not nodes[at].named for x in aims.values() for at in x)
+    noise = [False] * len(nodes)
+    for k, node in enumerate(nodes):
+        if node.named:
+            poor = outside or held.get(k, 0) <= node.share * total - (node.share == 1)
+            noise[k] = noise[node.parent] or node.named == k and k not in kept and poor
+    return [b for b in blocks if not noise[b.node]]
 
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
@@ -173,17 +220,20 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             flush()
         parent = stack[-1]
         attributes = _attributes(text) if text.strip("/ \n\t") else {}
-        dropped = nodes[parent].dropped or tag in DROPPED or (tag not in ("html", "body", "article", "main") and bool(attributes) and _noise(attributes))
+        layout = tag in ("html", "body", "article", "main") or not attributes
+        noise = 0.0 if layout else _noise(attributes)
+        # inline elements are parts of a block and wrap no layout
+        dropped = nodes[parent].dropped or tag in DROPPED or (not layout and _hidden(attributes)) or (bool(noise) and tag not in BLOCK)
         if tag == "header" and not nearest(("article",)):
             dropped = True
         path = f"{nodes[parent].path}>{_label(tag, attributes)}" if tag in BLOCK and tag not in ("html", "body") else nodes[parent].path
         if not text.endswith("/") or tag in BLOCK:
-            nodes.append(Node(tag, parent, path, dropped))
+            nodes.append(Node(tag, parent, path, dropped, len(nodes) if noise else nodes[parent].named, noise))
             stack.append(len(nodes) - 1)
             links += tag == "a"
     add(page[place:])
     flush()
-    return nodes, blocks
+    return nodes, _without_noise(nodes, blocks)
 
 
 def best_container(nodes: list[Node], blocks: list[Block], path: str | None = None) -> int:

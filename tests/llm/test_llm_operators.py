@@ -281,6 +281,16 @@ def test_consensus_beats_a_page_with_long_extras(spark):
     assert out[9].text == "short"
 
 
+@pytest.mark.parametrize("name", ["class='content-with-sidebar'", "class='layout-sidebar-left'", "class='page-header-fixed'", "class='post-share-enabled'", "id='register-guide'"])
+def test_wrappers_with_noise_words_keep_their_text(name):
+    """Names of wrappers say how a page is laid out; small parts and comments still go."""
+    article, rest = "<h1>Title</h1><p>" + "some words " * 30 + "</p>", "<div class=sidebar><p>Side</p></div><div class='ad box'>Buy</div>"
+    want = "Title " + ("some words " * 30).strip()
+    for page in (f"<div {name}><div>{article}</div>{rest}</div>", f"<div {name}><article>{article}</article>{rest}</div><div id=comments><p>{'long comment ' * 99}</p></div>"):
+        nodes, blocks = pages.parse(f"<body>{page}<p>By us</p></body>")
+        assert [b.text for b in blocks] == [*(want[:5], want[6:]), "By us"]
+
+
 def test_pages_of_the_tables(spark, directory):
     import html
     import re
