@@ -53,10 +53,16 @@ NOT_NOISE = frozenset("has with without no is not".split())
 #: and one with a name of noise words alone never.
 MOST = 0.5
 BY_OTHERS = frozenset("comment comments commentlist respond reply replies discussion disqus related recommended recommendations".split())
+AIM = re.compile(r">(?:article|main)(?![^>#.])")
+#: Paths that say more than plain tags do.
+NAMED = re.compile(r"[#.]|>(?:article|main)(?![^>#.])")
 #: An element of these opens anew where one is still open, up to the element in the second place.
 IMPLIED = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PATHS = 3
+#: A path that names no part of a page, or one beside the page's article, is not followed
+#: where its container scores less than this share of the page's own best.
+SMALL = 0.25
 
 
 class Node(NamedTuple):
@@ -236,13 +242,13 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
     return nodes, _without_noise(nodes, blocks)
 
 
-def best_container(nodes: list[Node], blocks: list[Block], path: str | None = None) -> int:
-    """The container with the highest score (among those at ``path``), or -1.
+def container_scores(nodes: list[Node], blocks: list[Block]) -> dict[int, float]:
+    """Scores of all containers with text.
 
     A block's characters outside links count fully for every container up to the
     innermost article (or else main) around it, and half for each one further out. Where
     there is neither, they lose a fifth with each step out, so that a container with
-    several parts wins over its largest part. Of equals the outer one wins.
+    several parts wins over its largest part.
     """
     aims = [-1] * len(nodes)
     for k, node in enumerate(nodes):
@@ -256,11 +262,33 @@ def best_container(nodes: list[Node], blocks: list[Block], path: str | None = No
         at, aim = block.node, aims[block.node]
         while at >= 0 and weight:
             if nodes[at].tag in CONTAINERS or at == 0:
-                if path is None or nodes[at].path == path:
-                    scores[at] = scores.get(at, 0.0) + weight
+                scores[at] = scores.get(at, 0.0) + weight
                 weight *= 0.8 if aim < 0 else 1.0 if at > aim else 0.5
             at = nodes[at].parent
-    return min(scores, key=lambda n: (-scores[n], n)) if scores else -1
+    return scores
+
+
+def best_container(nodes: list[Node], blocks: list[Block], path: str | None = None) -> int:
+    """The container with the highest score (among those at ``path``), or -1. Of equals the
+    outer one wins."""
+    scores = container_scores(nodes, blocks)
+    return min((n for n in scores if path is None or nodes[n].path == path), key=lambda n: (-scores[n], n), default=-1)
+
+
+def chosen_container(nodes: list[Node], blocks: list[Block], paths: list[str]) -> int:
+    """The container at the first of the paths that the page has and that is good for it,
+    or else the page's own best, or -1."""
+    scores = container_scores(nodes, blocks)
+    if not scores:
+        return -1
+    own = min(scores, key=lambda n: (-scores[n], n))
+    aimed = bool(AIM.search(nodes[own].path))
+    for path in paths:
+        at = min((n for n in scores if nodes[n].path == path), key=lambda n: (-scores[n], n), default=-1)
+        weak = aimed and not AIM.search(path) or not NAMED.search(path)
+        if at >= 0 and not (weak and scores[at] < SMALL * scores[own]):
+            return at
+    return own
 
 
 def text_in(nodes: list[Node], blocks: list[Block], container: int) -> str:
@@ -280,7 +308,8 @@ def extract_pages(pages: DataFrame, html_column: str = "html", url: str = "url",
     styles are left out by their tags, roles, classes and ids. Character references are
     decoded, white space in a block becomes one space, blocks are joined by one. A host's
     ``paths`` most voted paths are tried in turn; a page that has none of them (or whose host
-    has none) gives its own best container. Ties between paths go to the first by name.
+    has none) gives its own best container. So does a page where a path of plain tags only, or
+    one outside of the page's article or main, has less than a quarter of that one's score. Ties between paths go to the first by name.
 
     NULL and empty pages give an empty text; a NULL address belongs to the host "".
     Every row is treated by itself, so repeated rows give the same text (and vote each).
@@ -315,13 +344,7 @@ def extract_pages(pages: DataFrame, html_column: str = "html", url: str = "url",
             texts, used = [], []
             for page, tried in zip(batch.column("_html"), batch.column("_paths"), strict=True):
                 nodes, blocks = parse(page.as_py() or "")
-                best = -1
-                for path in tried.as_py() or []:
-                    best = best_container(nodes, blocks, path)
-                    if best >= 0:
-                        break
-                if best < 0:
-                    best = best_container(nodes, blocks)
+                best = chosen_container(nodes, blocks, tried.as_py() or [])
                 texts.append(text_in(nodes, blocks, best) if best >= 0 else "")
                 used.append(nodes[best].path if best >= 0 else None)
             yield B.with_columns(batch, {"text": pa.array(texts, pa.string()), "path": pa.array(used, pa.string())}, names)

@@ -281,6 +281,17 @@ def test_consensus_beats_a_page_with_long_extras(spark):
     assert out[9].text == "short"
 
 
+def test_smaller_layout_of_a_host_keeps_its_article(spark):
+    """A winning path of plain tags, or beside the article, that holds little of the page."""
+    long = "long text " * 40
+    rows = [(i, "http://h.test/", f"<body><div><p>{long}</p></div></body>") for i in range(6)]
+    rows += [(10 + i, "http://h.test/", f"<body><div><p>Tip of the day</p></div><article>{long}</article></body>") for i in range(2)]
+    rows += [(20 + i, "http://n.test/", f"<body><div class=text><p>{long}</p></div></body>") for i in range(6)]
+    rows += [(30, "http://n.test/", f"<body><div class=text><p>Tip of the day</p></div><main><p>{long}</p></main></body>")]
+    out = collected(pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert {r.text for r in out.values()} == {long.strip()}
+
+
 @pytest.mark.parametrize("name", ["class='content-with-sidebar'", "class='layout-sidebar-left'", "class='page-header-fixed'", "class='post-share-enabled'", "id='register-guide'"])
 def test_wrappers_with_noise_words_keep_their_text(name):
     """Names of wrappers say how a page is laid out; small parts and comments still go."""
