@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import backoff, contamination, neardup, pages, quality, repetition, sequences, sharding, substrings, urls
+from docloom.llm import backoff, contamination, mixing, neardup, pages, periods, quality, repetition, sequences, sharding, substrings, urls, whitening
 from docloom.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,3 +275,128 @@ def op9_backoff_scores(spark: SparkSession, directory: str) -> DataFrame:
     return scored.select(
         "doc_id", "n_words", "n_order_3", "n_order_2", "n_order_1", "n_order_0", F.round("mean_log_score", 6).alias("mean_log_score")
     )
+
+
+OP11 = r"""
+WITH numbers AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS given, list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)) AS state
+  FROM documents
+), planted AS (
+  SELECT *, 4294967295::BIGINT - state AS h, len(given) AS n FROM numbers
+), parts AS (
+  SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM planted WHERE h % 10 = 0 AND n > 0
+), texts AS (
+  SELECT doc_id, list_transform(range(n), lambda i: CASE WHEN i < a THEN given[i + 1] ELSE given[a + (i - a) % p + 1] END) AS words FROM parts
+  UNION ALL SELECT doc_id, given FROM planted WHERE h % 10 > 0 OR n = 0
+), word AS (
+  SELECT doc_id, n, i, words[i + 1] AS w, CASE WHEN i + 2 < n THEN hash(words[i + 1], words[i + 2], words[i + 3]) END AS gram
+  FROM (SELECT doc_id, words, len(words) AS n, unnest(range(len(words))) AS i FROM texts)
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.doc_id = y.doc_id AND x.gram = y.gram AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + 2 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM islands WHERE length >= 6 AND length >= 4 * q GROUP BY ALL
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id
+), best AS (
+  SELECT r.doc_id, start, length, period FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (o.length * r.period > r.length * o.period
+    OR (o.length * r.period = r.length * o.period AND (o.start < r.start OR (o.start = r.start AND o.period < r.period)))))
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document (by the checksum of its id) repeats a stretch of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    chosen = chosen.withColumns({"n": F.size("words").cast("long"), "g": F.floor(h / 10)})
+    chosen = chosen.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    chosen = chosen.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    rest = (F.col("n") - F.col("a")).cast("int")
+    cycle = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return chosen.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query(OP11)
+def op11_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
+    """Periodic runs of every document, and its text with one period of each."""
+    docs = with_planted_runs(read_table(spark, directory, "documents").select("doc_id", "text"))
+    found = periods.collapse_runs(docs)
+    better = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    # runs come by start and period, so the first of equal ones stays
+    best = F.reduce("runs", none, lambda best, r: F.when(better(best, r), r).otherwise(best))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(substrings.kept_words(F.col("text")), 256).alias("collapsed_sha256"),
+    )
+
+
+OP12 = r"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT AS u
+  FROM documents
+), sums AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0]::DOUBLE[][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM rows GROUP BY source
+), ordered AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY source_size / weight, source) AS k FROM sums
+), levels AS (
+  SELECT k, cap, weight, (1.5::DOUBLE * (SELECT sum(source_size) FROM sums)::DOUBLE - coalesce(sum(cap) OVER before, 0))
+    / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM ordered WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), stop AS (
+  SELECT level, k FROM levels WHERE level * weight < cap ORDER BY k LIMIT 1
+), plan AS (
+  SELECT source, source_size, CASE WHEN o.k < stop.k THEN cap ELSE weight * level END AS target FROM ordered o, stop
+), needs AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats,
+    greatest(0, round(target)::BIGINT - CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END * source_size) AS need
+  FROM plan
+), placed AS (
+  SELECT doc_id, r.source, size, source_size, target, repeats, need,
+    sum(size) OVER (PARTITION BY r.source ORDER BY u RANGE UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY r.source, u) AS held
+  FROM rows r JOIN needs n ON r.source IS NOT DISTINCT FROM n.source
+)
+SELECT doc_id, source, size, source_size, target, repeats, (repeats * size + CASE WHEN need = 0 OR upto - held >= need THEN 0 WHEN upto <= need THEN size
+  ELSE (size * (need - (upto - held))) // held END)::BIGINT AS taken
+FROM placed
+"""
+
+
+@query(OP12)
+def op12_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    """How many words of every document a mix of one and a half corpora takes."""
+    docs = read_table(spark, directory, "documents")
+    return mixing.mix_sources(docs, mixing.cyclic_weights(docs.select("source"), (5, 2, 1)), budget=1.5, max_epochs=2.0)
+
+
+@query()
+def op13_whitening(spark: SparkSession, directory: str) -> DataFrame:
+    """Whitened coordinates of every vector along the four widest directions."""
+    return whitening.whiten(read_table(spark, directory, "embeddings"), components=4)

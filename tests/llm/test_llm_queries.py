@@ -19,5 +19,5 @@ def test_equals_sql(spark, directory, database, name):
 def test_one_query_for_each_operator():
     import __spark_entry__ as entry
 
-    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in entry.queries()
