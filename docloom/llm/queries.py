@@ -362,7 +362,7 @@ WITH rows AS (
     ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT AS u
   FROM documents
 ), sums AS (
-  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0]::DOUBLE[][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  SELECT source, sum(size)::BIGINT AS source_size, list_extract([5.0, 2.0, 1.0]::DOUBLE[], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS weight
   FROM rows GROUP BY source
 ), ordered AS (
   SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY source_size / weight, source) AS k FROM sums
