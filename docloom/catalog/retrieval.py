@@ -15,7 +15,7 @@ from docloom.functions.text import chunk_text
 from docloom.operators import answers, index, models, reports, search
 from docloom.plans.corpus_index import explode_chunks
 from docloom.plans.requests import answer_requests as answer_all
-from docloom.session import read_table
+from docloom.session import read_table, work_path
 
 DIM = 64
 
@@ -128,7 +128,13 @@ def ivf_lists(spark: SparkSession, directory: str) -> DataFrame:
     f"""SELECT vec_id AS id, label, unnest(range({DIM}))::INT AS slot, round(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings"""
 )
 def write_index(spark: SparkSession, directory: str) -> DataFrame:
-    built = index.build_index(_rows(spark, directory), dim=DIM, nlist=16)
+    """Built on a part of the rows; the rest is appended under an id, offered once more
+    and compacted, which leaves every row once."""
+    rows, path = _rows(spark, directory), work_path(spark, "index")
+    index.build_index(rows.where("id % 3 = 0"), dim=DIM, nlist=16, path=path)
+    for part in ("id % 3 = 1", "id % 3 = 2", "id % 3 = 1"):
+        index.append_to_index(rows.where(part), path, append_id=part)
+    built = index.compact_index(spark, path)
     slots = built.rows.select("id", "label", F.posexplode("vector").alias("slot", "x"))
     return slots.withColumn("x", F.round(F.col("x").cast("double"), 6))
 

@@ -1,4 +1,8 @@
-"""Inverted-list vector index as a partitioned table."""
+"""Inverted-list vector index as a partitioned table with atomic appends.
+
+An index is three folders: ``rows`` and ``lists`` (rows and radius of every list), each
+with one sub-folder per append, and ``commits``, which says which of them count.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,7 @@ from pyspark.sql import types as T
 from docloom import fixed_values as fv
 from docloom.operators import blocks
 from docloom.session import materialise, once, work_path
+from docloom.sources import commits
 
 MAX_CENTROID_FLOATS = 32_000_000
 
@@ -31,6 +35,7 @@ class IvfIndex:
     centroids: np.ndarray
     radii: np.ndarray
     dim: int
+    version: commits.Version = commits.Version()
 
 
 def suggested_nlist(n_rows: int, dim: int) -> int:
@@ -79,29 +84,13 @@ def assign_lists(rows: DataFrame, centroids: np.ndarray, dim: int) -> DataFrame:
     )
 
 
-def write_index(assigned: DataFrame, path: str) -> None:
-    """Append index rows, one folder per list.
+def write_rows(assigned: DataFrame, path: str) -> None:
+    """Write index rows, one folder per list.
 
     The rebalance hint groups rows by list so that a list is a few good-sized
     files, and splits a list that is much larger than the others.
     """
-    spark = assigned.sparkSession
-    existing = _schema_at(spark, path)
-    if existing is not None:
-        have = {(f.name, f.dataType.simpleString()) for f in existing}
-        want = {(f.name, f.dataType.simpleString()) for f in assigned.schema}
-        if have != want:
-            raise ValueError("index rows do not match the schema of the existing index")
-    assigned.hint("rebalance", "list_id").write.mode("append").partitionBy("list_id").parquet(path)
-
-
-def _schema_at(spark: SparkSession, path: str) -> T.StructType | None:
-    try:
-        return spark.read.parquet(path).schema
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    assigned.hint("rebalance", "list_id").write.mode("error").partitionBy("list_id").parquet(path)
 
 
 def build_index(
@@ -119,55 +108,97 @@ def build_index(
 
     ``rows`` are read more than once, so they are written first, unless they are a
     ``written`` table already. An index that exists is not built again; see
-    ``append_to_index``.
+    ``append_to_index``. A build that was interrupted has committed nothing and may be repeated.
     """
     spark = rows.sparkSession
     path = path or work_path(spark, "index")
-    if _schema_at(spark, f"{path}/centroids") is not None:
+    before = commits.read_version(spark, f"{path}/commits")
+    if before.parts:
         raise ValueError(f"there is an index at {path} already; append to it")
     rows = rows if written else materialise(rows, "index-rows")
     if centroids is None:
         centroids = train_centroids(rows, dim, nlist, seed, sample)
     table = pa.table({"list_id": pa.array(np.arange(len(centroids)), pa.int32()), "centroid": blocks.list_array(centroids, np.float64)})
-    spark.createDataFrame(table).coalesce(1).write.parquet(f"{path}/centroids")
-    _add(assign_lists(rows, centroids, dim), path)
-    return open_index(spark, path)
-
-
-def _add(assigned: DataFrame, path: str) -> None:
-    """Append rows, then what they add to rows and radius of every list, so that opening
-    the index need not scan it. Nothing is overwritten: an index that is open stays
-    readable, and sees the rows it was opened with."""
-    assigned = materialise(assigned, "assigned")
-    write_index(assigned, f"{path}/rows")
-    summary = assigned.groupBy("list_id").agg(F.count("*").alias("n_rows"), F.max("to_centroid").alias("radius"))
-    summary.coalesce(1).write.mode("append").parquet(f"{path}/lists")
-
-
-def open_index(spark: SparkSession, path: str) -> IvfIndex:
-    """Open a written index. Only one row per list reaches the driver."""
-    added = spark.read.parquet(f"{path}/lists").groupBy("list_id")
-    lists = added.agg(F.sum("n_rows").alias("n_rows"), F.max("radius").alias("radius"))
-    centroids = spark.read.parquet(f"{path}/centroids").orderBy("list_id").toArrow()
-    dim = len(centroids["centroid"][0])
+    folder = commits.new_part("centroids")
+    spark.createDataFrame(table).coalesce(1).write.parquet(f"{path}/centroids/{folder}")
+    version = _add(assign_lists(rows, centroids, dim), path, "build", before, facts={"centroids": folder, "dim": str(dim)})
+    if version.facts["centroids"] != folder:  # another build was first, and its lists are the index
+        return open_index(spark, path, version)
+    return _opened(spark, path, version, centroids, dim)
+
+
+def _add(
+    assigned: DataFrame,
+    path: str,
+    commit_id: str,
+    before: commits.Version,
+    replaces: tuple[str, ...] = (),
+    facts: dict[str, str] | None = None,
+) -> commits.Version:
+    """Write rows once, in their final place, then what they add to rows and radius of every list,
+    and commit both together. Whatever stops before the commit changes nothing."""
+    spark = assigned.sparkSession
+    part = commits.new_part(commit_id)
+    write_rows(assigned, f"{path}/rows/part={part}")
+    there = commits.read_or_none(spark, f"{path}/rows/part={part}", schema=T.StructType([assigned.schema["to_centroid"], assigned.schema["list_id"]]))
+    if there is None:  # no rows, no files
+        there = spark.createDataFrame([], "to_centroid double, list_id int")
+    summary = there.groupBy("list_id").agg(F.count("*").alias("n_rows"), F.max("to_centroid").alias("radius"))
+    summary.coalesce(1).write.mode("error").parquet(f"{path}/lists/part={part}")
+    return commits.commit(spark, f"{path}/commits", commit_id, part, after=before, replaces=replaces, facts=facts)
+
+
+def open_index(spark: SparkSession, path: str, version: commits.Version | None = None) -> IvfIndex:
+    """Open a written index at its current version, or at one that was read before. It goes on
+    to show that version, whatever is appended. Only one row per list and commit reaches the driver."""
+    version = version or commits.read_version(spark, f"{path}/commits")
+    if not version.parts:
+        raise ValueError(f"there is no index at {path}")
+    dim = int(version.facts["dim"])
+    table = spark.read.parquet(f"{path}/centroids/{version.facts['centroids']}").orderBy("list_id").toArrow()
+    return _opened(spark, path, version, blocks.matrix(table["centroid"], dim), dim)
+
+
+def _opened(spark: SparkSession, path: str, version: commits.Version, centroids: np.ndarray, dim: int) -> IvfIndex:
+    added = commits.read_parts(spark, f"{path}/lists", version)
+    lists = added.groupBy("list_id").agg(F.sum("n_rows").alias("n_rows"), F.max("radius").alias("radius"))
     spread = lists.toArrow()
-    radii = np.zeros(centroids.num_rows)
+    radii = np.zeros(len(centroids))
     radii[spread["list_id"].to_numpy()] = spread["radius"].to_numpy()
-    return IvfIndex(
-        spark.read.parquet(f"{path}/rows"),
-        lists.select("list_id", "n_rows"),
-        blocks.matrix(centroids["centroid"], dim),
-        radii,
-        dim,
-    )
+    rows = commits.read_parts(spark, f"{path}/rows", version)
+    return IvfIndex(rows, lists.select("list_id", "n_rows"), centroids, radii, dim, version)
+
 
+def append_to_index(rows: DataFrame, path: str, append_id: str | None = None) -> IvfIndex:
+    """Add rows to an index without refitting it.
 
-def append_to_index(rows: DataFrame, path: str) -> IvfIndex:
-    """Add rows to an index without refitting it."""
+    Rows become visible all at once or not at all. An append with an ``append_id`` that was committed
+    before changes nothing, so a job that does not know whether it got through may
+    simply be repeated. Appends at the same time do not disturb each other.
+    """
     spark = rows.sparkSession
     index = open_index(spark, path)
-    _add(assign_lists(rows, index.centroids, index.dim), path)
-    return open_index(spark, path)
+    if append_id is not None and append_id in index.version.commit_ids:
+        return index
+    assigned = assign_lists(rows, index.centroids, index.dim)
+    have, want = ({(f.name, f.dataType.simpleString()) for f in schema} for schema in (index.rows.schema, assigned.schema))
+    if have != want:
+        raise ValueError("index rows do not match the schema of the existing index")
+    version = _add(assigned, path, append_id or commits.new_part("append"), index.version)
+    return _opened(spark, path, version, index.centroids, index.dim)
+
+
+def compact_index(spark: SparkSession, path: str, min_parts: int = 2) -> IvfIndex:
+    """The parts of many appends as one; nothing is computed anew.
+
+    Readers of an older version keep its files. If another compaction of the same parts
+    was first, this one has no effect; appends of the meantime stay.
+    """
+    index = open_index(spark, path)
+    if len(index.version.parts) < min_parts:
+        return index
+    version = _add(index.rows, path, commits.new_part("compact"), index.version, replaces=index.version.parts)
+    return _opened(spark, path, version, index.centroids, index.dim)
 
 
 def index_size(index: IvfIndex) -> DataFrame:
