@@ -1,14 +1,14 @@
 """Periodic runs of words, found in tiles whose size follows the period.
 
 Word i matches word i + q for 3 q places in a row where words repeat four times with period
-q. For the octave of periods P to 2 P - 1 a document has a boundary every 3 P words, so such a
-stretch of matches always holds one. A tile is the words around neighbouring boundaries; it is solved by
+q. For the octave of periods P to 2 P - 1 a document has a boundary every 3 P words (5, where that is
+less), so such a stretch of matches always holds one. A tile is the words around neighbouring boundaries; it is solved by
 itself: Z-functions of the words after and before a boundary give, for all periods of the octave at once, how far
 matches go on both sides, up to the next boundary. What goes further is a fragment
 that the neighbouring tile has too. Fragments are shuffled by document and period and
 stitched where they overlap.
 
-A boundary without a repeated n-gram at a distance of the octave cannot lie in a long
+A boundary without repeated n-grams at a distance of the octave cannot lie in a long
 stretch, so only the tiles of the others are cut out. Most documents have none; they
 pass without a shuffle.
 """
@@ -30,7 +30,7 @@ from docloom.llm import words as W
 from docloom.session import materialise
 
 MIN_WORDS, REPEATS = 6, 4
-#: Matches in a row on a boundary that the first look asks for.
+#: Matches in a row that the first look asks for at a place.
 GRAM = 16
 #: Words of a tile, unless one boundary's own are more.
 TILE_WORDS = 1 << 15
@@ -43,22 +43,34 @@ TILE = "octave long, offset long, boundary long, boundaries int, words binary"
 RUNS = "array<struct<start:long,length:long,period:long>>"
 
 
+def _spacing(octave: int) -> int:
+    """Words between boundaries: no more than the matches of the shortest run of the octave."""
+    return max((REPEATS - 1) * octave, MIN_WORDS - 1)
+
+
+def _needed(periods: np.ndarray) -> np.ndarray:
+    """Matches in a row that make a run."""
+    return np.maximum((REPEATS - 1) * periods, MIN_WORDS - periods)
+
+
 def _boundaries(words: W.Words, octave: int) -> tuple[np.ndarray, np.ndarray]:
-    """Boundaries (as positions in the batch) of all texts with room for four periods, and their texts."""
-    counts = words.counts
+    """Boundaries (as positions in the batch) of all texts with room for a run, and their texts."""
+    counts, spacing = words.counts, _spacing(octave)
     texts = np.flatnonzero((counts >= REPEATS * octave) & (counts >= MIN_WORDS))
-    many = -(-counts[texts] // (3 * octave))
+    many = -(-counts[texts] // spacing)
     text = np.repeat(texts, many)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    return words.first[text] + 3 * octave * nth, text
+    return words.first[text] + spacing * nth, text
 
 
 def _promising(hashes: np.ndarray, words: W.Words, octave: int, at: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Which boundaries have a match of ``gram`` words on one side at a distance of the octave.
+    """Which boundaries may lie in a run, for some period of the octave.
 
-    A stretch of 3 q matches around a boundary has half of them on one side.
+    Half of a run's matches, or more, are on one side of its boundary: that side is looked at where it begins
+    and where its half ends.
     """
-    gram = min(GRAM, 3 * octave // 2)
+    half = _spacing(octave) // 2
+    gram = min(GRAM, half)
     grams = W.window_hashes(hashes, gram)
     if not len(grams):
         return np.zeros(len(at), bool)
@@ -68,19 +80,32 @@ def _promising(hashes: np.ndarray, words: W.Words, octave: int, at: np.ndarray,
     many = max(1, _PAIRS // octave)
     for k in range(0, len(at), many):
         c, a, b = at[k : k + many, None], low[k : k + many, None], high[k : k + many, None]
-        after = (grams[np.minimum(c + steps, last)] == grams[np.minimum(c, last)]) & (c + steps + gram <= b)
-        before = (grams[np.clip(c - gram + steps, 0, last)] == grams[np.maximum(c - gram, 0)]) & (c - gram >= a) & (c + steps <= b)
+
+        def equal(place):
+            return grams[np.clip(place + steps, 0, last)] == grams[np.clip(place, 0, last)]  # noqa: B023
+
+        after = equal(c) & (c + steps + half <= b)
+        before = equal(c - gram) & (c - half >= a) & (c + steps <= b)
+        if half > gram:
+            after &= equal(c + half - gram)
+            before &= equal(c - half)
         out[k : k + many] = (after | before).any(axis=1)
     return out
 
 
 def _found(words: W.Words, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For every octave the boundaries worth a tile, and their texts."""
+    """For every octave the boundaries worth a tile, and their texts. Those of short periods
+    are stepped along at once, as chance often repeats a word or two."""
     octave, longest = 1, int(words.counts.max(initial=0))
     while REPEATS * octave <= longest:
         at, text = _boundaries(words, octave)
         kept = _promising(hashes, words, octave, at, text)
-        yield octave, at[kept], text[kept]
+        at, text = at[kept], text[kept]
+        if octave <= STEPPED and len(at):
+            after, before = _stepped(hashes, at, octave, words.first[text], words.first[text + 1])
+            kept = _telling(after, before, octave).any(axis=1)
+            at, text = at[kept], text[kept]
+        yield octave, at, text
         octave *= 2
 
 
@@ -88,15 +113,16 @@ def tiles(words: W.Words, hashes: np.ndarray) -> Iterator[tuple[int, dict]]:
     """Tiles of a batch, each with its text: the words around boundaries that follow each other."""
     for octave, at, text in _found(words, hashes):
         apart = np.ones(len(at), bool)
-        apart[1:] = (np.diff(at) != 3 * octave) | (np.diff(text) != 0)
+        spacing = _spacing(octave)
+        apart[1:] = (np.diff(at) != spacing) | (np.diff(text) != 0)
         edges = np.append(np.flatnonzero(apart), len(at))
-        most = max(1, TILE_WORDS // (3 * octave))
+        most = max(1, TILE_WORDS // spacing)
         for left, right in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             for one in range(left, right, most):
                 end = min(one + most, right)
                 row, first = int(text[one]), int(words.first[text[one]])
-                low = max(first, int(at[one]) - 3 * octave)
-                high = min(int(words.first[row + 1]), int(at[end - 1]) + 5 * octave)
+                low = max(first, int(at[one]) - spacing)
+                high = min(int(words.first[row + 1]), int(at[end - 1]) + spacing + 2 * octave)
                 names = np.unique(hashes[low:high], return_inverse=True)[1].astype(np.int32)
                 yield row, {"octave": octave, "offset": low - first, "boundary": int(at[one]) - low, "boundaries": end - one, "words": B.squeeze(names)}
 
@@ -138,16 +164,17 @@ def extensions(pattern: np.ndarray, text: np.ndarray, count: int) -> np.ndarray:
     return np.array(found + [0] * (count - len(found)), np.int64)
 
 
-def _stepped(words: np.ndarray, at: np.ndarray, octave: int) -> tuple[np.ndarray, np.ndarray]:
-    """Matches after and before every boundary for every period, one step at a time."""
+def _stepped(words: np.ndarray, at: np.ndarray, octave: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matches after and before every boundary for every period, up to the next boundary, one
+    step at a time; words from ``low`` to ``high`` count."""
     c, q = at[:, None], np.arange(octave, 2 * octave)[None, :]
-    size, found = len(words), []
+    last, found = len(words) - 1, []
     for sign in (1, -1):
         length, going = np.zeros((len(at), octave), np.int64), np.ones((len(at), octave), bool)
-        for step in range(3 * octave):
+        for step in range(_spacing(octave)):
             place = c + step if sign > 0 else c - 1 - step
-            going &= (place >= 0) & (place + q < size)
-            going &= words[np.clip(place, 0, size - 1)] == words[np.clip(place + q, 0, size - 1)]
+            going &= (place >= low[:, None]) & (place + q < high[:, None])
+            going &= words[np.clip(place, 0, last)] == words[np.clip(place + q, 0, last)]
             if not going.any():
                 break
             length += going
@@ -157,8 +184,8 @@ def _stepped(words: np.ndarray, at: np.ndarray, octave: int) -> tuple[np.ndarray
 
 def _by_z(words: np.ndarray, c: int, octave: int) -> tuple[np.ndarray, np.ndarray]:
     """The same for one boundary by Z-functions."""
-    far, near = 3 * octave, 2 * octave
-    after = extensions(words[c : c + far], words[c + octave : c + octave + far + octave], octave)
+    far, near = _spacing(octave), 2 * octave
+    after = extensions(words[c : c + far], words[c + octave : c + near + far], octave)
     back = words[max(0, c - far) : c][::-1]
     # the largest period comes first in the reversed words, and may be beyond the text's end
     missing = max(0, c + near - 1 - len(words))
@@ -167,19 +194,23 @@ def _by_z(words: np.ndarray, c: int, octave: int) -> tuple[np.ndarray, np.ndarra
     return after, before
 
 
+def _telling(after: np.ndarray, before: np.ndarray, octave: int) -> np.ndarray:
+    """Matches that make a run, or go on beyond the next boundary."""
+    far = _spacing(octave)
+    return (after + before >= _needed(np.arange(octave, 2 * octave))) | (after >= far) | (before >= far)
+
+
 def fragments(words: np.ndarray, octave: int, boundary: int, boundaries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of matches that are long enough or go on in the next tile: period, first
     match and the end of the matches, overlapping ones joined."""
-    at = boundary + 3 * octave * np.arange(boundaries)
+    at = boundary + _spacing(octave) * np.arange(boundaries)
     if octave <= STEPPED:
-        after, before = _stepped(words, at, octave)
+        after, before = _stepped(words, at, octave, np.zeros(len(at), int), np.full(len(at), len(words)))
     else:
         both = [_by_z(words, int(c), octave) for c in at]
         after, before = np.array([b[0] for b in both]), np.array([b[1] for b in both])
-    periods = np.broadcast_to(np.arange(octave, 2 * octave), after.shape)
-    far = 3 * octave
-    row, column = np.nonzero((after + before >= 3 * periods) | (after >= far) | (before >= far))
-    q, low, high = periods[row, column], at[row] - before[row, column], at[row] + after[row, column]
+    row, column = np.nonzero(_telling(after, before, octave))
+    q, low, high = octave + column, at[row] - before[row, column], at[row] + after[row, column]
     return joined(q, low, high)
 
 
@@ -289,12 +320,14 @@ def collapse_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     run_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "period")]))
     tiled = T.StructType([*plain.fields, own["n_words"], T.StructField("run_key", T.BinaryType()), T.StructField("tiles", T.ArrayType(T.StructType.fromDDL(TILE)))])
     marked = materialise(given.mapInArrow(cut_out, tiled), "tiles")
-    spread = marked.select("run_key", F.explode("tiles").alias("tile")).repartition("run_key", "tile.octave", "tile.offset")
+    # a tile is little data and much work, so their number of parts is not left to their size
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = marked.select("run_key", F.explode("tiles").alias("tile")).repartition(parts, "run_key", "tile.octave", "tile.offset")
     runs = materialise(_stitched(spread.mapInArrow(_solve, "run_key binary, period long, low long, high long")), "runs")
     # copies of one text may be a third of all rows: they meet their runs in several parts
-    parts = runs.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    salted = runs.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
     left = marked.drop("tiles").withColumn("salt", F.spark_partition_id() % SALTS)
-    with_runs = left.join(parts, ["run_key", "salt"], "left").select(*plain.fieldNames(), "n_words", F.coalesce("runs", F.array().cast(RUNS)).alias("runs"))
+    with_runs = left.join(salted.hint("merge"), ["run_key", "salt"], "left").select(*plain.fieldNames(), "n_words", F.coalesce("runs", F.array().cast(RUNS)).alias("runs"))
     out_schema = T.StructType([*plain.fields, own["n_words"], own["runs"]])
     both = given.mapInArrow(without, out_schema).unionByName(with_runs.mapInArrow(collapse, out_schema))
     back = {c: f"c{k}" for k, c in enumerate(docs.columns)}
