@@ -9,11 +9,13 @@ from pyspark.sql import types as T
 from docloom import fixed_values as fv
 from docloom.catalog import query
 from docloom.catalog.models import extracted_sql
-from docloom.catalog.tables import LAST_SQL
+from docloom.catalog.tables import LAST_SQL, STATUS_SENTENCE_SQL
+from docloom.operators import reports
 from docloom.operators.models import PLAIN_EXTRACTORS
 from docloom.session import materialise, read_table, work_path
 from docloom.sources import events
-from docloom.streaming import jobs
+from docloom.streaming import history, jobs
+from docloom.streaming import registry as kept
 
 
 def _finish(job) -> None:
@@ -111,8 +113,18 @@ def stream_registry(spark: SparkSession, directory: str) -> DataFrame:
     uploads = _in_batches(spark, directory, "events", order="event_id").select(
         F.concat(F.lit("file-"), F.col("user_id").cast("string")).alias("filename"), "event_id"
     )
-    _finish(jobs.start_registry(uploads, ["event_id"], f"{path}/rows", f"{path}/state"))
-    return spark.read.parquet(f"{path}/rows").select("filename", "event_id", "bucket", "status")
+    _finish(kept.start_registry(uploads, ["event_id"], f"{path}/table", f"{path}/state"))
+    kept.compact_registry(spark, f"{path}/table")
+    return kept.read_registry(spark, f"{path}/table").select("filename", "event_id", "bucket", "status")
+
+
+@query(STATUS_SENTENCE_SQL)
+def stream_status_summary(spark: SparkSession, directory: str) -> DataFrame:
+    """The sentence of all statuses from counters that a stream keeps."""
+    path = work_path(spark, "counters")
+    changes = _in_batches(spark, directory, "events").select("event_type")
+    _finish(kept.start_counters(changes, "event_type", f"{path}/table", f"{path}/state"))
+    return reports.sentence_of_counts(kept.read_counters(spark, f"{path}/table"))
 
 
 @query(LAST_SQL.format(n=4))
@@ -121,8 +133,8 @@ def stream_history(spark: SparkSession, directory: str) -> DataFrame:
     messages = _in_batches(spark, directory, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content")
     )
-    _finish(jobs.start_history(messages, f"{path}/rows", f"{path}/state", 4))
-    return jobs.current_history(spark.read.parquet(f"{path}/rows"), 4)
+    _finish(history.start_sessions(messages, f"{path}/state", 4))
+    return history.histories(spark, f"{path}/state")
 
 
 LOG_RECORD = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.StringType())])

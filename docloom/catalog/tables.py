@@ -12,7 +12,7 @@ from docloom.catalog.text import WS_LIST, documents
 from docloom.functions.files import short_id
 from docloom.operators import answers, registry, reports, sessions
 from docloom.operators.models import PLAIN_EXTRACTORS
-from docloom.plans import ingest
+from docloom.plans import answer_cache, ingest
 from docloom.session import materialise, read_table, work_path
 from docloom.sources import corpus, events, snapshots
 
@@ -81,11 +81,29 @@ def put_latest(spark: SparkSession, directory: str) -> DataFrame:
 def snapshot_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
     path = work_path(spark, "snapshot")
     snapshots.write_snapshot({"embeddings": read_table(spark, directory, "embeddings")}, path)
-    restored = snapshots.restore_snapshot(spark, path, "embeddings", work_path(spark, "restored"))
+    target = work_path(spark, "restored")
+    snapshots.restore_snapshot(spark, path, "embeddings", target)
+    restored = snapshots.open_restored(spark, target)
     slots = restored.select("vec_id", "label", F.posexplode("embedding").alias("slot", "x"))
     return slots.withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
+@query(
+    """SELECT event_id, ts::VARCHAR AS ts, user_id, event_type, value, props, version FROM events, (VALUES (1), (2)) v(version)
+    WHERE version = 2 OR event_id % 4 < 3"""
+)
+def snapshot_changes(spark: SparkSession, directory: str) -> DataFrame:
+    """A table that grows between two snapshots; both are restored, one after the other."""
+    path, target = work_path(spark, "saved"), work_path(spark, "restored")
+    table = read_table(spark, directory, "events")
+    table.where("event_id % 4 < 3").write.parquet(f"{path}/live")
+    snapshots.save_changed(spark, f"{path}/live", f"{path}/store", "first")
+    table.where("event_id % 4 = 3").write.mode("append").parquet(f"{path}/live")
+    snapshots.save_changed(spark, f"{path}/live", f"{path}/store", "second")
+    found = [snapshots.restore_saved(spark, f"{path}/store", name, target).withColumn("version", F.lit(k)) for k, name in ((1, "first"), (2, "second"))]
+    return found[0].unionByName(found[1]).withColumn("ts", F.col("ts").cast("string"))
+
+
 # -------------------------------------------------------------------- registry
 @query(
     """SELECT url AS filename, min(page_id) AS page_id FROM pages
@@ -348,3 +366,21 @@ def dedup_questions(spark: SparkSession, directory: str) -> DataFrame:
         F.concat(F.lit("answer "), F.col("qid").cast("string")).alias("answer"),
     )
     return answers.share_answers(questions, materialise(answered, "answered")).select("qid", "first_qid", "n_asked", "answer")
+
+
+@query(
+    f"""WITH q AS (SELECT doc_id AS qid, trim(lower(text), {WS_LIST}) AS k FROM documents),
+    d AS (SELECT k, min(qid) FILTER (qid % 3 < 2) AS early, min(qid) AS first_qid FROM q GROUP BY k)
+    SELECT qid, CASE WHEN early IS NOT NULL THEN 'first' ELSE 'second' END AS author,
+    CASE WHEN early IS NOT NULL THEN 'first answer ' || early ELSE 'second answer ' || first_qid END AS answer FROM q JOIN d USING (k)"""
+)
+def kept_answers(spark: SparkSession, directory: str) -> DataFrame:
+    """Two thirds of the questions are asked first; when all are, the model is only called for new ones."""
+    questions = documents(spark, directory).select(F.col("doc_id").alias("qid"), F.col("text").alias("question"))
+    path = work_path(spark, "answers")
+
+    def model(name: str):
+        return lambda new: new.select("qid", F.concat(F.lit(f"{name} answer "), F.col("qid").cast("string")).alias("answer"))
+
+    answer_cache.answer_once(questions.where("qid % 3 < 2"), path, model("first"), run_id="first")
+    return answer_cache.answer_once(questions, path, model("second"), run_id="second").select("qid", "author", "answer")

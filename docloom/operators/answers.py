@@ -44,7 +44,7 @@ def build_context(hits: DataFrame, *, with_score: bool = True) -> DataFrame:
 def retrieve_only(questions: DataFrame, context: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """One reply per question, found or not: ``qid, answer, n_sources, sources, used_context``.
 
-    ``failed`` (``qid, error``) lists questions whose retrieval broke.
+    ``failed`` (``qid, error``) lists questions whose retrieval broke; with it replies have ``retrieval_error``.
     """
     joined = questions.select("qid").join(context.select("qid", "context", "n_sources", "sources"), "qid", "left")
     found = F.length("context") > 0
@@ -57,6 +57,7 @@ def retrieve_only(questions: DataFrame, context: DataFrame, failed: DataFrame |
     return joined.select(
         "qid",
         answer.alias("answer"),
+        *([F.col("error").alias("retrieval_error")] if failed is not None else []),
         F.when(found, F.col("n_sources")).otherwise(0).cast("bigint").alias("n_sources"),
         F.when(found, F.col("sources")).otherwise(F.array().cast(context.schema["sources"].dataType)).alias("sources"),
         F.when(found, used_context(F.col("context"))).otherwise("").alias("used_context"),
@@ -152,8 +153,11 @@ def route_and_answer(
 
     ``count_answer`` and ``status_answer`` are one-row aggregates (``answer``), which
     is what lets them be attached as scalar subqueries. ``retrieved`` is
-    ``qid, answer``; a blank answer and a missing row get their fixed messages.
+    ``qid, answer`` and optionally ``retrieval_error``, as replies to requests are; a failed
+    retrieval, a missing row and a blank answer get their fixed messages.
     """
+    if "retrieval_error" in retrieved.columns:
+        retrieved = retrieved.withColumn("answer", F.when(F.col("retrieval_error").isNull(), F.col("answer")))
     routed = questions.withColumn("intent", intent(F.col("question"), count_keywords, status_keywords))
     statistics = {"count": count_answer, "status": status_answer}
     parts = [

@@ -6,7 +6,11 @@ them once per task, and runs them over batches; one bad row never fails its neig
 
 from __future__ import annotations
 
+import collections
 import hashlib
+import queue
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -111,23 +115,61 @@ def embed(
     vector: str = "vector",
     dim: int,
     batch_size: int = fv.EMBED_BATCH,
+    error: str | None = None,
 ) -> DataFrame:
-    """Add a ``vector`` column; the model is made once per task and fed in batches."""
+    """Add a ``vector`` column; the model is made once per task and fed in batches.
 
-    @F.arrow_udf("array<float>")
+    With ``error``, a column of that name tells why a text got no vector (NULL, if it got one). A
+    batch that fails is halved until the bad text is alone, so its neighbours keep their
+    vectors; a model that cannot be made fails every text. Without ``error`` the first failure ends the job.
+    """
+    kind = "array<float>" if error is None else "vector array<float>, error string"
+
+    def checked(model: Callable[[list[str]], np.ndarray], texts: list[str]) -> np.ndarray:
+        part = np.asarray(model(texts), dtype=np.float32)
+        if part.shape != (len(texts), dim):
+            raise ValueError(f"the model must return vectors of dimension {dim}")
+        return part
+
+    def halved(model: Callable[[list[str]], np.ndarray], texts: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
+        try:
+            return [(row, None) for row in checked(model, texts)]
+        except Exception as problem:  # noqa: BLE001 - every failure belongs to a row
+            if len(texts) == 1:
+                return [(None, str(problem) or type(problem).__name__)]
+            middle = len(texts) // 2
+            return halved(model, texts[:middle]) + halved(model, texts[middle:])
+
+    def unmade(problem: Exception) -> Callable[[list[str]], np.ndarray]:
+        def fail(texts: list[str]) -> np.ndarray:
+            raise problem
+
+        return fail
+
+    @F.arrow_udf(kind)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = model_factory()
+        try:
+            model = model_factory()
+        except Exception as problem:  # noqa: BLE001
+            if error is None:
+                raise
+            model = unmade(problem)
         for batch in batches:
             texts = batch.fill_null("").to_pylist()
-            parts = [np.empty((0, dim), np.float32)]
-            for start in range(0, len(texts), batch_size):
-                part = np.asarray(model(texts[start : start + batch_size]), dtype=np.float32)
-                if part.ndim != 2 or part.shape[1] != dim:
-                    raise ValueError(f"the model must return vectors of dimension {dim}")
-                parts.append(part)
-            yield blocks.list_array(np.concatenate(parts), np.float32)
-
-    return table.withColumn(vector, once(encode)(text))
+            starts = range(0, len(texts), batch_size)
+            if error is None:
+                parts = [np.empty((0, dim), np.float32), *(checked(model, texts[k : k + batch_size]) for k in starts)]
+                yield blocks.list_array(np.concatenate(parts), np.float32)
+                continue
+            done = [row for k in starts for row in halved(model, texts[k : k + batch_size])]
+            vectors = pa.array([v for v, _ in done], pa.list_(pa.float32()))
+            yield pa.StructArray.from_arrays([vectors, pa.array([e for _, e in done], pa.string())], names=["vector", "error"])
+
+    if error is None:
+        return table.withColumn(vector, once(encode)(text))
+    kept = [c for c in table.columns if c not in (vector, error)]
+    both = table.select(*kept, once(encode)(text).alias("_embedded"))
+    return both.select(*kept, F.col("_embedded.vector").alias(vector), F.col("_embedded.error").alias(error))
 
 
 def hashed_tokens(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
@@ -156,30 +198,86 @@ def hashed_tokens(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarra
 
 
 # ------------------------------------------------------------------ generation
+class _Calls:
+    """At most ``limit`` calls at a time, each with its own time limit.
+
+    A call that is late is given up: its place is free at once, and what it may return
+    later is not looked at. Calls wait for a free place, so a slow model holds back its
+    task instead of piling up work.
+    """
+
+    def __init__(self, limit: int, seconds: float):
+        self.limit, self.seconds = limit, seconds
+
+    def run(self, calls: list[Callable[[], str]]) -> list[str | Exception]:
+        results: list[str | Exception] = [TimeoutError()] * len(calls)
+        done: queue.SimpleQueue = queue.SimpleQueue()
+        due: dict[int, float] = {}
+        waiting = collections.deque(range(len(calls)))
+
+        def work(number: int) -> None:
+            try:
+                done.put((number, calls[number]()))
+            except Exception as error:  # noqa: BLE001
+                done.put((number, error))
+
+        while waiting or due:
+            while waiting and len(due) < self.limit:
+                number = waiting.popleft()
+                due[number] = time.monotonic() + self.seconds
+                threading.Thread(target=work, args=(number,), daemon=True).start()
+            try:
+                number, result = done.get(timeout=max(0.0, min(due.values()) - time.monotonic()))
+                if due.pop(number, None) is not None:
+                    results[number] = result
+            except queue.Empty:
+                for number in [n for n, at in due.items() if at <= time.monotonic()]:
+                    del due[number]
+                    results[number] = TimeoutError(f"no answer within {self.seconds:g} s")
+        return results
+
+
 def generate(
     prompts: DataFrame,
     models: Generators,
     *,
     key_required: tuple[str, ...] = ("google",),
     batch_size: int = fv.EMBED_BATCH,
+    seconds: float | None = None,
+    in_flight: int = 8,
 ) -> DataFrame:
     """Add ``answer`` to rows with ``prompt``, ``provider`` and ``has_key``.
 
     A model takes a list of prompts. If it fails on a batch, each prompt of it is tried
     alone, so that failures and missing keys become answers one row at a time.
+
+    With ``seconds``, every call is one prompt and may take so long; a task has ``in_flight`` calls under
+    way, and models have to stand that. A late call gives the fixed error text and delays
+    nothing beyond its limit.
     """
     schema = T.StructType([*prompts.schema.fields, T.StructField("answer", T.StringType())])
 
+    def called(made: dict[str, Generator], provider: str, texts: list[str]) -> list[str]:
+        found = list(made[provider](texts))
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} answers for {len(texts)} prompts")
+        return [fv.NO_MODEL_ANSWER if answer is None else answer for answer in found]
+
+    def failed(provider: str, error: Exception) -> str:
+        return fv.GENERATION_FAILED.format(provider=provider, error=error)
+
     def ask(made: dict[str, Generator], provider: str, texts: list[str]) -> list[str]:
         try:
-            found = list(made[provider](texts))
-            if len(found) != len(texts):
-                raise ValueError(f"{len(found)} answers for {len(texts)} prompts")
-            return [fv.NO_MODEL_ANSWER if answer is None else answer for answer in found]
+            return called(made, provider, texts)
         except Exception as error:  # noqa: BLE001 - every failure becomes an answer
             if len(texts) > 1:
                 return [answer for text in texts for answer in ask(made, provider, [text])]
-            return [fv.GENERATION_FAILED.format(provider=provider, error=error)]
+            return [failed(provider, error)]
+
+    def ask_in_time(made: dict[str, Generator], jobs: list[tuple[str, str]]) -> list[str]:
+        calls = [lambda p=provider, t=text: called(made, p, [t])[0] for provider, text in jobs]
+        found = _Calls(in_flight, seconds).run(calls)
+        return [failed(p, x) if isinstance(x, Exception) else x for (p, _), x in zip(jobs, found, strict=True)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = _made(models)
@@ -192,6 +290,11 @@ def generate(
                 else:
                     waiting.setdefault(provider, []).append(row)
             texts = batch["prompt"].tolist()
+            if seconds is not None:
+                jobs = [(provider, row) for provider, places in waiting.items() for row in places]
+                for (_, row), answer in zip(jobs, ask_in_time(made, [(p, texts[row]) for p, row in jobs]), strict=True):
+                    answers[row] = answer
+                waiting = {}
             for provider, places in waiting.items():
                 for start in range(0, len(places), batch_size):
                     part = places[start : start + batch_size]

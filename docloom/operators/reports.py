@@ -25,8 +25,13 @@ def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
 def status_sentence(rows: DataFrame, status: str = "status") -> DataFrame:
     """One sentence with all counts, statuses in order; it is as long as there are
     distinct statuses."""
+    return sentence_of_counts(status_counts(rows, status))
+
+
+def sentence_of_counts(counts: DataFrame) -> DataFrame:
+    """The same from ``status, n``, such as counters that a stream keeps."""
     part = F.concat(F.coalesce("status", F.lit("None")), F.lit(": "), F.format_number("n", 0))
-    listed = status_counts(rows, status).agg(F.array_sort(F.collect_list(F.struct("status", part.alias("part")))).alias("rows"))
+    listed = counts.agg(F.array_sort(F.collect_list(F.struct("status", part.alias("part")))).alias("rows"))
     return listed.select(F.concat(F.lit(fv.STATUS_SENTENCE), F.array_join(F.col("rows.part"), ", ")).alias("answer"))
 
 

@@ -80,20 +80,25 @@ def read_version(spark: SparkSession, path: str) -> Version:
     return Version(max((r.number for r in records), default=-1), tuple(parts), frozenset(seen), facts)
 
 
-def commit(
+def record(
     spark: SparkSession,
     path: str,
     commit_id: str,
+    number: int,
     part: str,
     *,
-    after: Version,
     replaces: tuple[str, ...] = (),
     facts: dict[str, str] | None = None,
-) -> Version:
+) -> None:
     """Make ``part`` visible. The record is one file of one row in a folder of its own, as jobs
     that write to one folder at a time remove each other's unfinished files."""
-    record = spark.createDataFrame([(commit_id, after.number + 1, part, list(replaces), facts or {})], RECORD)
-    record.coalesce(1).write.mode("error").parquet(f"{path}/commit={part}")
+    row = spark.createDataFrame([(commit_id, number, part, list(replaces), facts or {})], RECORD)
+    row.coalesce(1).write.mode("error").parquet(f"{path}/commit={part}")
+
+
+def commit(spark: SparkSession, path: str, commit_id: str, part: str, *, after: Version, **more: object) -> Version:
+    """Make ``part`` visible after the version that was read, and read the new one."""
+    record(spark, path, commit_id, after.number + 1, part, **more)
     return read_version(spark, path)
 
 
@@ -103,3 +108,26 @@ def read_parts(spark: SparkSession, path: str, version: Version) -> DataFrame |
         return None
     found = read_or_none(spark, *[f"{path}/part={p}" for p in version.parts], base=path)
     return None if found is None else found.drop("part")
+
+
+def add_rows(rows: DataFrame, path: str, commit_id: str, number: int) -> None:
+    """Write rows as a part below ``path/rows`` and commit it below ``path/commits``, without reading the
+    log. A repeated call under the same id adds nothing that is visible."""
+    part = new_part(commit_id)
+    rows.write.mode("error").parquet(f"{path}/rows/part={part}")
+    record(rows.sparkSession, f"{path}/commits", commit_id, number, part)
+
+
+def read_rows(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame | None:
+    """All visible rows of a table written by ``add_rows``."""
+    return read_parts(spark, f"{path}/rows", version or read_version(spark, f"{path}/commits"))
+
+
+def compact_rows(spark: SparkSession, path: str, min_parts: int = 2) -> Version:
+    """The parts of a table written by ``add_rows`` as one, while others add to it."""
+    version = read_version(spark, f"{path}/commits")
+    if len(version.parts) < min_parts:
+        return version
+    part = new_part("compact")
+    read_rows(spark, path, version).write.mode("error").parquet(f"{path}/rows/part={part}")
+    return commit(spark, f"{path}/commits", part, part, after=version, replaces=version.parts)

@@ -1,4 +1,4 @@
-"""Extraction, registry, chat history and log streams."""
+"""Extraction, chat history and log streams."""
 
 from __future__ import annotations
 
@@ -6,20 +6,17 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom import fixed_values as fv
 from docloom.functions.chat import is_chat_role
 from docloom.functions.files import extractor_route
 from docloom.operators.models import Extractors, Fetch, extract_text
-from docloom.operators.registry import first_per_key, registry_rows, with_defaults
+from docloom.operators.registry import with_defaults
 from docloom.operators.reports import log_index
 from docloom.operators.sessions import last_messages
-from docloom.session import materialise
 from docloom.sources.events import parse
 
 
@@ -95,57 +92,6 @@ def start_routing(
     )
 
 
-# -------------------------------------------------------------------- registry
-REGISTRY_BUCKETS = 256
-
-
-def insert_batch(batch: DataFrame, batch_id: int, order: list[str], path: str, buckets: int = REGISTRY_BUCKETS) -> None:
-    """Append the unknown files of one micro-batch to the registry at ``path``.
-
-    The registry is laid out by a hash of the file name, and a batch reads the file
-    names of its own buckets only. A replayed batch compares itself with earlier batches
-    and overwrites its own folders, so replays change nothing.
-    """
-    spark = batch.sparkSession
-    bucket = F.pmod(F.xxhash64("filename"), F.lit(buckets)).cast("int")
-    offered = materialise(first_per_key(batch, "filename", order).withColumn("bucket_id", bucket), "offered")
-    touched = [row[0] for row in offered.select("bucket_id").distinct().collect()]
-    known = _known_files(spark, path, batch_id, touched).join(offered.select("filename"), "filename", "left_semi")
-    new_rows = registry_rows(offered.join(known, "filename", "left_anti")).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    writer = new_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("bucket_id", "batch_id").parquet(path)
-
-
-def start_registry(
-    uploads: DataFrame, order: list[str], path: str, checkpoint: str, *, available_now: bool = True
-) -> StreamingQuery:
-    """Insert unknown files into the registry, one folder per bucket and micro-batch."""
-    writer = uploads.writeStream.foreachBatch(partial(insert_batch, order=order, path=path)).option(
-        "checkpointLocation", checkpoint
-    )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def _known_files(spark: SparkSession, path: str, before_batch: int, buckets: list[int]) -> DataFrame:
-    schema = T.StructType([T.StructField("filename", T.StringType()), T.StructField("bucket_id", T.IntegerType()), T.StructField("batch_id", T.LongType())])
-    stored = spark.createDataFrame([], schema)
-    if buckets:
-        folders = path.rstrip("/") + "/bucket_id={" + ",".join(map(str, sorted(buckets))) + "}"
-        try:
-            stored = spark.read.schema(schema).option("basePath", path).parquet(folders)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-    return stored.where(F.col("batch_id") < before_batch).select("filename")
-
-
-def compact_registry(spark: SparkSession, path: str, target: str, up_to_batch: int) -> None:
-    """The registry up to a batch as one file per bucket at ``target``, for a stream that is
-    stopped to go on from there; later batches are added to it."""
-    kept = spark.read.parquet(path).where(F.col("batch_id") <= up_to_batch).withColumn("batch_id", F.lit(up_to_batch).cast("bigint"))
-    kept.repartition("bucket_id").write.partitionBy("bucket_id", "batch_id").parquet(target)
-
-
 # --------------------------------------------------------------------- history
 def _trim_batches(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     for batch in batches:

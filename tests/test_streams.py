@@ -69,24 +69,6 @@ def test_busy_session_is_cut_before_the_shuffle(spark, folder):
     assert spark.read.parquet(f"{folder}/compact").count() == got.count()
 
 
-def test_registry_over_batches(spark, folder):
-    uploads = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("a", 4), ("c", 5), ("b", 6)], "filename string, seq int")
-    parts = [uploads.where("seq <= 3"), uploads.where("seq > 3")]
-    for part in parts:
-        write(part, folder)
-        jobs.start_registry(read(spark, uploads, folder), ["seq"], f"{folder}/reg", f"{folder}/state").awaitTermination()
-    rows = spark.read.parquet(f"{folder}/reg")
-    assert sorted((r.filename, r.seq, r.batch_id) for r in rows.collect()) == [("a", 1, 0), ("b", 2, 0), ("c", 5, 1)]
-    # A batch that is replayed after a failure must not change the registry.
-    jobs.insert_batch(parts[1], 1, ["seq"], f"{folder}/reg")
-    again = spark.read.parquet(f"{folder}/reg")
-    assert sorted((r.filename, r.seq, r.batch_id) for r in again.collect()) == [("a", 1, 0), ("b", 2, 0), ("c", 5, 1)]
-    jobs.compact_registry(spark, f"{folder}/reg", f"{folder}/small", 1)
-    jobs.insert_batch(uploads.union(spark.createDataFrame([("d", 9)], uploads.schema)), 2, ["seq"], f"{folder}/small")
-    small = spark.read.parquet(f"{folder}/small")
-    assert sorted((r.filename, r.seq, r.batch_id) for r in small.collect()) == [("a", 1, 1), ("b", 2, 1), ("c", 5, 1), ("d", 9, 2)]
-
-
 def test_routes_and_daily_logs(spark, folder):
     files = spark.createDataFrame([("a.png",), ("b.txt",), ("c.PDF",)], "filename string")
     envelopes = events.publish(files, "filename", ["filename"]).withColumn("content", F.encode("key", "UTF-8"))

@@ -308,12 +308,13 @@ def test_snapshot(spark, tmp_path):
     table = spark.range(50).select("id", F.array(F.col("id").cast("float")).alias("v")).repartition(3)
     path, target = str(tmp_path / "s"), str(tmp_path / "t")
     snapshots.write_snapshot({"a": table}, path)
-    spark.range(5).write.parquet(target)
+    snapshots.write_snapshot({"a": spark.range(5).select("id", F.array(F.col("id").cast("float")).alias("v"))}, f"{path}-old")
+    assert snapshots.restore_snapshot(spark, f"{path}-old", "a", target).count() == 5
     assert snapshots.restore_snapshot(spark, path, "a", target).count() == 50
     table.limit(2).write.mode("append").parquet(f"{path}/a/data")
     with pytest.raises(ValueError, match="manifest"):
         snapshots.restore_snapshot(spark, path, "a", target)
-    assert spark.read.parquet(target).count() == 50
+    assert snapshots.open_restored(spark, target).count() == 50
 
 
 def test_fingerprint_ignores_order_and_sees_copies(spark):
