@@ -133,6 +133,17 @@ def stream_history(spark: SparkSession, directory: str) -> DataFrame:
     messages = _in_batches(spark, directory, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content")
     )
+    _finish(jobs.start_history(messages, f"{path}/rows", f"{path}/state", 4))
+    return jobs.current_history(spark.read.parquet(f"{path}/rows"), 4)
+
+
+@query(LAST_SQL.format(n=4))
+def stream_sessions(spark: SparkSession, directory: str) -> DataFrame:
+    """The same as keyed state, read from the state."""
+    path = work_path(spark, "sessions")
+    messages = _in_batches(spark, directory, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content")
+    )
     _finish(history.start_sessions(messages, f"{path}/state", 4))
     return history.histories(spark, f"{path}/state")
 

@@ -92,8 +92,16 @@ def record(
 ) -> None:
     """Make ``part`` visible. The record is one file of one row in a folder of its own, as jobs
     that write to one folder at a time remove each other's unfinished files."""
-    row = spark.createDataFrame([(commit_id, number, part, list(replaces), facts or {})], RECORD)
-    row.coalesce(1).write.mode("error").parquet(f"{path}/commit={part}")
+    known = [F.lit(x) for pair in (facts or {}).items() for x in pair]
+    values = {
+        "commit_id": F.lit(commit_id),
+        "number": F.lit(number),
+        "part": F.lit(part),
+        "replaces": F.array(*[F.lit(p) for p in replaces]),
+        "facts": F.create_map(*known),
+    }
+    row = spark.range(1).coalesce(1).select(*[values[f.name].cast(f.dataType).alias(f.name) for f in RECORD])
+    row.write.mode("error").parquet(f"{path}/commit={part}")
 
 
 def commit(spark: SparkSession, path: str, commit_id: str, part: str, *, after: Version, **more: object) -> Version:
