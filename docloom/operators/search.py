@@ -5,7 +5,7 @@ Questions carry ``qid`` and ``vector``; rows carry ``id`` and ``vector``; hits a
 index also tell the ``list_id`` of every hit, which later narrows the read of its text.
 
 Searches write the questions first, so that a model behind their vectors runs once, and
-count them; the search itself runs when its result is used, unless the questions have to
+fetch them; the search itself runs when its result is used, unless the questions have to
 be taken in several turns.
 """
 
@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,13 +91,23 @@ def nearest(
     questions probe an index (``nearest_by_lists``) instead.
     """
     asked = materialise(questions.select("qid", "vector"), "questions")
-    return _in_turns(asked, rows.select("id", "vector"), k, dim, exclude_same_id, _hit_schema(questions, rows), max_broadcast_questions)
+    rows, schema = rows.select("id", "vector"), _hit_schema(questions, rows)
+    fetched = _fetch(asked, _most(max_broadcast_questions, dim))
+    if fetched is not None:
+        return _scan(fetched, rows, k, dim, exclude_same_id, schema)
+    return _in_turns(asked, rows, k, dim, exclude_same_id, schema, max_broadcast_questions)
 
 
 def _most(limit: int, dim: int) -> int:
     return max(1, min(limit, MAX_BROADCAST_FLOATS // dim))
 
 
+def _fetch(asked: DataFrame, most: int) -> pa.Table | None:
+    """The (written) questions, if there are no more than ``most``: counted and read in one job."""
+    found = asked.limit(most + 1).toArrow()
+    return found if found.num_rows <= most else None
+
+
 def _in_turns(
     asked: DataFrame,
     rows: DataFrame,
@@ -372,11 +383,23 @@ def nearest_within(
     the top-k, as a filter at the scan or an equi-join on the key, so other documents
     are never compared.
     """
+    schema = _hit_schema(questions, rows)
     questions = materialise(questions.select("qid", "vector", key), "questions")
+    fetched = _fetch(questions, _most(max_broadcast_questions, dim))
+    if fetched is not None:
+        free = pa.compute.is_null(fetched[key])
+        bound = fetched.filter(pa.compute.invert(free))
+        lists = pa.array([[value] for value in bound[key].to_pylist()], pa.list_(fetched.schema.field(key).type))
+        bound = pa.table({"qid": bound["qid"], "vector": bound["vector"], "lists": lists})
+        keyed = rows.where(F.col(key).isNotNull()).select("id", "vector", F.col(key).alias("list_id"))
+        within = _scan(bound, keyed, k, dim, exclude_same_id, schema, "list_id")
+        if not pa.compute.any(free).as_py():
+            return within
+        return within.unionByName(_scan(fetched.filter(free), rows.select("id", "vector"), k, dim, exclude_same_id, schema))
     limited = questions.where(F.col(key).isNotNull()).select("qid", "vector", F.array(key).alias("lists"))
     keyed = rows.where(F.col(key).isNotNull()).select("id", "vector", F.col(key).alias("list_id"))
     if limited.count() <= _most(max_broadcast_questions, dim):
-        within = _scan(limited.toArrow(), keyed, k, dim, exclude_same_id, _hit_schema(questions, rows), "list_id")
+        within = _scan(limited.toArrow(), keyed, k, dim, exclude_same_id, schema, "list_id")
     else:
         sizes = keyed.groupBy("list_id").agg(F.count("*").alias("n_rows"))
         hits = _search_blocks(_one_row_per_list(limited), keyed, sizes, k, dim, exclude_same_id)
