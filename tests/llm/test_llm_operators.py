@@ -302,6 +302,65 @@ def test_wrappers_with_noise_words_keep_their_text(name):
         assert [b.text for b in blocks] == [*(want[:5], want[6:]), "By us"]
 
 
+LONG = "some long words " * 30
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><form id=f><div><article><p>{LONG}</p></article><p><input name=q><button>Go</button></p></div></form></body>", LONG),
+        (f"<body><form><p>{LONG}</p></form></body>", LONG),
+        (f"<body><article><p>{LONG}</p></article><form><p>{LONG} {LONG}</p></form></body>", LONG),
+        (f"<body><a name=top><div><article><p>{LONG}</p><p><a id=x>More</p></article></div></body>", f"{LONG} More"),
+        (f"<body><div><p><a href=/x>All {LONG}</a></p></div></body>", f"All {LONG}"),
+        (f"<body><a href=/x>Home<a href=/y>Up<div class=t><p>{LONG}</p></div></body>", LONG),
+        (f"<my-content class='post-header'><article><p>{LONG}</p></article></my-content>", LONG),
+        (f"<div class=text class=comments><p>{LONG}</p></div>", LONG),
+        (f"<p>AT&<b>lt;</b> {LONG}</p>", f"AT&lt; {LONG}"),
+        (f"<body><div class=text><p>{LONG}</p></div><section class=reviews><p>{LONG}</p></section></body>", LONG),
+    ],
+)
+def test_main_text_of_unusual_pages(page, want):
+    nodes, blocks = pages.parse(page)
+    assert pages.text_in(nodes, blocks, pages.best_container(nodes, blocks)).split() == want.split()
+
+
+def test_smaller_layout_under_a_named_path_keeps_its_text(spark):
+    """The host's path is there with a line, the text is elsewhere; extras do not take its place."""
+    rows = [(i, f"<body><div class=tip><p>{LONG}</p></div><div class=extra><p>x</p></div></body>") for i in range(6)]
+    rows += [(10, f"<body><div class=tip><p>Tip of the day</p></div><div><p>{LONG}</p></div></body>")]
+    rows += [(11, f"<body><div class=tip><p>short</p></div><div class=extra><p>{LONG}</p></div></body>")]
+    table = spark.createDataFrame([(i, "http://h.test/", p) for i, p in rows], "page_id long, url string, html string")
+    out = collected(pages.extract_pages(table), "page_id")
+    assert {out[i].text for i in (*range(6), 10)} == {LONG.strip()} and out[11].text == "short"
+
+
+def test_deep_pages_take_little_time_and_memory():
+    import time
+    import tracemalloc
+
+    deep = "<div class=a>" * 50_000 + f"<p>{LONG}</p>" + "</div>" * 25_000 + "<p>end</p>"
+    tracemalloc.start()
+    start = time.monotonic()
+    nodes, blocks = pages.parse(deep)
+    best = pages.best_container(nodes, blocks)
+    assert pages.text_in(nodes, blocks, best).split() == LONG.split()
+    assert time.monotonic() - start < 20 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_pages_on_edge_rows(spark):
+    rows = [(1, None, None), (1, None, None), (None, "", ""), (2, "http://h.test/" + "x" * 100_000, f"<p>{LONG * 2000}</p>"), (3, "http://h.test/", "<p>a</p>")]
+    schema = "page_id long, url string, html string, _paths int, _host int, _html int, host string, tried int, key int, path int, text string"
+    table = spark.createDataFrame([(*r, 1, 2, 3, "mine", 4, 5, 6, "old") for r in rows], schema).repartition(3)
+    out = pages.extract_pages(table)
+    assert out.columns == ["page_id", "url", "_paths", "_host", "_html", "host", "tried", "key", "text", "path"]
+    found = out.collect()
+    assert sorted((r.page_id or 0, len(r.text)) for r in found) == [(0, 0), (1, 0), (1, 0), (2, len((LONG * 2000).strip())), (3, 1)]
+    assert {(r._paths, r._host, r._html, r.host, r.tried, r.key) for r in found} == {(1, 2, 3, "mine", 4, 5)}
+    assert pages.extract_pages(table.limit(0)).collect() == []
+
+
 def test_pages_of_the_tables(spark, directory):
     import html
     import re
