@@ -11,7 +11,7 @@ import functools
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import contamination, neardup, repetition, sequences, substrings
@@ -30,45 +30,71 @@ def stage(function):
     return run_stage
 
 
+def renamed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text``, and all other columns under names that no operator uses."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"given_{k}") for k, c in enumerate(docs.columns)])
+
+
+def back(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` under their own names; those in ``changed`` have a new value."""
+    names = [c if c in ("doc_id", "text") else f"given_{k}" for k, c in enumerate(docs.columns)]
+    return found.select(*[changed.get(c, F.col(name)).alias(c) for c, name in zip(docs.columns, names, strict=True)])
+
+
 @stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
-    return repetition.judge(docs).where("kept").select(docs.columns)
+    """Documents that the repetition rules keep.
+
+    NULL and empty texts have too few words and go; repeated rows stay or go alike. All columns
+    come back as they were, whatever their names; an empty table stays empty.
+    """
+    return back(repetition.judge(renamed(docs)).where("kept"), docs)
 
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    Of rows with the same id all stay or go; rows with a NULL id all stay.
+    Every row is a document, also without an id or with that of another: rows get a key of their own.
+    An id goes before none, and the first written row before others. Equal texts are one group, NULL and
+    empty texts together. All columns come back as they were; an empty table stays empty.
     """
-    grouped = neardup.near_duplicates(docs.where("doc_id IS NOT NULL"))
-    gone = materialise(grouped.where("doc_id != class_id").select("doc_id").distinct(), "gone")
+    keyed = materialise(renamed(docs).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    grouped = neardup.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"))
+    ids = keyed.select("row_key", "doc_id")
+    members = materialise(grouped.select(F.col("doc_id").alias("row_key"), "class_id").join(ids, "row_key"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    stays = members.groupBy("class_id").agg(first).select("first.row_key")
+    gone = materialise(members.select("row_key").join(stays, "row_key", "left_anti"), "gone")
     if gone.count() <= neardup.BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return back(keyed.join(gone, "row_key", "left_anti"), docs)
 
 
 @stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document has; no document goes."""
-    cut = substrings.remove_repeats(docs)
+    """Texts without the passages that an earlier document has; no document goes. A column ``n_chars``
+    follows the text; all others come back as they were, whatever their names."""
+    cut = substrings.remove_repeats(renamed(docs))
+    changed = {}
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        cut = cut.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+        given = F.col(f"given_{docs.columns.index('n_chars')}")
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(given).cast(docs.schema["n_chars"].dataType)
+    return back(cut, docs, **changed)
 
 
 @stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    found = contamination.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return found.where("NOT contaminated").select(docs.columns)
+    """Documents that are not contaminated by the benchmark. NULL and empty texts have no words and
+    stay; repeated rows stay or go alike. All columns come back as they were; an empty table stays empty."""
+    found = contamination.find_contamination(renamed(docs), read_table(spark, sf_dir, "benchmark"))
+    return back(found.where("NOT contaminated"), docs)
 
 
 @stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document in sequences of up to 2048 tokens."""
+    """Every piece of every document in sequences of up to 2048 tokens. NULL and empty texts are
+    their end token; repeated rows are packed once each; columns other than the id are left out."""
     return sequences.pack_sequences(docs, vocabulary)
 
 

@@ -171,24 +171,27 @@ def find_contamination(
     hit. Windows beyond ``part_bytes`` of distinct patterns are scanned for in further
     passes over the texts. Only the words of one item at a time are held whole.
     """
-    out = docs.select([c for c in docs.columns if c.lower() not in ("_hit", "items")])
+    out = docs.select([c for c in docs.columns if c.lower() != "items"])
+    bits = "_hit"
+    while bits in {c.lower() for c in docs.columns}:
+        bits += "_"
     parts = _parts(benchmark, item_id, item_text, window, part_bytes)
     items, number = next(parts, []), 0
     while True:
         following = next(parts, None)
-        out = _pass(out, items, window, text, share, number == 0, following is None)
+        out = _pass(out, items, window, text, share, number == 0, following is None, bits)
         if following is None:
             return out.select(B.added(docs.schema, *FOUND).fieldNames())
         out, items, number = materialise(out, "scanned"), following, number + 1
 
 
-def _pass(docs: DataFrame, items: list[Item], window: int, text: str, share: int, first: bool, last: bool) -> DataFrame:
-    """Look for ``items``; hits so far are carried along as bits per word."""
+def _pass(docs: DataFrame, items: list[Item], window: int, text: str, share: int, first: bool, last: bool, bits_name: str) -> DataFrame:
+    """Look for ``items``; hits so far are carried along as bits per word in a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     digest = hashlib.sha256(repr((window, items)).encode()).hexdigest()
-    schema = B.added(docs.schema, ("_hit", T.BinaryType()), FOUND[2])
+    schema = B.added(docs.schema, (bits_name, T.BinaryType()), FOUND[2])
     if last:
-        schema = B.added(docs.drop("_hit").schema, *FOUND)
+        schema = B.added(docs.drop(bits_name).schema, *FOUND)
     names = schema.fieldNames()
 
     def run(batches):
@@ -198,13 +201,13 @@ def _pass(docs: DataFrame, items: list[Item], window: int, text: str, share: int
             cuts = normal.words.first
             if not first:
                 found = [x | set(y) for x, y in zip(found, batch.column("items").to_pylist(), strict=True)]
-                for a, b, bits in zip(cuts[:-1], cuts[1:], batch.column("_hit"), strict=True):
+                for a, b, bits in zip(cuts[:-1], cuts[1:], batch.column(bits_name), strict=True):
                     hit[a:b] |= np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=int(b - a)).astype(bool)
             columns = {"items": pa.array([sorted(x) for x in found], pa.list_(pa.string()))}
             if last:
                 columns |= _result(normal, hit, share)
             else:
-                columns["_hit"] = pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+                columns[bits_name] = pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
             yield B.with_columns(batch, columns, names)
 
     return docs.mapInArrow(run, schema)

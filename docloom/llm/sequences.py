@@ -3,7 +3,8 @@
 Documents are routed to tiers of context sizes. Each tier places its documents in
 windows of its own size and fills what is left with shorter tiers' documents, the
 largest that fits first, cutting one where none fits. Windows that are full need no
-padding, whatever their tier; only the last window of a task can be partly filled.
+padding, whatever their tier; only the last window of a group (some megabytes of text) can
+be partly filled.
 """
 
 from __future__ import annotations
@@ -213,8 +214,8 @@ def pack_sequences(
     ``tokenizer`` gives the path of the vocabulary file where a task runs. One row per
     piece: the id, ``start`` (ids of its document before it), ``length``, ``ids`` (binary,
     little-endian 32 bit), ``doc_tokens``, ``sequence_id``, ``offset`` in the sequence,
-    ``tier`` (its context size) and ``step_id``. Steps hold ``step_tokens`` each, apart from
-    the last of a task. Each scan task packs its own documents, so nothing is shuffled.
+    ``tier`` (its context size) and ``step_id``. Steps hold windows of ``step_tokens`` (a multiple of
+    the longest tier) each, apart from the last of a task. Each scan task packs its own documents, so nothing is shuffled.
 
     NULL and empty texts are the end id alone; repeated rows are packed once each; an
     empty table gives an empty table. Other columns are not carried over.
@@ -226,26 +227,44 @@ def pack_sequences(
     def run(batches):
         encode = encoder(tokenizer()).ids
         base = TaskContext.get().partitionId() << 36
-        sequence = step = 0
-        for batch in B.cut_batches(batches, text, GROUP_BYTES):
-            ids = [x + end for x in encode(batch.column(text))]
-            sizes = [len(x) // 4 for x in ids]
-            windows = sorted(arrange(sizes, tiers), key=lambda w: -w[0])
+        sequence = filled = 0
+        held: list[tuple[int, list[tuple]]] = []
+
+        def numbered(windows):
+            """Pieces of windows, longest window first, as rows."""
+            nonlocal sequence, filled
             rows = []
-            filled = 0
-            for number, (tier, pieces) in enumerate(windows):
+            for tier, pieces in windows:
                 at = 0
-                for doc, start, length in pieces:
-                    rows.append((doc, start, length, ids[doc][4 * start : 4 * (start + length)], sizes[doc], base + sequence + number, at, tier, base + step + filled // step_tokens))
+                for name, start, length, ids, size in pieces:
+                    rows.append((name, start, length, ids, size, base + sequence, at, tier, base + filled // step_tokens))
                     at += length
                 filled += tier
-            sequence += len(windows)
-            step += -(-filled // step_tokens)
+                sequence += 1
             for low in range(0, len(rows), 10_000):
-                doc, *columns = zip(*rows[low : low + 10_000], strict=True)
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(id).take(pa.array(doc)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.fieldNames()
-                )
+                columns = zip(*rows[low : low + 10_000], strict=True)
+                kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.fieldNames())
+
+        for batch in B.cut_batches(batches, text, GROUP_BYTES):
+            id_type, names = batch.column(id).type, batch.column(id).to_pylist()
+            ids = [x + end for x in encode(batch.column(text))]
+            sizes = [len(x) // 4 for x in ids]
+            windows = [
+                (tier, [(names[d], start, n, ids[d][4 * start : 4 * (start + n)], sizes[d]) for d, start, n in pieces])
+                for tier, pieces in arrange(sizes, tiers)
+            ]
+            windows = sorted(held + windows, key=lambda w: -w[0])
+            # short windows that do not make up a long one wait for the next group's, so
+            # that no window lies across two steps
+            total = sum(tier for tier, _ in windows)
+            cut, spare = len(windows), total % tiers[0]
+            while spare > 0:
+                cut -= 1
+                spare -= windows[cut][0]
+            held = windows[cut:]
+            yield from numbered(windows[:cut])
+        if held:
+            yield from numbered(held)
 
     return docs.select(id, text).mapInArrow(run, schema)

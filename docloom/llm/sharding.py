@@ -18,7 +18,7 @@ from docloom.session import materialise
 
 BINS = 4096
 #: Rounds of binning along the dimension, among equal places by text, inside one text by row.
-ROUNDS = {"place": 2, "copy": 2, "row": 2}
+ROUNDS = {"place": 2, "copy": 2, "row": 3}
 #: Copies of one text stay together unless they are more than this share of a shard.
 GROUP_SHARE = 0.05
 ROW_BYTES = 16
@@ -133,6 +133,14 @@ def _numbered(rows: DataFrame, shards: int, total: int) -> DataFrame:
     return rows.withColumn("nth", nth).join(starts, ["shard", "bucket"]).withColumn("slot", F.col("start") + F.col("nth"))
 
 
+def _row_place(id: str) -> Column:
+    """A place for every row: 26 bits of a hash of its id, then 26 of its place in the input, so that rows
+    that are equal throughout can be told apart."""
+    own = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
+    high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.col(id)), 38), 26)
+    return (high + F.shiftrightunsigned(own, 38)).cast("double")
+
+
 def shard_documents(
     docs: DataFrame,
     shards: int | None = None,
@@ -161,7 +169,7 @@ def shard_documents(
         size_of(F.col(text)).alias("size"),
         F.crc32(content).alias("text_crc32"),
         _unit(F.xxhash64(content)).alias("copy"),
-        _unit(F.xxhash64(F.col(id))).alias("row"),
+        _row_place(id).alias("row"),
         *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in zip(names, given.values(), strict=True)],
     )
     base = materialise(base, "metadata")

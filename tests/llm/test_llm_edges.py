@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from docloom.llm import backoff, contamination, neardup, quality, queries, repetition, sequences, sharding, substrings
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, score string, bucket int, block int, size string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, score string, bucket int, block int, size string, _hit int, _hit_ int"
 LONG = "very long words " * 40_000 + "x" * 300_000
 ROWS = [
     (1, None, None, None, None),
@@ -24,7 +24,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def edges(spark):
-    return spark.createDataFrame([(*r, "mine", "mine", 1, 2, "mine") for r in ROWS], SCHEMA).repartition(3)
+    return spark.createDataFrame([(*r, "mine", "mine", 1, 2, "mine", 3, 4) for r in ROWS], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -80,9 +80,10 @@ def test_results_on_edge_rows(edges, benchmark):
 
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_on_edge_rows(spark, directory, edges, stage):
-    docs = edges.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = edges.select("doc_id", "text", "lang", "source", "n_chars", "n_words", "score", F.lit("mine").alias("kept"), F.lit(5).alias("_hit"), F.lit(6).alias("given_0"))
     for table in (docs, docs.limit(0)):
         out = corpus_pipeline.STAGES[stage][1](spark, table, directory)
         out.collect()
         if stage < 4:
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            assert {(r.n_words, r.score, r.kept, r._hit, r.given_0) for r in out.collect()} <= {("mine", "mine", "mine", 5, 6)}
