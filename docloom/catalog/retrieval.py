@@ -14,7 +14,7 @@ from docloom.catalog.tables import COUNT_SENTENCE_SQL, STATUS_SENTENCE_SQL
 from docloom.catalog.text import chunk_sql, documents
 from docloom.functions import vectors as vx
 from docloom.functions.text import chunk_text
-from docloom.operators import answers, index, models, reports, search
+from docloom.operators import answers, index, models, reports, search, tree_index
 from docloom.plans.corpus_index import explode_chunks
 from docloom.plans.requests import answer_requests as answer_all
 from docloom.session import materialise, read_table, work_path
@@ -94,6 +94,15 @@ def knn_ivf(spark: SparkSession, directory: str) -> DataFrame:
     return _rounded(search.nearest_by_lists(_as_questions(rows), built, nprobe=16, exclude_same_id=True))
 
 
+@query(_KNN)
+def knn_tree(spark: SparkSession, directory: str) -> DataFrame:
+    """An index of two levels, half of it appended; with the widest beam it has to equal exact search."""
+    rows, path = _rows(spark, directory), work_path(spark, "tree")
+    tree_index.build_tree_index(rows.where("id % 2 = 0"), dim=DIM, nlist=25, path=path)
+    built = tree_index.append_to_tree_index(rows.where("id % 2 = 1"), path, "odd")
+    return _rounded(tree_index.nearest_by_tree(_as_questions(rows), built, nprobe=25, beam=5, exclude_same_id=True))
+
+
 # Ten lists around the mean vectors of the ten labels, so that SQL can place every row.
 def _label_means(rows: DataFrame) -> np.ndarray:
     means = rows.select("label", F.posexplode("vector")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("x"))

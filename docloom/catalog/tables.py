@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from docloom.operators.models import PLAIN_EXTRACTORS
 from docloom.plans import answer_cache, ingest
 from docloom.session import materialise, read_table, work_path
 from docloom.sources import corpus, events, snapshots
+from docloom.sources import directory as order
 
 
 # --------------------------------------------------------------------- sources
@@ -45,6 +48,18 @@ def corpus_window(spark: SparkSession, directory: str) -> DataFrame:
     return corpus.corpus_window(documents, "doc_id", limit=100, offset=50)
 
 
+@query(
+    """SELECT first_row, event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events)
+    JOIN (VALUES (0), (777), (1990), (50000)) w(first_row) ON place >= first_row AND place < first_row + 25"""
+)
+def directory_windows(spark: SparkSession, directory: str) -> DataFrame:
+    """Several windows found through one stored directory."""
+    events_table = read_table(spark, directory, "events").select("event_id", "event_type")
+    pages = order.build_directory(events_table, "event_id", work_path(spark, "directory"), rows_per_range=500)
+    parts = [order.read_window(pages, events_table, "event_id", 25, at).withColumn("first_row", F.lit(at)) for at in (0, 777, 1990, 50_000)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, false AS is_malformed FROM events")
 def parse_event(spark: SparkSession, directory: str) -> DataFrame:
     schema = T.StructType([T.StructField("k", T.LongType())])

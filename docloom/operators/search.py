@@ -204,7 +204,7 @@ def _scan(
     return keep_nearest(rows.select(*columns).mapInArrow(search, schema), k)
 
 
-def _search_blocks(
+def search_probes(
     probes: DataFrame, rows: DataFrame, sizes: DataFrame, k: int, dim: int, exclude_same_id: bool
 ) -> DataFrame:
     """Best rows of every probe (``qid, list_id, vector``) inside its list.
@@ -304,7 +304,7 @@ def nearest_by_lists(
     if chosen.count() <= _most(max_broadcast_questions, index.dim):
         schema = _hit_schema(questions, index.rows, "list_id")
         return _scan(chosen.toArrow(), index.rows, k, index.dim, exclude_same_id, schema, "list_id")
-    hits = _search_blocks(_one_row_per_list(chosen), index.rows, index.sizes, k, index.dim, exclude_same_id)
+    hits = search_probes(_one_row_per_list(chosen), index.rows, index.sizes, k, index.dim, exclude_same_id)
     return keep_nearest(hits, k)
 
 
@@ -336,7 +336,7 @@ def nearest_pruned(
         index = build_index(rows, dim=dim, nlist=nlist or suggested_nlist(n_rows, dim), written=True)
     asked = materialise(choose_lists(questions, index, nprobe), "asked")
     first = materialise(
-        _search_blocks(_one_row_per_list(asked), index.rows, index.sizes, k, dim, exclude_same_id), "first-hits"
+        search_probes(_one_row_per_list(asked), index.rows, index.sizes, k, dim, exclude_same_id), "first-hits"
     )
     bounds = (
         keep_nearest(first, k)
@@ -363,7 +363,7 @@ def nearest_pruned(
     left_over = asked.join(bounds, "qid", "left").select(
         "qid", "vector", once(open_lists)("vector", "lists", "bound").alias("lists")
     )
-    second = _search_blocks(_one_row_per_list(materialise(left_over, "further")), index.rows, index.sizes, k, dim, exclude_same_id)
+    second = search_probes(_one_row_per_list(materialise(left_over, "further")), index.rows, index.sizes, k, dim, exclude_same_id)
     return keep_nearest(first.unionByName(second), k)
 
 
@@ -402,7 +402,7 @@ def nearest_within(
         within = _scan(limited.toArrow(), keyed, k, dim, exclude_same_id, schema, "list_id")
     else:
         sizes = keyed.groupBy("list_id").agg(F.count("*").alias("n_rows"))
-        hits = _search_blocks(_one_row_per_list(limited), keyed, sizes, k, dim, exclude_same_id)
+        hits = search_probes(_one_row_per_list(limited), keyed, sizes, k, dim, exclude_same_id)
         within = keep_nearest(hits.drop("list_id"), k)
     everywhere = nearest(
         questions.where(F.col(key).isNull()),

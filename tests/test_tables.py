@@ -7,7 +7,7 @@ from docloom import fixed_values as fv
 from docloom.operators import answers, registry, reports, sessions
 from docloom.plans import ingest
 from docloom.session import work_path
-from docloom.sources import corpus, events, snapshots
+from docloom.sources import corpus, directory, events, snapshots
 
 
 # ---------------------------------------------------------------------- events
@@ -304,6 +304,30 @@ def test_deep_windows_are_cut_by_range(spark):
     assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
 
 
+def test_windows_from_a_directory_of_a_thousand_ranges(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(20_000).select((F.col("id") * 3).alias("k"), F.lit("text").alias("t")).repartition(4).write.parquet(path)
+    table = spark.read.parquet(path)
+    pages = directory.build_directory(table, "k", str(tmp_path / "order"), rows_per_range=20)
+    assert pages.ranges.count() == 1000 and pages.ranges.agg(F.max("n_rows")).first()[0] < 200
+    again = directory.open_directory(spark, str(tmp_path / "order"))
+    for offset, limit in ((0, 1), (7, 30), (9_990, 500), (19_999, 5), (20_000, 5)):
+        rows = directory.read_window(again, table, "k", limit, offset)
+        assert sorted(r.k for r in rows.collect()) == [3 * n for n in range(offset, min(20_000, offset + limit))]
+    plan = directory.read_window(again, table, "k", 5, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(k,300)" in plan and "LessThanOrEqual(k,312)" in plan and "Exchange" not in plan
+    with pytest.raises(ValueError):
+        directory.read_window(again, table, "k", 0)
+
+
+def test_directory_of_an_empty_table_and_of_rows_without_keys(spark, tmp_path):
+    table = spark.createDataFrame([(None, "a"), (2, "b"), (1, "c")], "k int, t string")
+    pages = directory.build_directory(table, "k", str(tmp_path / "one"))
+    assert [r.t for r in directory.read_window(pages, table, "k", 9, 1).collect()] == ["b"]
+    empty = directory.build_directory(table.limit(0), "k", str(tmp_path / "none"))
+    assert directory.read_window(empty, table, "k", 9).count() == 0
+
+
 def test_snapshot(spark, tmp_path):
     table = spark.range(50).select("id", F.array(F.col("id").cast("float")).alias("v")).repartition(3)
     path, target = str(tmp_path / "s"), str(tmp_path / "t")
