@@ -1,16 +1,16 @@
 """Operators against brute force, round trips and held-out rows."""
 
 import collections
-import hashlib
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import backoff, contamination, neardup, pages, queries, repetition, sequences, sharding, substrings, urls
+from docloom.llm import backoff, contamination, neardup, pages, quality, queries, repetition, sequences, sharding, substrings, urls
 from docloom.session import read_table
 
 
@@ -190,17 +190,6 @@ def test_all_ways_through_a_cluster_agree(spark, monkeypatch, parts, texts):
     assert {i: r.class_id for i, r in out.items()} == groups(made)
 
 
-def test_large_buckets_of_other_groups_are_compared(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "_MEMBERS", 3)
-    labels = spark.createDataFrame([(i, 0 if i < 9 else i) for i in range(12)], "node long, label long")
-    buckets = spark.createDataFrame([(7, i, 0) for i in range(12)], "key long, doc long, center long")
-    sketches = spark.createDataFrame([(i, bytes([1] * 128)) for i in range(12)], "doc long, sketch binary")
-    met = spark.createDataFrame([], "a long, b long")
-    pairs = {(r.a, r.b) for r in neardup._unmet(buckets, sketches, labels, met).collect()}
-    assert {(11, 10), (11, 9), (10, 9)} <= pairs
-    assert all(sum(1 for a, b in pairs if a == x and b < 9) == 8 for x in (9, 10, 11))
-
-
 def test_blocks_of_a_large_bucket_are_bounded(spark, monkeypatch):
     """No task gets a whole bucket of small groups, and all pairs of different groups meet."""
     monkeypatch.setattr(neardup, "PART_TEXTS", 5)
@@ -387,6 +376,30 @@ def test_quality_on_held_out_rows(spark):
 # packing
 
 
+def test_quality_scores_equal_a_plain_discriminant(spark, directory):
+    """Scores from moments, inverses and determinants that numpy works out over all rows at once."""
+    docs, labels = (read_table(spark, directory, n) for n in ("documents", "labels"))
+    rows = docs.collect()
+    values = quality.statistics(pa.array([r.text for r in rows], pa.string()))
+    label = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and r.doc_id % 3}
+    known = np.array([label.get(r.doc_id, -1) for r in rows])
+    own = {k: values[known == k] for k in (0, 1)}
+    plain = {k: np.cov(v, rowvar=False, bias=True) for k, v in own.items()}
+    pooled = sum(len(own[k]) * plain[k] for k in own) / sum(map(len, own.values()))
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    logs = []
+    for k in (0, 1):
+        c = (1 - quality.POOLED) * plain[k] + quality.POOLED * pooled
+        c = c / np.outer(scale, scale)
+        c = (1 - quality.ROUND) * c + quality.ROUND * max(np.trace(c) / len(c), 1e-3) * np.eye(len(c))
+        z = (values - own[k].mean(axis=0)) / scale
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z) - 0.5 * np.linalg.slogdet(c)[1])
+    prior = (len(own[1]) + 1) / (len(own[0]) + len(own[1]) + 2)
+    want = 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + np.log(prior / (1 - prior)), -500, 500)))
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, labels, F.col("doc_id") % 3 != 0).collect()}
+    assert max(abs(got[r.doc_id] - w) for r, w in zip(rows, want, strict=True)) < 1e-6
+
+
 def test_packing_gives_all_tokens_back(spark, documents, directory):
     from tokenizers import Tokenizer
 
