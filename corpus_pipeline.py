@@ -51,24 +51,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return back(repetition.judge(renamed(docs)).where("kept"), docs)
 
 
+def _without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in the (written) list; a short list is sent to all tasks."""
+    if gone.count() <= neardup.BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, key, "left_anti")
+
+
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    Every row is a document, also without an id or with that of another: rows get a key of their own.
-    An id goes before none, and the first written row before others. Equal texts are one group, NULL and
-    empty texts together. All columns come back as they were; an empty table stays empty.
+    Every row is a document, also without an id or with that of another: where there are such, rows get keys of
+    their own and are written with them. An id goes before none, and the first written row before
+    others. Equal texts are one group, NULL and empty texts together. All columns come back as they
+    were; an empty table stays empty.
     """
-    keyed = materialise(renamed(docs).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    named = renamed(docs)
+    shared = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
+    if not shared.limit(1).count():
+        grouped = neardup.near_duplicates(named.select("doc_id", "text"))
+        gone = materialise(grouped.where("doc_id != class_id").select("doc_id"), "gone")
+        return back(_without(named, gone, "doc_id"), docs)
+    keyed = materialise(named.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
     grouped = neardup.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"))
     ids = keyed.select("row_key", "doc_id")
     members = materialise(grouped.select(F.col("doc_id").alias("row_key"), "class_id").join(ids, "row_key"), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
     stays = members.groupBy("class_id").agg(first).select("first.row_key")
     gone = materialise(members.select("row_key").join(stays, "row_key", "left_anti"), "gone")
-    if gone.count() <= neardup.BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return back(keyed.join(gone, "row_key", "left_anti"), docs)
+    return back(_without(keyed, gone, "row_key"), docs)
 
 
 @stage

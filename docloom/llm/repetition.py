@@ -19,7 +19,7 @@ MIN_WORDS = 50
 #: Percent of words that may lie in repeated windows of three words.
 TRIPLE_LIMIT = 50
 SYMBOLS = b"#*$%&|<>"
-_PIECE = 4 << 20
+_PIECE = 2 << 20
 
 
 def _per_text(values: np.ndarray, edges: np.ndarray) -> np.ndarray:

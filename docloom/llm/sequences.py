@@ -29,7 +29,7 @@ END_ID = 1
 STEP_TOKENS = 16 * 2048
 #: Texts packed together in a task, in bytes.
 GROUP_BYTES = 4 << 20
-CACHED_WORDS = 700_000
+CACHED_WORDS = 400_000
 #: ASCII marks but the apostrophe, which starts tokens of its own.
 MARKS = ~W.byte_class([c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27])
 LETTERS = ~W.byte_class([*range(0x61, 0x7B)])
