@@ -1,4 +1,4 @@
-"""Every registered query: equal to its SQL, or at least with rows and a schema."""
+"""Every registered query is equal to its SQL."""
 
 import pytest
 from compare import connect, difference
@@ -18,9 +18,8 @@ def test_equals_sql(spark, directory, database, name):
     assert difference(catalog.QUERIES[name](spark, directory), database, catalog.CHECKS[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.CHECKS)))
-def test_has_rows(spark, directory, name):
-    assert catalog.QUERIES[name](spark, directory).count() > 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.CHECKS)
 
 
 def test_entry_points(spark):
