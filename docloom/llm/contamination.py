@@ -1,4 +1,9 @@
-"""Benchmark contamination, found by one Aho-Corasick automaton over the test items."""
+"""Benchmark contamination, found by one Aho-Corasick automaton over the test items.
+
+The words of the items are numbered, and a number is two letters of the automaton, each of an
+alphabet as large as the root of what there is to number: a window of 13 words is a pattern of 26 letters, and a
+text is scanned as the string of its words' numbers. Words that no item has are a letter that is in no pattern.
+"""
 
 from __future__ import annotations
 
@@ -20,11 +25,13 @@ SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 NORMAL = W.byte_class(SEPARATORS)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-#: Bytes of distinct patterns that one automaton takes, as each is a node of some 50 bytes
+#: Words of distinct windows that one automaton takes, as each is two nodes of some 50 bytes
 #: at worst; windows beyond are scanned for in further passes.
-PART_BYTES = 2 << 20
-#: What a pattern, and an item that has it, takes besides nodes, as so many bytes of pattern.
+PART_WORDS = 2 << 20
+#: What a window, and an item that has it, takes besides nodes, as so many words.
 _PATTERN, _OWNER = 8, 2
+#: The letter of words that are in no item.
+_GAP = 1
 _PIECE = 4 << 20
 
 Item = tuple[str, str]
@@ -38,86 +45,98 @@ FOUND = (
 
 
 class Normal:
-    """A batch in normal form: a space before each word, a space and a line end after
-    each text. ``ends`` has the place behind each word, ``words`` its span in the original."""
+    """A batch in normal form: the lower-cased bytes, the words' spans and their hashes."""
 
     def __init__(self, column: pa.Array):
         raw = W.text_bytes(column)
         self.raw = W.Text(LOWER[raw.data], raw.offsets)
         self.words = W.split_words(self.raw, NORMAL)
-        sizes = self.words.end - self.words.start
-        shift = np.arange(1, len(sizes) + 1) + 2 * self.words.text
-        ends = np.cumsum(sizes) + shift
-        out = np.full(int(sizes.sum()) + len(sizes) + 2 * len(column), 0x20, np.uint8)
-        out[np.arange(int(sizes.sum())) + np.repeat(shift, sizes)] = self.raw.data[NORMAL[self.raw.data]]
-        texts = np.cumsum(np.concatenate([[0], sizes]))[self.words.first[1:]] + self.words.first[1:] + 2 * np.arange(1, len(column) + 1) - 1
-        out[texts] = 0x0A
-        self.ends = ends
-        self.string = out.tobytes().decode("latin-1")
+        self.hashes = W.hash_spans(self.raw.data, self.words.start, self.words.end)
 
 
-def item_words(text: str) -> list[str]:
-    """Words of one text in normal form. Only the spaces of that form separate: bytes beyond
-    ASCII are letters here, though ``str.split`` takes some of them for white space."""
-    return [word for word in Normal(pa.array([text], pa.string())).string.strip(" \n").split(" ") if word]
+def item_words(text: str) -> tuple[list[str], np.ndarray]:
+    """Words of one text in normal form, and their hashes."""
+    normal = Normal(pa.array([text], pa.string()))
+    data = normal.raw.data.tobytes()
+    return [data[a:b].decode() for a, b in zip(normal.words.start.tolist(), normal.words.end.tolist(), strict=True)], normal.hashes
 
 
-def windows(words: list[str], window: int) -> Iterator[str]:
-    """Every window of an item's words; fewer words than a window, but not none, are one."""
-    size = min(window, len(words))
-    for k in range(len(words) - size + 1 if size else 0):
-        yield f" {' '.join(words[k : k + size])} "
+def windows(hashes: np.ndarray, window: int) -> Iterator[bytes]:
+    """Every window of an item's words, as its hashes; fewer words than a window, but not none, are one."""
+    size = min(window, len(hashes))
+    for k in range(len(hashes) - size + 1 if size else 0):
+        yield hashes[k : k + size].tobytes()
 
 
-def patterns(items: list[Item], window: int) -> dict[str, tuple[int, set[str]]]:
+def patterns(items: list[Item], window: int) -> dict[bytes, tuple[int, set[str]]]:
     """Windows of all items in normal form: number of words and items that have them."""
-    out: dict[str, tuple[int, set[str]]] = {}
+    out: dict[bytes, tuple[int, set[str]]] = {}
     for item, text in items:
-        words = item_words(text)
-        for pattern in windows(words, window):
-            out.setdefault(pattern, (min(window, len(words)), set()))[1].add(item)
+        hashes = item_words(text)[1]
+        for pattern in windows(hashes, window):
+            out.setdefault(pattern, (min(window, len(hashes)), set()))[1].add(item)
     return out
 
 
+def _string(numbers: np.ndarray, count: int) -> str:
+    """Numbers of words (below ``count``; others are gaps) as two letters each, of alphabets of their own."""
+    base = int(np.ceil(np.sqrt(count)))
+    known = numbers < count
+    first, second = np.where(known, numbers // base + _GAP + 1, _GAP), np.where(known, numbers % base + base + _GAP + 1, _GAP)
+    return np.stack([first, second], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+
+
 _BUILT: dict[str, tuple] = {}
 
 
 def _automaton(items: list[Item], window: int, digest: str) -> tuple:
-    """The automaton, words by pattern, and items by pattern; one is kept per process."""
+    """The automaton, the hashes of its words in order of their numbers, words by pattern, and items by
+    pattern; one is kept per process."""
     if digest not in _BUILT:
         _BUILT.clear()
         found = patterns(items, window)
+        flat = np.frombuffer(b"".join(found), np.uint64)
+        known, numbers = np.unique(flat, return_inverse=True)
+        whole = _string(numbers, len(known))
+        sizes = np.array([n for n, _ in found.values()], np.int64)
+        ends = np.cumsum(sizes)
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for number, pattern in enumerate(found):
-            machine.add_word(pattern, number)
+        for number, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+            machine.add_word(whole[2 * a : 2 * b], number)
         machine.make_automaton()
-        sizes = np.array([n for n, _ in found.values()], np.int64)
         owners = [sorted(names) for _, names in found.values()]
-        _BUILT[digest] = (machine, sizes, owners)
+        _BUILT[digest] = (machine, known, sizes, owners)
     return _BUILT[digest]
 
 
-def scan(column: pa.Array, machine, sizes: np.ndarray, owners: list[list[str]]) -> tuple[Normal, np.ndarray, list[set[str]]]:
+def scan(column: pa.Array, machine, known: np.ndarray, sizes: np.ndarray, owners: list[list[str]]) -> tuple[Normal, np.ndarray, list[set[str]]]:
     """The batch in normal form, which words are hit, and the items found in each text."""
     normal = Normal(column)
-    found = list(machine.iter(normal.string)) if len(sizes) else []
+    words, hashes = normal.words, normal.hashes
     items: list[set[str]] = [set() for _ in range(len(column))]
-    hit = np.zeros(len(normal.ends), bool)
+    hit = np.zeros(len(hashes), bool)
+    if not len(sizes) or not len(hashes):
+        return normal, hit, items
+    rank = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    numbers = np.full(len(hashes) + len(column), len(known), np.int64)
+    places = np.arange(len(hashes)) + words.text  # a gap ends every text
+    numbers[places] = np.where(known[rank] == hashes, rank, len(known))
+    found = list(machine.iter(_string(numbers, len(known))))
     if found:
         at, pattern = np.array(found, np.int64).T
-        last = np.searchsorted(normal.ends, at)
+        last = np.searchsorted(places, at // 2)
         size = sizes[pattern]
         steps = np.bincount(last - size + 1, minlength=len(hit) + 1) - np.bincount(last + 1, minlength=len(hit) + 1)
         hit = np.cumsum(steps[:-1]) > 0
-        pairs = np.unique(np.stack([normal.words.text[last], pattern]), axis=1)
-        for row, number in pairs.T.tolist():
-            items[row].update(owners[number])
+        pairs = np.unique(np.stack([words.text[last], pattern]), axis=1)
+        for row, which in pairs.T.tolist():
+            items[row].update(owners[which])
     return normal, hit, items
 
 
 def _parts(benchmark: DataFrame, id: str, text: str, window: int, most: int) -> Iterator[list[Item]]:
-    """Items in lists whose distinct patterns take at most ``most`` bytes (or that are one
-    pattern), so that neither the driver nor an automaton ever holds them all.
+    """Items in lists whose distinct windows take at most ``most`` words (or that are one
+    window), so that neither the driver nor an automaton ever holds them all.
 
     An item with more windows than a list has room for is cut; its pieces overlap by a
     window less one word, so that each window is in one piece.
@@ -126,27 +145,23 @@ def _parts(benchmark: DataFrame, id: str, text: str, window: int, most: int) ->
     for row in benchmark.select(id, text).toLocalIterator():
         if row[0] is None or row[1] is None:
             continue
-        words, low = item_words(row[1]), 0
-        for k, pattern in enumerate(windows(words, window)):
-            more = _OWNER + (0 if pattern in seen else len(pattern) + _PATTERN)
+        (words, hashes), low = item_words(row[1]), 0
+        for k, pattern in enumerate(windows(hashes, window)):
+            more = _OWNER + (0 if pattern in seen else len(pattern) // 8 + _PATTERN)
             if size and size + more > most:
                 if k > low:
-                    held.append((str(row[0]), _joined(words[low : k - 1 + window])))
+                    held.append((str(row[0]), " ".join(words[low : k - 1 + window])))
                 yield held
                 held, seen, size, low = [], set(), 0, k
-                more = _OWNER + len(pattern) + _PATTERN
+                more = _OWNER + len(pattern) // 8 + _PATTERN
             seen.add(pattern)
             size += more
         if words:
-            held.append((str(row[0]), _joined(words[low:])))
+            held.append((str(row[0]), " ".join(words[low:])))
     if held:
         yield held
 
 
-def _joined(words: list[str]) -> str:
-    return " ".join(words).encode("latin-1").decode()
-
-
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -155,7 +170,7 @@ def find_contamination(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    part_bytes: int = PART_BYTES,
+    part_words: int = PART_WORDS,
 ) -> DataFrame:
     """Scan every text for windows of the test items.
 
@@ -168,14 +183,15 @@ def find_contamination(
     Words are runs of digits, lower-cased letters and characters beyond ASCII. NULL and
     empty texts have no words and no hits. Items that are NULL, have a NULL id or no
     words are not looked for; equal ids count as one item. Without items nothing is
-    hit. Windows beyond ``part_bytes`` of distinct patterns are scanned for in further
-    passes over the texts. Only the words of one item at a time are held whole.
+    hit. Texts are scanned once; distinct windows beyond ``part_words`` words of them are scanned for in
+    further passes. Words are told apart by 64-bit hashes. Very long texts are scanned whole; of the items,
+    one list and the words of one item at a time are held.
     """
     out = docs.select([c for c in docs.columns if c.lower() != "items"])
     bits = "_hit"
     while bits in {c.lower() for c in docs.columns}:
         bits += "_"
-    parts = _parts(benchmark, item_id, item_text, window, part_bytes)
+    parts = _parts(benchmark, item_id, item_text, window, part_words)
     items, number = next(parts, []), 0
     while True:
         following = next(parts, None)

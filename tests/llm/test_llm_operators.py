@@ -459,7 +459,7 @@ def test_short_items_spans_and_parts(spark):
     text = "É, SHORT--item and " + ", ".join(f"W{i}" for i in range(2, 17)) + " end again-other"
     docs = spark.createDataFrame([(1, text, 5), (2, None, 5), (3, "", 5), (4, "item short", 5)], "doc_id long, text string, n_hit int")
     for part in (8 << 20, 1):
-        out = collected(contamination.find_contamination(docs, benchmark, part_bytes=part))
+        out = collected(contamination.find_contamination(docs, benchmark, part_words=part))
         assert out[1]["items"] == ["long", "s"] and (out[1].n_words, out[1].n_hit, out[1].contaminated) == (22, 19, True)
         assert [text[s.begin : s.end] for s in out[1].spans] == ["SHORT--item", text[text.index("W2") : text.index(" end")], "again-other"]
         assert [(out[i].n_words, out[i].n_hit, out[i]["items"], out[i].contaminated) for i in (2, 3, 4)] == [(0, 0, [], False)] * 2 + [(2, 0, [], False)]
@@ -506,23 +506,35 @@ def test_words_with_any_byte_are_found(spark):
 
 
 def test_parts_are_bounded_by_their_patterns(spark):
-    """No automaton gets more than its bytes of patterns, an item longer than a part is cut,
+    """No automaton gets more than its words of windows, an item longer than a part is cut,
     and all parts together find what brute force does."""
     rng = np.random.default_rng(7)
     words = [[f"wört{x}" for x in rng.integers(0, 10**6, n)] for n in (300, 40, 13, 12, 2)]
     items = [(f"i{k}", " ".join(w)) for k, w in enumerate(words)] + [("copy", " ".join(words[1]))]
     benchmark = spark.createDataFrame(items, "item_id string, text string")
-    most = 6000
+    most = 1500
     parts = [contamination.patterns(part, 13) for part in contamination._parts(benchmark, "item_id", "text", 13, most)]
-    assert len(parts) > 4 and all(sum(len(p) for p in part) <= most for part in parts)
+    assert len(parts) > 4 and all(sum(n for n, _ in part.values()) <= most for part in parts)
     whole = collections.Counter((p, size, item) for p, (size, names) in contamination.patterns(items, 13).items() for item in names)
     assert collections.Counter((p, size, item) for part in parts for p, (size, names) in part.items() for item in names) == whole
     texts = {k: " ".join(["x", *words[k % 5][k : k + 14], "y", *words[0][40 * k : 40 * k + 50]]) for k in range(8)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    out = collected(contamination.find_contamination(docs, benchmark, part_bytes=most))
+    out = collected(contamination.find_contamination(docs, benchmark, part_words=most))
     assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in out.items()} == by_brute_force(texts, items)
 
 
+def test_an_item_of_many_different_words(spark):
+    """Numbers of two digits; words of other items, and gaps, lie between."""
+    words = [f"w{k}" for k in range(30_000)]
+    items = [("i", " ".join(words)), ("j", "w7 w8 w9")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    texts = {1: " ".join(words[24_990:25_030]), 2: " ".join(words[5:17]) + " w18", 3: " ".join(words[29_980:]), 4: " ".join(words[9:14] + ["x"] + words[14:26])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len(list(contamination._parts(benchmark, "item_id", "text", 13, contamination.PART_WORDS))) == 1
+    out = collected(contamination.find_contamination(docs, benchmark))
+    assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in out.items()} == {1: (40, 40, ["i"]), 2: (13, 3, ["j"]), 3: (20, 20, ["i"]), 4: (18, 0, [])}
+
+
 # LM scores
 
 
