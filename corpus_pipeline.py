@@ -19,12 +19,20 @@ from docloom.llm.queries import vocabulary
 from docloom.session import materialise, read_table, use_work_folder
 
 
+BATCH_SIZE = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to Python at a time, as they are whole texts on both sides.
+BATCH_ROWS = 2_000
+
+
 def stage(function):
-    """A stage that names the work folder of a local session without one, as in tests."""
+    """A stage that names the work folder of a local session without one, as in tests, and
+    sends texts to Python in small batches (a setting of the session, lowered where it is higher)."""
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         use_work_folder(spark, os.path.join(tempfile.gettempdir(), f"docloom-work-{os.getpid()}"))
+        if not 0 < int(spark.conf.get(BATCH_SIZE)) <= BATCH_ROWS:
+            spark.conf.set(BATCH_SIZE, str(BATCH_ROWS))
         return function(spark, docs, sf_dir)
 
     return run_stage

@@ -32,7 +32,7 @@ PART_WORDS = 2 << 20
 _PATTERN, _OWNER = 8, 2
 #: The letter of words that are in no item.
 _GAP = 1
-_PIECE = 4 << 20
+_PIECE = 2 << 20
 
 Item = tuple[str, str]
 FOUND = (

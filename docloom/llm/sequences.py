@@ -29,6 +29,8 @@ END_ID = 1
 STEP_TOKENS = 16 * 2048
 #: Texts packed together in a task, in bytes.
 GROUP_BYTES = 4 << 20
+#: Texts encoded at a time.
+ENCODED_BYTES = 1 << 20
 CACHED_WORDS = 400_000
 #: ASCII marks but the apostrophe, which starts tokens of its own.
 MARKS = ~W.byte_class([c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27])
@@ -248,7 +250,7 @@ def pack_sequences(
 
         for batch in B.cut_batches(batches, text, GROUP_BYTES):
             id_type, names = batch.column(id).type, batch.column(id).to_pylist()
-            ids = [x + end for x in encode(batch.column(text))]
+            ids = [x + end for part in B.cut_batches([batch], text, ENCODED_BYTES) for x in encode(part.column(text))]
             sizes = [len(x) // 4 for x in ids]
             windows = [
                 (tier, [(names[d], start, n, ids[d][4 * start : 4 * (start + n)], sizes[d]) for d, start, n in pieces])
