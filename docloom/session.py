@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -13,9 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
+    STATE_STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # a micro-batch writes what it changed, not the files of the whole state
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
@@ -85,6 +86,21 @@ def cut_before_shuffle(spark: SparkSession, n: int) -> None:
         spark.conf.set(setting, str(n))
 
 
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start meanwhile can hold lists and timers per key: Spark's default store cannot.
+
+    A stream copies the session's settings as it starts and keeps the store of its checkpoint, so the
+    session gets its own setting back.
+    """
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 def once(udf):
     """Keep the optimizer from copying an expensive function into a filter, which
     would run it twice per row."""

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from docloom import fixed_values as fv
 from docloom.functions.chat import is_chat_role
+from docloom.session import keyed_state
 from docloom.streaming.jobs import append_to
 
 STATE = "messages"
@@ -116,7 +117,8 @@ def start_sessions(
     to nothing if only the state is wanted."""
     if path is None:
         sink.setdefault("table_format", "noop")
-    return append_to(session_state(messages, n, at=at, idle=idle), path, checkpoint, **sink)
+    with keyed_state(messages.sparkSession):
+        return append_to(session_state(messages, n, at=at, idle=idle), path, checkpoint, **sink)
 
 
 def histories(spark: SparkSession, checkpoint: str) -> DataFrame:

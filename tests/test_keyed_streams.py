@@ -46,6 +46,22 @@ def test_sessions_keep_their_last_messages_across_restarts(spark, folder):
     assert got.select("session_id", "seq").exceptAll(told.select("session_id", "seq")).count() == 0
 
 
+def test_sessions_run_in_a_session_with_sparks_own_state_store(spark, folder):
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    kept_setting, plain = spark.conf.get(setting), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    messages = spark.createDataFrame([(s, i, "user", f"{s}-{i}") for s in (1, 2) for i in range(30)], CHAT)
+    try:
+        spark.conf.set(setting, plain)
+        for part in ("seq < 15", "seq >= 15"):
+            write(messages.where(part), folder)
+            history.start_sessions(read(spark, messages, folder), f"{folder}/state", 4).awaitTermination()
+            assert spark.conf.get(setting) == plain
+        got = history.histories(spark, f"{folder}/state")
+        assert sorted((r.session_id, r.seq) for r in got.collect()) == [(s, i) for s in (1, 2) for i in range(26, 30)]
+    finally:
+        spark.conf.set(setting, kept_setting)
+
+
 def test_idle_sessions_end(spark, folder):
     rows = [(1, 0, 0), (2, 0, 60), (1, 1, 600), (2, 1, 7200), (1, 2, 14_000), (3, 0, 20_000)]
     messages = spark.createDataFrame(
