@@ -23,18 +23,23 @@ def _finish(job) -> None:
 
 
 def _in_batches(spark: SparkSession, directory: str, name: str, batches: int = 3, order: str | None = None) -> DataFrame:
-    """The whole table as a file stream of several micro-batches, in ``order`` if given."""
+    """The whole table as a file stream of several micro-batches, in ``order`` if given.
+
+    A micro-batch is as many files as its share of the table has splits, so no task gets more than
+    about a split however large the table is."""
     path = work_path(spark, name)
     table = read_table(spark, directory, name)
+    files = -(-table.rdd.getNumPartitions() // batches)
     if order:
-        ranged = materialise(table.repartitionByRange(batches, order).withColumn("_part", F.spark_partition_id()), "ranged")
+        ranged = materialise(table.repartitionByRange(batches * files, order).withColumn("_part", F.spark_partition_id()), "ranged")
         parts = (ranged.agg(F.max("_part")).first()[0] or 0) + 1
         for number in range(batches):  # a file source takes files by their time
-            held = ranged.where(F.floor(F.col("_part") * batches / parts) == number)
-            held.drop("_part").coalesce(1).write.mode("append").parquet(path)
+            first, end = (-(-parts * k // batches) for k in (number, number + 1))
+            held = ranged.where(F.col("_part").between(first, end - 1))
+            held.drop("_part").repartition(files).write.mode("append").parquet(path)
     else:
-        table.repartition(batches).write.parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        table.repartition(batches * files).write.parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _uploads(spark: SparkSession, directory: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.catalog import streams
 from docloom.operators import models, sessions
 from docloom.sources import events
 from docloom.streaming import jobs
@@ -86,3 +87,27 @@ def test_routes_and_daily_logs(spark, folder):
     jobs.start_daily_log(stream, F.col("at"), f"{folder}/days", f"{folder}/log-state").awaitTermination()
     days = {r.log_index: r.n for r in spark.read.parquet(f"{folder}/days").collect()}
     assert days == {"document-system-logs-2024.01.31": 1, "document-system-logs-2024.02.01": 2}
+
+
+@pytest.mark.parametrize("order", [None, "event_id"])
+def test_micro_batches_of_a_table_are_many_files(spark, directory, tmp_path, monkeypatch, order):
+    spark.read.parquet(f"{directory}/events.parquet").repartition(12).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streams, "work_path", lambda _, name: f"{tmp_path}/work-{name}")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # every file is a split or more
+    batches = []
+
+    def note(batch, _):
+        batches.append(tuple(batch.agg(F.count("*"), F.min("event_id"), F.max("event_id")).first()))
+
+    try:
+        stream = streams._in_batches(spark, str(tmp_path), "events", order=order)
+        stream.writeStream.foreachBatch(note).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        sizes = [r.n for r in spark.read.parquet(f"{tmp_path}/work-events").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    rows = spark.read.parquet(f"{directory}/events.parquet").count()
+    assert len(batches) == 3 and sum(n for n, _, _ in batches) == rows
+    assert len(sizes) >= 12 and max(sizes) <= rows / 6
+    if order:
+        assert all(left[2] < right[1] for left, right in zip(batches, batches[1:]))
