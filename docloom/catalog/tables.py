@@ -27,13 +27,15 @@ from docloom.sources import directory as order
 def scan_files(spark: SparkSession, directory: str) -> DataFrame:
     """Pages written as files in three folders, found again by a scan and read back."""
     path = work_path(spark, "files")
-    rows = read_table(spark, directory, "pages").select(F.concat(F.lit("kind-"), F.col("page_id") % 3).alias("kind"), "page_id", "html")
+    table = read_table(spark, directory, "pages")
+    # files cost by their number, so tasks get even shares of them
+    tasks = max(table.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)
+    rows = table.select(F.concat(F.lit("kind-"), F.col("page_id") % 3).alias("kind"), "page_id", "html").repartition(tasks, "page_id")
     # one text file per page: its folder says which, and a line end closes it
     rows.select("kind", F.concat(F.lit("page-"), "page_id").alias("page"), F.col("html").alias("value")).write.partitionBy("kind", "page").text(path)
     name = F.regexp_replace(F.regexp_replace("filename", "kind=", ""), "/page=([^/]+)/.*$", "/$1.txt")
-    found = corpus.scan_files(spark, path, "part-*").select(name.alias("filename"), "length")
-    content = corpus.read_objects(spark, path, "part-*").select(name.alias("filename"), F.decode("content", "UTF-8").alias("content"))
-    return found.join(content, "filename").select("filename", "length", F.regexp_replace("content", "\n$", "").alias("content"))
+    found = corpus.scan_files(spark, path, "part-*", content=True)
+    return found.select(name.alias("filename"), "length", F.regexp_replace(F.decode("content", "UTF-8"), "\n$", "").alias("content"))
 
 
 @query("SELECT page_id::VARCHAR AS id, html AS content_html FROM pages")

@@ -11,13 +11,14 @@ from docloom.functions.files import relative_path
 from docloom.session import materialise
 
 CORPUS_COLUMNS = ("id", "content_html")
+_LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
-def scan_files(spark: SparkSession, root: str, glob: str = fv.SCAN_GLOB) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, glob: str = fv.SCAN_GLOB, content: bool = False) -> DataFrame:
     """``filename, path, length, modified`` of all files below ``root`` matching ``glob``.
 
     ``filename`` is relative to ``root``. Contents are not selected, so they are not
-    read.
+    read; with ``content`` they come in a column of that name, by the same listing.
     """
     found = _binary_files(spark, root, glob)
     plain = F.regexp_replace("path", "^file:/+", "/")
@@ -26,6 +27,7 @@ def scan_files(spark: SparkSession, root: str, glob: str = fv.SCAN_GLOB) -> Data
         "path",
         "length",
         F.col("modificationTime").alias("modified"),
+        *(["content"] if content else []),
     )
 
 
@@ -39,7 +41,13 @@ def read_objects(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 def _binary_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return reader.load(root)
+    # folders are listed as the reader is made, by default in a task each up to 10,000
+    before = spark.conf.get(_LISTING_TASKS)
+    spark.conf.set(_LISTING_TASKS, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return reader.load(root)
+    finally:
+        spark.conf.set(_LISTING_TASKS, before)
 
 
 def read_corpus(spark: SparkSession, candidates: list[str], columns: dict[str, str] | None = None) -> DataFrame:

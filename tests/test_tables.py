@@ -281,6 +281,26 @@ def test_file_scan(spark, tmp_path):
     assert sorted((r.filename, bytes(r.content)) for r in objects.collect())[0] == ("a.tif", b"data")
 
 
+def test_file_scan_lists_once_in_bounded_tasks(spark, tmp_path):
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    kept, cores = spark.conf.get(setting), spark.sparkContext.defaultParallelism
+    for n in range(8 * cores):
+        (tmp_path / f"x/{n}").mkdir(parents=True)
+        (tmp_path / f"x/{n}/a.tif").write_bytes(f"data {n}".encode())
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        found = corpus.scan_files(spark, str(tmp_path / "x"), content=True)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    status = spark.sparkContext.statusTracker()
+    jobs = [status.getJobInfo(j) for j in status.getJobIdsForGroup("listing")]
+    tasks = [status.getStageInfo(s).numTasks for job in jobs for s in job.stageIds]
+    assert tasks and max(tasks) <= 4 * cores and spark.conf.get(setting) == kept
+    rows = found.collect()
+    assert {(r.filename, bytes(r.content)) for r in rows} == {(f"{n}/a.tif", f"data {n}".encode()) for n in range(8 * cores)}
+    assert all(r.length == len(r.content) for r in rows)
+
+
 def test_corpus_checks(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "bad"))
     with pytest.raises(ValueError, match="content_html"):
