@@ -30,6 +30,8 @@ Extractors = dict[str, Extractor] | Callable[[], dict[str, Extractor]]
 Generator = Callable[[list[str]], list]
 Generators = dict[str, Generator] | Callable[[], dict[str, Generator]]
 Fetch = Callable[[str, str], bytes]
+# Texts leave an extraction in pieces of so many characters.
+EXTRACTED_CHARS = 2_000_000
 
 
 def _made(functions):
@@ -77,20 +79,26 @@ def extract_text(
         except Exception as error:  # noqa: BLE001 - every failure becomes a row
             return f"{fv.ERROR_PREFIX}{error}", str(error)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _made(extractors)
-        for batch in batches:
-            data = batch[content] if content in batch else [None] * len(batch)
-            done = [
-                one(made, *row) for row in zip(batch["filename"], batch["bucket"], batch["_route"], data, strict=True)
-            ]
-            out = batch[kept].copy()
-            out["extracted_text"] = [text for text, _ in done]
-            out["error"] = [error for _, error in done]
-            yield out
+
+        def rows(batch: pa.RecordBatch, done: list[tuple[str, str | None]], start: int) -> pa.RecordBatch:
+            texts, errors = (pa.array(column, pa.string()) for column in zip(*done, strict=True))
+            return pa.RecordBatch.from_arrays([*batch.select(kept).slice(start, len(done)).columns, texts, errors], names=schema.fieldNames())
+
+        for batch in batches:  # one file at a time is a Python object, and a few megabytes of texts
+            inputs = [batch[c] for c in ("filename", "bucket", "_route", content) if c in batch.schema.names]
+            done, size, start = [], 0, 0
+            for row in range(batch.num_rows):
+                values = [column[row].as_py() for column in inputs]
+                done.append(one(made, *values[:3], values[3] if len(values) > 3 else None))
+                size += len(done[-1][0])
+                if size >= EXTRACTED_CHARS or row == batch.num_rows - 1:
+                    yield rows(batch, done, start)
+                    done, size, start = [], 0, row + 1
 
     routed = files.withColumn("_route", extractor_route(F.col("filename"), ocr_extensions))
-    return routed.mapInPandas(run, schema)
+    return routed.mapInArrow(run, schema)
 
 
 def decode_lines(data: bytes) -> list[str]:

@@ -121,3 +121,17 @@ def test_requests_without_context_reach_no_model(spark):
     assert (got[2].answer, got[2].sources, got[2].used_context) == (fv.NO_CONTEXT, [], "")
     assert got[3].answer == fv.MISSING_KEY and [s.filename for s in got[3].sources] == ["f"] and got[3].used_context
     assert got[4].answer == fv.RETRIEVE_ONLY % 2 and got[5].answer.startswith("[Error] broken LLM")
+
+
+def test_extraction_holds_a_piece_of_its_texts(spark):
+    def grow(_):
+        pages = int(open("/proc/self/statm").read().split()[1])
+        return [f"{pages * 4096 // 1_000_000}:" + "x" * 40_000]
+
+    files = spark.range(0, 4_000, 1, 1).select(
+        F.concat(F.lit("f"), "id", F.lit(".txt")).alias("filename"), F.lit("b").alias("bucket"), "id", F.encode(F.lit("-"), "UTF-8").alias("content")
+    )
+    done = models.extract_text(files, {"text": grow})
+    found = done.select("id", "error", F.length("extracted_text").alias("n"), F.substring_index("extracted_text", ":", 1).cast("int").alias("mb")).collect()
+    assert sorted(r.id for r in found) == list(range(4_000)) and all(r.n > 40_000 and r.error is None for r in found)
+    assert max(r.mb for r in found) - min(r.mb for r in found) < 80  # 160 MB of texts
