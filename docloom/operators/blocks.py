@@ -11,7 +11,8 @@ import pyarrow as pa
 # happen to be summed never decides between equally near rows; the id does.
 DECIMALS = 9
 _CELLS = 2_000_000
-_REFINED_FLOATS = 16_000_000
+# A search holds a few arrays of so many numbers at a time, however many rows are equally near.
+_COMPARED = 500_000
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -111,7 +112,7 @@ def nearest_in_block(
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     row_norm = float(np.einsum("ij,ij->i", rows, rows).max())
     out_q, out_r, out_d = [], [], []
-    step = max(1, _CELLS // len(rows))
+    step = max(1, _COMPARED // len(rows))
     for start in range(0, len(questions), step):
         block = questions[start : start + step]
         rough = squared_distances(block, rows)
@@ -123,7 +124,7 @@ def nearest_in_block(
             other = question_ids[start + q] != row_ids[r]
             q, r = q[other], r[other]
         d = np.empty(len(q))
-        part = max(1, _REFINED_FLOATS // rows.shape[1])
+        part = max(1, _COMPARED // rows.shape[1])
         for low in range(0, len(q), part):
             cut = slice(low, low + part)
             difference = block[q[cut]] - rows[r[cut]]

@@ -1,5 +1,7 @@
 """Nearest-neighbour search against brute force, with ties, hot groups and bad input."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -205,6 +207,19 @@ def test_first_copies_keep_smallest_ids():
     assert sorted(np.array([9, 8, 7, 6, 5])[kept]) == [5, 6, 7, 8]
 
 
+def test_a_block_of_ties_needs_little_memory():
+    """Two million pairs at one distance, compared a part at a time."""
+    rows = np.random.default_rng(3).choice([-0.125, 0.125], size=(10_000, 64))
+    ids = np.arange(10_000)[::-1].copy()
+    tracemalloc.start()
+    q, r, d = blocks.nearest_in_block(np.arange(200), np.zeros((200, 64)), ids, rows, 5, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert q.tolist() == np.repeat(np.arange(200), 5).tolist() and (d == 1.0).all()
+    assert ids[r].reshape(200, 5).tolist() == [[0, 1, 2, 3, 4]] * 200
+    assert peak < 100_000_000
+
+
 def test_index_append_and_schema_check(spark, points, tmp_path):
     path = str(tmp_path / "index")
     rows = frame(spark, points)
