@@ -163,13 +163,15 @@ def embed(
                 raise
             model = unmade(problem)
         for batch in batches:
-            texts = batch.fill_null("").to_pylist()
-            starts = range(0, len(texts), batch_size)
+            starts = range(0, len(batch), batch_size)
+            texts = (batch.slice(k, batch_size).fill_null("").to_pylist() for k in starts)  # one batch of the model at a time
             if error is None:
-                parts = [np.empty((0, dim), np.float32), *(checked(model, texts[k : k + batch_size]) for k in starts)]
-                yield blocks.list_array(np.concatenate(parts), np.float32)
+                vectors = np.empty((len(batch), dim), np.float32)
+                for k, part in zip(starts, texts, strict=True):
+                    vectors[k : k + batch_size] = checked(model, part)
+                yield blocks.list_array(vectors, np.float32)
                 continue
-            done = [row for k in starts for row in halved(model, texts[k : k + batch_size])]
+            done = [row for part in texts for row in halved(model, part)]
             vectors = pa.array([v for v, _ in done], pa.list_(pa.float32()))
             yield pa.StructArray.from_arrays([vectors, pa.array([e for _, e in done], pa.string())], names=["vector", "error"])
 

@@ -1,5 +1,7 @@
 """Extraction, embedding and generation with stand-in models."""
 
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +52,24 @@ def test_embedding_batches_and_tail(spark):
     assert sorted(r.vector[1] for r in rows) == [2.0] * 2 + [4.0] * 8
 
 
+@pytest.mark.parametrize("error", [None, "error"])
+def test_embedding_makes_strings_of_one_batch_at_a_time(spark, error):
+    def factory():
+        before = sys.getallocatedblocks()
+
+        def encode(texts):
+            return np.array([[len(t), sys.getallocatedblocks() - before] for t in texts], dtype=np.float32)
+
+        return encode
+
+    table = spark.range(0, 20_000, 1, 1).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    rows = models.embed(table, factory, dim=2, error=error).collect()
+    assert sorted(r.id for r in rows) == list(range(20_000))
+    assert all(r.vector[0] == len(r.text) for r in rows)
+    held = [r.vector[1] for r in rows if r.id < 32]  # nothing has been made of the others yet
+    assert max(held) < 5_000
+
+
 def test_embedding_dimension_is_checked(spark):
     table = spark.createDataFrame([("a",)], "text string")
     with pytest.raises(Exception, match="dimension 3"):
